@@ -199,7 +199,7 @@ def _masked(group: list[int]) -> Column:
 
 def _probe_keys(i: int, group: list[int], radius: int) -> Column:
     """All (i, key) that agree with column ``fp`` up to ``radius`` bits of the group."""
-    flips = F.array(*[F.lit(x).cast("long") for x in _flips(group, radius)])
+    flips = F.split(F.lit(",".join(map(str, _flips(group, radius)))), ",").cast("array<bigint>")
     return F.transform(flips, lambda x: F.struct(F.lit(i).alias("i"), _masked(group).bitwiseXOR(x).alias("key")))
 
 
@@ -209,8 +209,8 @@ def link_fingerprints(prints: DataFrame, tau: int = TAU) -> DataFrame:
     Returns ``node`` and ``component`` (the least linked fingerprint) for all that have a link.
 
     First every fingerprint is held against the least one of its bucket, one comparison each.
-    That joins dense groups; the full probes then compare only across what is still apart, and
-    a bucket that holds one component only is left out, so no group emits its pairs.
+    That joins dense groups; the full probes then pair only what is near and still apart. Both
+    are conditions of the join itself, so that neither a group nor a bucket emits its pairs.
     """
     plan = [(i, g, t) for i, (g, t) in enumerate(plan_groups(prints, tau)) if t >= 0]
 
@@ -226,11 +226,8 @@ def link_fingerprints(prints: DataFrame, tau: int = TAU) -> DataFrame:
     known = cut(prints.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("c")))
 
     index = keyed(known, "c")
-    span = index.groupBy("i", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
     probe_keys = [_probe_keys(i, g, t) for i, g, t in plan]
     probes = known.select("fp", "c", F.explode(F.concat(*probe_keys)).alias("x")).select("x.i", "x.key", F.col("fp").alias("pfp"), F.col("c").alias("pc"))
-    # a bucket of one component has nothing for a probe of that component
-    probes = probes.join(span, ["i", "key"]).where("c0 <> pc or c1 <> pc").drop("c0", "c1")
     pairs = probes.join(
         index.select(F.col("i").alias("i2"), F.col("key").alias("key2"), "fp", "c"),
         (F.col("i") == F.col("i2")) & (F.col("key") == F.col("key2")) & (F.col("c") != F.col("pc"))
