@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import hamming_topk, linededup, mixing, packing, pii, quality, simhash, toxicity
+from loomgraph.llm import hamming_topk, linededup, mixing, nndescent, packing, pii, quality, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "tail", (scored["tail"] >= quality.SELECT).alias("kept"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -50,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op5_line_dedup, op6_toxicity, op7_mixing, op8_hamming_topk, op9_packing, op10_pii)
+    f.__name__: f for f in (op1_simhash, op2_quality, op3_nn_descent, op4_substring, op5_line_dedup, op6_toxicity, op7_mixing, op8_hamming_topk, op9_packing, op10_pii)
 }
 
 #: DuckDB SQL for those that SQL can express.
