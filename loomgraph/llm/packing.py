@@ -247,11 +247,11 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     return ordered.mapInArrow(lambda batches: _packed(batches, path, size, end), PIECES_DDL)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with length and checksum in place of the ids."""
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    """``pieces`` with length and checksum in place of the ids, and the columns named besides."""
     return pieces.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
-        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more,
     )
 
 
