@@ -25,6 +25,9 @@ SHINGLE = 4
 TAU = 4
 #: What one probe costs, counted in candidate pairs: a probe is shuffled, a pair only compared.
 PROBE_COST = 4.0
+#: Numbers of groups to choose from. Three cost about 48 probes a fingerprint and, below some 25
+#: million fingerprints, few candidates; two cost 562 probes and hardly any candidate.
+GROUPS = (2, 3)
 #: Longer texts are hashed in pieces of this many bytes.
 PIECE = 1 << 20
 
@@ -163,7 +166,7 @@ def _mask(group: list[int]) -> int:
     return v - (1 << BITS) if v >> (BITS - 1) else v
 
 
-def plan_groups(prints: DataFrame, tau: int = TAU, ms: tuple[int, ...] = (2, 3, 4, 5)) -> list[tuple[list[int], int]]:
+def plan_groups(prints: DataFrame, tau: int = TAU, ms: tuple[int, ...] = GROUPS) -> list[tuple[list[int], int]]:
     """Groups of bits and their thresholds for all of ``prints`` (distinct, column ``fp``)."""
     n, both = bit_statistics(prints)
     ms = [m for m in ms if m <= tau + 1] or [1]
