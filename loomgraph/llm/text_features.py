@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Remembered words per worker; further ones are worked out each time.
 REMEMBERED = 400_000
 #: Labelled rows that a model is fitted on at most, those of least hash.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: A feature is learned if so many rows of the sample have it.
 LEAST_ROWS = 4
 
