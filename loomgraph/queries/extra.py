@@ -1 +1,271 @@
-"""More queries."""
+"""Queries over variables, assets, conditions, routes, files and scripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.functions import conditions as C
+from loomgraph.operators import analytics, assets, exports, integrity, link, routes, variables, view
+from loomgraph.plans import adapters as ad
+from loomgraph.plans.frontier import reaches
+from loomgraph.queries import query
+from loomgraph.queries.graph import REACH, _dag_sql, _ends
+from loomgraph.sources import extract, scripts
+
+with_ = ad.with_
+
+
+@query(with_("vars", "declared", "referenced", body="SELECT DISTINCT name FROM declared WHERE name NOT IN (SELECT name FROM referenced)"))
+def j13_unused_variables(spark, d):
+    return variables.unused_variables(*ad.variables(spark, d)).select("name")
+
+
+@query(with_("vars", "declared", "referenced", body="SELECT name, ord FROM referenced WHERE name NOT IN (SELECT name FROM declared)"))
+def j14_undeclared_variables(spark, d):
+    return variables.undeclared_variables(*ad.variables(spark, d)).select("name", "ord")
+
+
+RANKS = "CASE p_type WHEN 'SMALL' THEN 0 WHEN 'LARGE' THEN 2 ELSE 1 END"
+
+
+@query(f"SELECT name, ord FROM (SELECT p_brand || p_name AS name, CAST(p_partkey AS BIGINT) AS ord, row_number() OVER (PARTITION BY p_brand || p_name ORDER BY p_size % 3 DESC, {RANKS} DESC, p_partkey DESC) AS nth FROM part) WHERE nth = 1")
+def w2_init_variables(spark, d):
+    kind = F.when(F.col("p_type") == "SMALL", "default").when(F.col("p_type") == "LARGE", "define").otherwise("python")
+    rows = ad.table(spark, d, "part").select(F.lit("p").alias("project_id"), F.concat("p_brand", "p_name").alias("name"), kind.alias("kind"), (F.col("p_size") % 3).alias("priority"), F.col("p_partkey").cast("long").alias("ord"))
+    return integrity.last_declarations(rows).select("name", "ord")
+
+
+@query("SELECT user_id, event_type, round(sum(CASE WHEN event_id % 7 = 3 THEN -value ELSE value END), 4) AS value FROM events GROUP BY user_id, event_type")
+def w7_running_values(spark, d):
+    ev = ad.table(spark, d, "events")
+    m = ev.select(F.lit("p").alias("project_id"), F.col("user_id").alias("node_id"), F.col("event_type").alias("name"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 == 3, "-=").otherwise("+=").alias("op"), "value")
+    return variables.running_values(m).select(F.col("node_id").alias("user_id"), F.col("name").alias("event_type"), F.round("value", 4).alias("value"))
+
+
+@query(with_("media", body="""SELECT kind, key, max_by(path, ord) AS path FROM (
+  SELECT ord, path, unnest(['exact', 'lower', 'file', 'stem', 'relative', 'tag', 'tag', 'tag', 'tag']) AS kind,
+    unnest([path, lower(path), lower(path[8:]), lower(path[8:-5]), lower(path[:-5]), lower(path[8:-5]), replace(lower(path[8:-5]), '_', ' '), lower(path[8:-5]), replace(lower(path[8:-5]), '_', ' ')]) AS key FROM media) GROUP BY kind, key"""))
+def j12_media_index(spark, d):
+    return assets.media_index(ad.media(spark, d)).select("kind", "key", "path")
+
+
+@query(with_("cues", "media", body="""SELECT type, c.asset AS name, m.path FROM (SELECT DISTINCT type, asset FROM cues) c JOIN media m ON m.path = 'images/' || c.asset || '.png'"""))
+def j10_resolve_assets(spark, d):
+    names = assets.split_playlists(ad.cues(spark, d))
+    return assets.resolve(names, assets.media_index(ad.media(spark, d))).select("type", "name", "path")
+
+
+@query(with_("cues", "media", body="""SELECT type, name, n FROM (SELECT type, asset AS name, count(*) AS n, row_number() OVER (ORDER BY type, asset) AS nth FROM cues WHERE 'images/' || asset || '.png' NOT IN (SELECT path FROM media) GROUP BY type, asset) WHERE nth <= 1000"""))
+def j11_missing_assets(spark, d):
+    return assets.missing_assets(ad.cues(spark, d), ad.media(spark, d)).select("type", "name", "n")
+
+
+@query(with_("cues", body="SELECT CASE WHEN type = 'show' THEN 'image' ELSE 'audio' END AS type, asset AS name, count(DISTINCT node_id) AS nodes FROM cues GROUP BY 1, 2"))
+def a10_asset_catalog(spark, d):
+    return assets.catalog(ad.cues(spark, d)).select("type", "name", F.size("node_ids").cast("long").alias("nodes"))
+
+
+def _scenarios(spark, d):
+    """Three scenarios over disc: the least and the greatest discount of the table, and unknown."""
+    r = ad.table(spark, d, "lineitem").agg(F.min("l_discount").alias("low"), F.max("l_discount").alias("high"))
+    return r.select(F.explode(F.array(F.struct(F.lit("low").alias("scenario_id"), F.col("low").cast("string").alias("value")), F.struct(F.lit("high").alias("scenario_id"), F.col("high").cast("string").alias("value")), F.struct(F.lit("none").alias("scenario_id"), F.lit("unknown").alias("value")))).alias("x")).select("x.scenario_id", F.lit("disc").alias("flag"), "x.value")
+
+
+def _limits(spark, d):
+    """An expression for each discount and tax that occurs."""
+    li = ad.table(spark, d, "lineitem").select("l_discount", "l_tax", "l_linenumber")
+    return li.select("l_discount", "l_tax", F.concat(F.lit("disc >= "), F.col("l_discount").cast("string"), F.lit(" and not (disc > 0.05 or "), F.col("l_tax").cast("string"), F.lit(" > 0.04)")).alias("expression"))
+
+
+CASES = """WITH s AS (SELECT 'low' AS scenario_id, min(l_discount) AS v FROM lineitem UNION ALL SELECT 'high', max(l_discount) FROM lineitem UNION ALL SELECT 'none', NULL),
+e AS (SELECT DISTINCT l_discount, l_tax FROM lineitem), r AS (SELECT scenario_id, l_discount, l_tax, v >= l_discount AND NOT (v > 0.05 OR l_tax > 0.04) AS result FROM s, e)"""
+
+
+@query(CASES + " SELECT scenario_id, l_discount, l_tax, CAST(result AS VARCHAR) AS result FROM r")
+def f7_eval_condition(spark, d):
+    e = _limits(spark, d).distinct()
+    return C.evaluate_all(e, _scenarios(spark, d)).join(e, "expression").select("scenario_id", "l_discount", "l_tax", F.col("result").cast("string").alias("result"))
+
+
+@query(CASES + " SELECT scenario_id, count(*) FILTER (WHERE result) AS taken, count(*) FILTER (WHERE NOT result) AS unreachable, count(*) FILTER (WHERE result IS NULL) AS unknown FROM r GROUP BY scenario_id")
+def a12_condition_counts(spark, d):
+    return C.counts(C.evaluate_all(_limits(spark, d), _scenarios(spark, d)), ["scenario_id"])
+
+
+@query(CASES + """ SELECT scenario_id, l_discount, CASE WHEN bool_and(coalesce(NOT result, false)) THEN 'unreachable' WHEN bool_or(coalesce(result, false)) THEN 'taken' ELSE 'unknown' END AS state FROM r GROUP BY scenario_id, l_discount""")
+def f9_branch_states(spark, d):
+    e = _limits(spark, d).distinct()
+    r = C.evaluate_all(e, _scenarios(spark, d)).join(e, "expression").withColumn("state", C.branch_state(F.col("result"), F.lit("if")))
+    return C.roll_up(r, ["scenario_id", "l_discount"])
+
+
+@query(CASES + """ SELECT scenario_id, l_tax, CAST(CASE WHEN bool_or(coalesce(result, false)) THEN true WHEN bool_or(result IS NULL) THEN NULL ELSE false END AS VARCHAR) AS result FROM r GROUP BY scenario_id, l_tax""")
+def f10_combine_conditions(spark, d):
+    e = _limits(spark, d).distinct()
+    r = C.evaluate_all(e, _scenarios(spark, d)).join(e, "expression")
+    return C.combine(r, ["scenario_id", "l_tax"], "or").withColumn("result", F.col("result").cast("string"))
+
+
+@query("SELECT p_size, CAST(p_size % 2 = 0 AND p_size > 10 AS VARCHAR) AS value FROM (SELECT DISTINCT p_size FROM part)")
+def f8_static_expressions(spark, d):
+    e = ad.table(spark, d, "part").select("p_size").distinct()
+    text = F.concat(F.lit("{'even': True, 'odd': False}['odd' if "), (F.col("p_size") % 2).cast("string"), F.lit(" == 1 else 'even'] and "), F.col("p_size").cast("string"), F.lit(" > len([1, 2]) * 5"))
+    return e.select("p_size", C.fold_column(text, F.create_map().cast("map<string,string>"))["value_json"].alias("value"))
+
+
+@query(with_("edges", body="SELECT id AS edge_id FROM edges WHERE expression IS NOT NULL"))
+def j8_dead_menu_options(spark, d):
+    env = spark.createDataFrame([("p", "disc", "0.01")], "project_id string, name string, value_json string")
+    return variables.dead_options(ad.edges(spark, d), env).select("edge_id")
+
+
+@query(_dag_sql("""SELECT s.scenario_id, n.id AS node FROM dag_nodes n, (VALUES ('low'), ('high'), ('none')) s(scenario_id) WHERE n.id NOT IN (SELECT node FROM met WHERE met.scenario_id = s.scenario_id)""",
+    """met AS (SELECT s.scenario_id, id AS node FROM dag_nodes, (VALUES ('low'), ('high'), ('none')) s(scenario_id) WHERE id NOT IN (SELECT target FROM dag_edges)
+    UNION SELECT met.scenario_id, e.target FROM met JOIN dag_edges e ON e.source = met.node WHERE e.expression IS NULL OR met.scenario_id <> 'low')"""))
+def g13_conditional_reachability(spark, d):
+    return variables.conditional_reachability(ad.dag(spark, d)[1], _scenarios(spark, d)).select("scenario_id", "node")
+
+
+PATHS = """paths AS (SELECT id AS at, [id] AS path, CAST(word_count AS BIGINT) AS words, CAST([] AS VARCHAR[]) AS opts FROM dag_nodes WHERE id NOT IN (SELECT target FROM dag_edges)
+  UNION ALL SELECT e.target, list_append(p.path, e.target), p.words + n.word_count, CASE WHEN e.label <> '' OR s.type = 'MENU' THEN list_append(p.opts, coalesce(e.label, '')) ELSE p.opts END
+  FROM paths p JOIN dag_edges e ON e.source = p.at JOIN dag_nodes n ON n.id = e.target JOIN dag_nodes s ON s.id = e.source)"""
+
+
+def _all_routes(spark, d):
+    n, e, ends = _ends(spark, d)
+    return n, e, ends, routes.enumerate_routes(n, e, link.entry_points(n, e), ends.select("project_id", F.col("node_id").alias("node")), max_routes=None, max_states=None)
+
+
+@query(_dag_sql("SELECT array_to_string(path, '>') AS path, words, len(opts) AS choices FROM paths JOIN sinks ON sinks.id = paths.at", REACH.strip() + ", " + PATHS))
+def g5_enumerate_routes(spark, d):
+    return _all_routes(spark, d)[3].select(F.array_join("path", ">").alias("path"), "words", F.size("choices").cast("long").alias("choices"))
+
+
+@query(_dag_sql("SELECT s.id AS node_id, count(p.at) AS routes, 'Reachable' AS status FROM sinks s LEFT JOIN paths p ON p.at = s.id GROUP BY s.id", REACH.strip() + ", " + PATHS))
+def a7_ending_matrix(spark, d):
+    _, _, ends, r = _all_routes(spark, d)
+    return analytics.ending_matrix(ends, r).select("node_id", "routes", "status")
+
+
+@query(_dag_sql("""SELECT n.id AS target, p.at IS NOT NULL AS is_reachable, coalesce(min(len(p.path)), 0) AS steps FROM dag_nodes n LEFT JOIN paths p ON p.at = n.id WHERE n.node_ord % 3 = 0 GROUP BY n.id, p.at IS NOT NULL""", PATHS))
+def g6_solve_routes(spark, d):
+    n, e = ad.dag(spark, d)
+    s = routes.solve_routes(n, e, link.entry_points(n, e), n.where("node_ord % 3 = 0").select("project_id", F.col("id").alias("node")), max_states=None)
+    return s.select("target", "is_reachable", F.size("path").cast("long").alias("steps"))
+
+
+@query(_dag_sql("SELECT n.id AS target, max(p.words) AS words FROM dag_nodes n JOIN paths p ON p.at = n.id WHERE n.node_ord % 3 = 0 GROUP BY n.id", PATHS))
+def t2_best_route(spark, d):
+    n, e = ad.dag(spark, d)
+    s = routes.solve_routes(n, e, link.entry_points(n, e), n.where("node_ord % 3 = 0").select("project_id", F.col("id").alias("node")), "max_dialogue", max_states=None)
+    return s.select("target", "words")
+
+
+@query()
+def g7_flags_needed(spark, d):
+    n, e = ad.dag(spark, d)
+    s = routes.solve_routes(n, e, link.entry_points(n, e), n.select("project_id", F.col("id").alias("node")), max_states=None)
+    return routes.flags_needed(s).drop("project_id")
+
+
+@query(_dag_sql("SELECT route AS path, node, max(pos) AS step FROM (SELECT array_to_string(path, '>') || len(opts) AS route, unnest(path) AS node, unnest(range(0, len(path))) AS pos FROM (SELECT DISTINCT path, opts[1:0] AS opts, at FROM paths) JOIN sinks ON sinks.id = at) GROUP BY route, node".replace(" || len(opts)", ""), REACH.strip() + ", " + PATHS))
+def w6_step_order(spark, d):
+    r = _all_routes(spark, d)[3]
+    steps = variables.step_order(r).join(r.select("route_id", F.array_join("path", ">").alias("path")), "route_id")
+    return steps.select("path", "node", F.col("step").cast("long").alias("step")).distinct()
+
+
+@query(_dag_sql("""SELECT (SELECT count(*) FROM sinks) AS endings, (SELECT count(*) FROM paths JOIN sinks ON sinks.id = at) AS routes, CAST((SELECT sum(word_count) FROM dag_nodes) AS BIGINT) AS unique_words,
+  (SELECT round(sum(dialogue_count) / count(*) FILTER (WHERE type = 'MENU'), 1) FROM dag_nodes) AS lines_per_menu""", REACH.strip() + ", " + PATHS))
+def a6_narrative_summary(spark, d):
+    n, e, ends, r = _all_routes(spark, d)
+    p = analytics.points_of_no_return(e, n, reaches(e, ends.select("project_id", F.col("node_id").alias("node"))))
+    return analytics.narrative_summary(n, e, ends, r, p).select("endings", "routes", "unique_words", "lines_per_menu")
+
+
+@query(_dag_sql("""SELECT id, CAST(row_number() OVER (ORDER BY coalesce(d, 0), node_ord) AS INT) AS rank FROM dag_nodes LEFT JOIN (SELECT node, min(depth) AS d FROM deep GROUP BY node) ON node = id""",
+    "deep AS (SELECT id AS node, 0 AS depth FROM dag_nodes WHERE id NOT IN (SELECT target FROM dag_edges) UNION SELECT e.target, deep.depth + 1 FROM deep JOIN dag_edges e ON e.source = deep.node)"))
+def t3_bfs_order(spark, d):
+    n, e = ad.dag(spark, d)
+    return routes.bfs_first(n, e, n.where("id = ''").select("project_id", F.col("id").alias("node"))).select("id", "rank")
+
+
+@query("SELECT doc_id, source || '/doc_' || doc_id || '.rpy:' || sha256(text) AS cache_key FROM documents")
+def s5_content_hash(spark, d):
+    return scripts.content_hash(scripts.from_documents(ad.table(spark, d, "documents"))).select("doc_id", "cache_key")
+
+
+@query("SELECT doc_id, CAST(len(string_split(replace(text, chr(13), ''), chr(10))) AS BIGINT) AS n_lines FROM documents")
+def s6_file_lines(spark, d):
+    lines = scripts.file_lines(scripts.from_documents(ad.table(spark, d, "documents")))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("""SELECT source AS project_id, CASE WHEN count(*) > 300 THEN 'too_many_files' WHEN sum(octet_length(encode(text))) > 26214400 THEN 'too_large' WHEN max(octet_length(encode(text))) > 30000 THEN 'file_too_large' END AS error FROM documents GROUP BY source""")
+def s3_validate_inputs(spark, d):
+    return scripts.validate(scripts.from_documents(ad.table(spark, d, "documents")), max_file=30000).select("project_id", "error")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'translation' WHEN doc_id % 4 = 2 THEN 'media' WHEN doc_id % 4 = 3 THEN 'other' ELSE 'script' END AS kind FROM documents""")
+def s2_split_inputs(spark, d):
+    f = scripts.from_documents(ad.table(spark, d, "documents"))
+    path = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("game/tl/es/d"), F.col("doc_id").cast("string"), F.lit(".rpy"))).when(F.col("doc_id") % 4 == 2, F.lit("images/a.PNG")).when(F.col("doc_id") % 4 == 3, F.lit("notes.txt")).otherwise(F.col("path"))
+    return f.select("doc_id", scripts.input_kind(path).alias("kind"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY 'doc_' || doc_id || '.rpy') AS INT) AS file_ord FROM documents")
+def s1_file_order(spark, d):
+    return scripts.file_order(scripts.from_documents(ad.table(spark, d, "documents"))).select("doc_id", "file_ord")
+
+
+SAID = "SELECT node_ord, node_id, speaker, line_no, regexp_replace(replace(replace(text, chr(10), ' '), '\"', ''), '\\\\', '', 'g') AS text FROM dialogue"
+
+
+@query(with_("dialogue", body="SELECT node_id AS label_id, count(*) AS n_lines FROM dialogue GROUP BY node_id"))
+def x2_extract_labels(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return stmts.where("kind = 'say'").groupBy("label_id").agg(F.count("*").alias("n_lines"))
+
+
+@query(with_("dialogue", body=f", said AS ({SAID}) SELECT node_id, speaker, text FROM said"))
+def x3_extract_say_lines(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.say_lines(stmts).select(F.col("label_id").alias("node_id"), "speaker", "text")
+
+
+@query(with_("dialogue", body=""", c AS (SELECT DISTINCT node_ord, node_id, CAST(count(*) OVER (PARTITION BY node_id) AS BIGINT) AS n FROM dialogue)
+SELECT node_id AS source, 'conv_' || (node_ord + 1) AS target, 'jump' AS kind, CAST(NULL AS VARCHAR) AS label FROM c WHERE n % 2 = 1
+UNION ALL SELECT node_id, 'conv_' || (node_ord + k), 'jump', CASE k WHEN 1 THEN 'Next' ELSE 'Skip' END FROM c, (VALUES (1), (2)) v(k) WHERE n % 2 = 0"""))
+def x5_extract_transfers(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.transfers(stmts).select("source", "target", "kind", "label")
+
+
+@query(with_("dialogue", body="SELECT node_id AS parent_label_id, 2 AS items FROM dialogue GROUP BY node_id HAVING count(*) % 2 = 0"))
+def x4_extract_menus(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.menus(stmts).select("parent_label_id", F.col("items").cast("int").alias("items"))
+
+
+@query(with_("dialogue", body="SELECT node_id AS parent_label_id, 'flag_' || (node_ord % 5) AS expression, 'if' AS branch_kind FROM dialogue GROUP BY node_id, node_ord"))
+def x6_extract_decisions(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.decisions(stmts).select("parent_label_id", "expression", "branch_kind")
+
+
+@query(with_("dialogue", body="SELECT node_id, 'score' AS name, '+=' AS op, CAST(count(*) AS VARCHAR) AS value FROM dialogue GROUP BY node_id"))
+def x11_extract_mutations(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.mutations(stmts).select(F.col("label_id").alias("node_id"), "name", "op", "value")
+
+
+@query(with_("dialogue", body="SELECT node_id, 'scene' AS type, 'bg' || (node_ord % 7) AS asset FROM dialogue GROUP BY node_id, node_ord"))
+def x13_extract_cues(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.cues(stmts).select(F.col("label_id").alias("node_id"), "type", "asset")
+
+
+@query(with_("dialogue", body="SELECT 'fl_' || (node_ord % 5) AS name, count(*) AS n FROM (SELECT DISTINCT node_ord FROM dialogue) GROUP BY 1"))
+def x12_extract_init_vars(spark, d):
+    stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+    return extract.init_vars(stmts).groupBy("name").agg(F.count("*").alias("n"))
