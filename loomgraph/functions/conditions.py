@@ -176,6 +176,13 @@ def fold(expression: str | None, env: dict[str, object]) -> tuple[bool, object,
                 return (all if isinstance(op, ast.And) else any)(down(p) for p in parts)
             case ast.Compare(left=a, ops=[op], comparators=[b]) if isinstance(op, (ast.Eq, ast.NotEq)):
                 return same(down(a), down(b)) == isinstance(op, ast.Eq)
+            case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in _ORDER:
+                x, y = _number(down(a)), _number(down(b))
+                if x is None or y is None:
+                    raise Unknown
+                return _ORDER[type(op)](x, y)
+            case ast.BinOp(left=a, op=op, right=b):
+                return _arithmetic(type(op), down(a), down(b))
         if isinstance(n, (ast.Name, ast.Attribute)) and _dotted(n) in env:
             return env[_dotted(n)]
         return _value(n, _missing, depth)

@@ -164,3 +164,36 @@ def induced_subgraph(edges: DataFrame, chosen: DataFrame) -> DataFrame:
 def node_details(details: DataFrame, chosen: DataFrame) -> DataFrame:
     """Detail rows (lines, cues) of the chosen ids only."""
     return details.join(chosen.select("project_id", "id").distinct(), ["project_id", "id"], "left_semi")
+
+
+def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Targets of jumps to expressions: project_id, source, line_no, expression, target, how.
+
+    First custom rules (pattern, target; few), then literals and the strings of a ternary that are
+    labels, then f-strings by their fixed beginning and end. Labels are blocked by their first
+    three letters (or last three, without a beginning), so that no jump meets every label.
+    """
+    from loomgraph.functions.text import extract_literal
+
+    keys = ["project_id", "source", "line_no", "expression"]
+    found = []
+    if rules is not None:
+        found.append(jumps.join(F.broadcast(rules.select("pattern", "target")), F.expr("expression rlike pattern")).select(*keys, "target", F.lit("rule").alias("how")))
+    ids = labels.select("project_id", F.col("id").alias("target")).distinct()
+    text = r'"([^"\\]*)"|\x27([^\x27\\]*)\x27'
+    plain = jumps.where(~F.col("expression").rlike(r"^[fF][\"\x27]"))
+    strings = F.array_union(F.array(extract_literal(F.col("expression"))), F.array_union(F.regexp_extract_all("expression", F.lit(text), F.lit(1)), F.regexp_extract_all("expression", F.lit(text), F.lit(2))))
+    literal = plain.select(*keys, F.explode(strings).alias("target")).where("target <> ''").distinct().join(ids, ["project_id", "target"], "left_semi")
+    found.append(literal.select(*keys, "target", F.lit("literal").alias("how")))
+    body = F.regexp_extract("expression", r"^[fF][\"\x27](.*)[\"\x27]$", 1)
+    f = jumps.where(F.col("expression").rlike(r"^[fF][\"\x27].*\{.*\}.*[\"\x27]$")).select(*keys, F.substring_index(body, "{", 1).alias("pre"), F.substring_index(body, "}", -1).alias("post"))
+    f = f.withColumn("block", F.when(F.length("pre") >= 3, F.concat(F.lit("<"), F.substring("pre", 1, 3))).when(F.length("post") >= 3, F.concat(F.lit(">"), F.substring("post", -3, 3))))
+    blocks = ids.select("project_id", "target", F.explode(F.array(F.concat(F.lit("<"), F.substring("target", 1, 3)), F.concat(F.lit(">"), F.substring("target", -3, 3)))).alias("block"))
+    near = f.join(blocks, ["project_id", "block"]).where(F.col("target").startswith(F.col("pre")) & F.col("target").endswith(F.col("post")) & (F.length("target") >= F.length("pre") + F.length("post")))
+    found.append(near.select(*keys, "target", F.lit("pattern").alias("how")))
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    order = F.when(F.col("how") == "rule", 0).when(F.col("how") == "literal", 1).otherwise(2)
+    best = Window.partitionBy(*keys)
+    return out.withColumn("__o", order).withColumn("__b", F.min("__o").over(best)).where("__o = __b").drop("__o", "__b").distinct()

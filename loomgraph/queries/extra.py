@@ -168,14 +168,14 @@ def g7_flags_needed(spark, d):
     return routes.flags_needed(s).drop("project_id")
 
 
-@query(_dag_sql("SELECT route AS path, node, max(pos) AS step FROM (SELECT array_to_string(path, '>') || len(opts) AS route, unnest(path) AS node, unnest(range(0, len(path))) AS pos FROM (SELECT DISTINCT path, opts[1:0] AS opts, at FROM paths) JOIN sinks ON sinks.id = at) GROUP BY route, node".replace(" || len(opts)", ""), REACH.strip() + ", " + PATHS))
+@query(_dag_sql("SELECT route AS path, node, max(pos) AS step FROM (SELECT array_to_string(path, '>') || len(opts) AS route, unnest(path) AS node, unnest(range(0, len(path))) AS pos FROM (SELECT DISTINCT path, p.at AS tip FROM paths p) q JOIN sinks ON sinks.id = q.tip) GROUP BY route, node".replace(" || len(opts)", ""), REACH.strip() + ", " + PATHS))
 def w6_step_order(spark, d):
     r = _all_routes(spark, d)[3]
     steps = variables.step_order(r).join(r.select("route_id", F.array_join("path", ">").alias("path")), "route_id")
     return steps.select("path", "node", F.col("step").cast("long").alias("step")).distinct()
 
 
-@query(_dag_sql("""SELECT (SELECT count(*) FROM sinks) AS endings, (SELECT count(*) FROM paths JOIN sinks ON sinks.id = at) AS routes, CAST((SELECT sum(word_count) FROM dag_nodes) AS BIGINT) AS unique_words,
+@query(_dag_sql("""SELECT (SELECT count(*) FROM sinks) AS endings, (SELECT count(*) FROM paths p JOIN sinks ON sinks.id = p.at) AS routes, CAST((SELECT sum(word_count) FROM dag_nodes) AS BIGINT) AS unique_words,
   (SELECT round(sum(dialogue_count) / count(*) FILTER (WHERE type = 'MENU'), 1) FROM dag_nodes) AS lines_per_menu""", REACH.strip() + ", " + PATHS))
 def a6_narrative_summary(spark, d):
     n, e, ends, r = _all_routes(spark, d)
@@ -269,3 +269,128 @@ def x13_extract_cues(spark, d):
 def x12_extract_init_vars(spark, d):
     stmts = extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
     return extract.init_vars(stmts).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, 'p' || (p_partkey + 1) AS target, 'literal' AS how FROM part WHERE p_partkey % 2 = 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)
+UNION ALL SELECT a.p_partkey, 'p' || b.p_partkey, 'pattern' FROM part a JOIN part b ON a.p_partkey % 2 = 1 AND a.p_partkey >= 10 AND starts_with('p' || b.p_partkey, 'p' || (a.p_partkey // 10)) AND length('p' || b.p_partkey) >= length('p' || (a.p_partkey // 10)) AND length('p' || (a.p_partkey // 10)) >= 3""")
+def j7_dynamic_jumps(spark, d):
+    k = F.col("p_partkey")
+    s = lambda x: x.cast("string")
+    e = F.when(k % 2 == 0, F.concat(F.lit("'p"), s(k + 1), F.lit("'"))).otherwise(F.concat(F.lit('f"p'), s(F.floor(k / 10)), F.lit('{x}"')))
+    p = ad.table(spark, d, "part")
+    jumps = p.select(F.lit("p").alias("project_id"), s(k).alias("source"), F.lit(0).alias("line_no"), e.alias("expression"))
+    return link.resolve_dynamic(jumps, ad.nodes(spark, d)).select(F.col("source").cast("long").alias("p_partkey"), "target", "how")
+
+
+def _statements(spark, d):
+    return extract.statements(scripts.file_lines(extract.scripts_of(ad.dialogue(spark, d))))
+
+
+@query("SELECT conv_id, 'conv_' || conv_id AS source, 'tail_' || conv_id AS target FROM conversations GROUP BY conv_id")
+def x8_fallthrough(spark, d):
+    files = extract.scripts_of(ad.dialogue(spark, d))
+    open_ = files.withColumn("content", F.concat(F.regexp_replace("content", r"(?m)^    jump .*$|(?ms)^    menu:.*\z", ""), F.lit("\nlabel tail_"), F.col("file_ord").cast("string"), F.lit(":\n    return\n")))
+    return extract.fallthrough(extract.statements(scripts.file_lines(open_))).select(F.substring("source", 6, 20).cast("long").alias("conv_id"), "source", "target")
+
+
+@query("SELECT 'tail_' || conv_id AS id FROM conversations GROUP BY conv_id")
+def x16_reliable_returns(spark, d):
+    files = extract.scripts_of(ad.dialogue(spark, d))
+    more = files.withColumn("content", F.concat("content", F.lit("\nlabel tail_"), F.col("file_ord").cast("string"), F.lit(":\n    return\n")))
+    return extract.reliable_returns(extract.statements(scripts.file_lines(more))).select("id")
+
+
+@query("SELECT 'conv_' || conv_id AS source, 'end_' || conv_id AS target, CASE WHEN conv_id % 2 = 0 THEN 'jump' ELSE 'call' END AS kind FROM conversations GROUP BY conv_id")
+def x19_python_transfers(spark, d):
+    files = extract.scripts_of(ad.dialogue(spark, d))
+    verb = F.when(F.col("file_ord") % 2 == 0, "jump").otherwise("call")
+    more = files.withColumn("content", F.concat("content", F.lit("\n    $ renpy."), verb, F.lit('("end_'), F.col("file_ord").cast("string"), F.lit('")  # renpy.jump("no")\n')))
+    return extract.python_transfers(extract.statements(scripts.file_lines(more))).select("source", "target", "kind")
+
+
+@query("SELECT 'conv_' || conv_id AS source, 'late' AS target, 'Timeout (' || (conv_id % 9 + 1) || 's)' AS label, CAST(conv_id % 9 + 1 AS DOUBLE) AS seconds FROM conversations GROUP BY conv_id")
+def x9_timed_choices(spark, d):
+    files = extract.scripts_of(ad.dialogue(spark, d))
+    more = files.withColumn("content", F.concat("content", F.lit("\n    $ timedchoice("), (F.col("file_ord") % 9 + 1).cast("string"), F.lit(', "late")\n')))
+    return extract.timed_choices(extract.statements(scripts.file_lines(more))).select("source", "target", "label", F.col("timeout.duration_seconds").alias("seconds"))
+
+
+@query("SELECT 'conv_' || conv_id AS source, 'shop' AS screen FROM conversations GROUP BY conv_id")
+def x18_screen_calls(spark, d):
+    files = extract.scripts_of(ad.dialogue(spark, d))
+    more = files.withColumn("content", F.concat("content", F.lit("\n    call screen shop\n")))
+    return extract.screen_calls(extract.statements(scripts.file_lines(more))).select("source", "screen")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'jump' WHEN 'view' THEN 'set_variable' END AS action_kind, CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'dynamic_target' WHEN event_type NOT IN ('click', 'view') THEN 'unmapped_screen_action' END AS category FROM events")
+def x10_screen_actions(spark, d):
+    defaults = spark.createDataFrame([("v", "CLICK", "jump", 1), ("v", "view", "call", 2)], "variant string, action_name string, action_kind string, ord int")
+    custom = spark.createDataFrame([("v", "View", "set_variable", 1), ("v", "error", "nonsense", 2)], defaults.schema)
+    actions = ad.table(spark, d, "events").select("event_id", F.col("event_type").alias("action"), F.when(F.col("event_id") % 2 == 1, F.lit("x")).alias("target"))
+    return extract.screen_actions(actions, extract.merge_action_rules(defaults, custom)).select("event_id", "action_kind", "category")
+
+
+@query("""SELECT source AS project_id, CASE WHEN n > 0 THEN 'shout' ELSE 'standard' END AS variant FROM (SELECT source, count(*) FILTER (WHERE regexp_matches(text, '[A-Z]{4,}!!')) AS n FROM documents GROUP BY source)""")
+def x14_detect_variant(spark, d):
+    rules = spark.createDataFrame([("shout", "[A-Z]{4,}!!", False)], "variant string, pattern string, is_path boolean")
+    return extract.detect_variant(scripts.from_documents(ad.table(spark, d, "documents")), rules).select("project_id", "variant")
+
+
+@query("SELECT 'l' || (event_id % 3) AS lang, 'old' || event_id AS old, 'new' || event_id AS new FROM events")
+def q4_scan_translations(spark, d):
+    from loomgraph.operators import translations
+
+    ev = ad.table(spark, d, "events")
+    k = F.col("event_id").cast("string")
+    text = F.concat(F.lit("translate L"), (F.col("event_id") % 3).cast("string"), F.lit(' strings:\n    # note\n    old "old'), k, F.lit('"\n    new "new'), k, F.lit('"\n'))
+    files = ev.select(F.lit("p").alias("project_id"), F.concat(F.lit("tl/"), k).alias("path"), text.alias("content"))
+    return translations.scan(scripts.file_lines(files))[0].select("lang", "old", "new")
+
+
+@query("SELECT o_orderkey AS node_id, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 5 GROUP BY o_orderkey")
+def w5_interleave_cues(spark, d):
+    o = ad.table(spark, d, "orders").select(F.lit("p").alias("project_id"), F.col("o_orderkey").alias("node_id"), F.lit(5).alias("line_num"), F.lit("last").alias("text"))
+    li = ad.table(spark, d, "lineitem").select(F.lit("p").alias("project_id"), F.col("l_orderkey").alias("node_id"), F.col("l_linenumber").alias("line_num"), F.col("l_partkey").cast("string").alias("asset"))
+    mixed = variables.interleave_cues(o, li)
+    return mixed.where("kind = 'cue'").join(o.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS key, max_by(p_name, p_partkey) AS value FROM part GROUP BY p_brand")
+def u6_merge_definitions(spark, d):
+    p = ad.table(spark, d, "part").select(F.lit("p").alias("project_id"), F.col("p_brand").alias("key"), F.col("p_name").alias("value"), F.col("p_partkey").alias("file_ord"))
+    return integrity.merge_definitions(p).select("key", "value")
+
+
+@query("SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*) AS n FROM (SELECT DISTINCT event_id, event_type AS category FROM events ORDER BY event_id LIMIT 1000) GROUP BY ROLLUP (category)")
+def a14_diagnostics_report(spark, d):
+    ev = ad.table(spark, d, "events").select(F.lit("p").alias("project_id"), F.col("event_id").alias("id"), F.col("event_type").alias("category"))
+    return analytics.diagnostics_report(ev).where("project_id is not null").select(F.coalesce("category", F.lit("all")).alias("category"), "n")
+
+
+@query()
+def g10_collapse_menus(spark, d):
+    from loomgraph.operators import collapse
+
+    n, e = ad.dag(spark, d)
+    return collapse.collapse_menus(e, n.where("type = 'MENU'").select("project_id", "id")).select("source", "target", "kind", "label", "expression")
+
+
+@query(_dag_sql("SELECT 'Reachable' AS status, count(*) AS n FROM sinks", REACH))
+def k1_endings_csv(spark, d):
+    _, _, ends, r = _all_routes(spark, d)
+    lines = exports.endings_csv(analytics.ending_matrix(ends, r)).where("ord > 0")
+    return lines.select(F.substring_index("line", ",", -1).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source AS project_id, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+def r1_incremental_ingest(spark, d):
+    """Documents as a stream of files; what comes twice with the same content is taken once."""
+    from loomgraph.plans.lineage import shared_dir
+    from loomgraph.streaming import ingest
+    import uuid
+
+    base = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
+    files = scripts.from_documents(ad.table(spark, d, "documents")).select("project_id", "path", "content", F.timestamp_seconds(F.lit(1_700_000_000)).alias("arrived"))
+    files.unionAll(files).write.parquet(f"{base}/in")
+    table = ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    return table.groupBy("project_id").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars"))
