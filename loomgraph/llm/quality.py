@@ -43,6 +43,7 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2) -> Or
     m = len(x.hashes)
     shares = np.array([(grades > j).mean() for j in range(k - 1)]).clip(1e-3, 1 - 1e-3)
     t0 = np.log((1 - shares) / shares)
+    scale = np.max([tf.contrast(x, grades > j) for j in range(k - 1)], axis=0)
     start = np.concatenate((np.zeros(m), t0[:1], np.log(np.maximum(np.diff(t0), 1e-2))))
 
     def thresholds(p: np.ndarray) -> np.ndarray:
@@ -51,7 +52,7 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2) -> Or
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, t = p[:m], thresholds(p)
         edge = np.concatenate(([-40.0], t, [40.0]))
-        score = x.times(w)
+        score = x.times(scale * w)
         low, high = edge[grades], edge[grades + 1]
         a, b = _sigmoid(score - low), _sigmoid(score - high)
         prob = np.maximum(a - b, 1e-12)
@@ -61,10 +62,10 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2) -> Or
         gt = np.array([g_low[grades == j + 1].sum() + g_high[grades == j].sum() for j in range(k - 1)])
         tail = np.cumsum(gt[::-1])[::-1]
         gp = np.concatenate((tail[:1], tail[1:] * np.exp(p[m + 1 :])))
-        return float(-np.log(prob).sum() + 0.5 * l2 * (w @ w)), np.concatenate((x.back(ds) + l2 * w, gp))
+        return float(-np.log(prob).sum() + 0.5 * l2 * (w @ w)), np.concatenate((scale * x.back(ds) + l2 * w, gp))
 
     p = tf.lbfgs(loss, start)
-    return OrdinalModel(x.hashes, p[:m], thresholds(p))
+    return OrdinalModel(x.hashes, scale * p[:m], thresholds(p))
 
 
 def fit(docs: DataFrame, grades: DataFrame, limit: int = tf.SAMPLE) -> OrdinalModel:

@@ -103,6 +103,13 @@ class Sparse:
         return np.bincount(self.col, weights=g[self.row], minlength=len(self.hashes))
 
 
+def contrast(x: Sparse, high: np.ndarray) -> np.ndarray:
+    """How much likelier each feature is in one class than in the other, as a log ratio. Features
+    scaled by it hold down words that merely happen to be in a few texts."""
+    y = high.astype(float)
+    return np.abs(np.log((x.back(y) + 1) / (y.sum() + 2)) - np.log((x.back(1 - y) + 1) / ((1 - y).sum() + 2)))
+
+
 def lbfgs(loss, x: np.ndarray, steps: int = 150, memory: int = 8) -> np.ndarray:
     """Minimises ``loss(x) -> (value, gradient)`` with limited-memory BFGS and backtracking."""
     value, grad = loss(x)

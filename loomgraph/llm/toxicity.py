@@ -73,9 +73,7 @@ def fit_sample(rows: list[np.ndarray], labels: np.ndarray, l2: float = L2, swap:
     sign = np.array([v for c in changes for v in c.values()], dtype=float)
     m, y = len(x.hashes), labels.astype(float)
     bias0 = float(np.log(y.mean() / (1 - y.mean())))
-    # features are scaled by their log ratio between the classes, so that words which merely
-    # happen to be in a few texts are held down
-    scale = np.abs(np.log((x.back(y) + 1) / (y.sum() + 2)) - np.log((x.back(1 - y) + 1) / ((1 - y).sum() + 2)))
+    scale = tf.contrast(x, labels > 0)
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w = scale * p[:m]
