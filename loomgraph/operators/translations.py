@@ -23,7 +23,7 @@ def scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair = r"^(old|new)\s+(.*)$"
     s = in_block.where("block_id = 'strings'").where(F.col("t").rlike(pair)).withColumn("side", F.regexp_extract("t", pair, 1)).withColumn("value", extract_literal(F.regexp_extract("t", pair, 2)))
     s = s.withColumn("old", F.when(F.lag("side").over(w) == "old", F.lag("value").over(w))).where("side = 'new' and old is not null").select("project_id", "lang", "old", F.col("value").alias("new"))
-    say = r'^(?:[A-Za-z_][\w.]*(?:\s+[\w@-]+)*\s+)?("(?:[^"\\]|\\.)*"|\x27(?:[^\x27\\]|\\.)*\x27)\s*(?:with\s+\w+|nointeract)?$'
+    say = r'^(?:[A-Za-z_][\w.]*(?:\s+[\w@-]+)*\s+)?("[^"\\]*+(?:\\.[^"\\]*+)*+"|\x27[^\x27\\]*+(?:\\.[^\x27\\]*+)*+\x27)\s*(?:with\s+\w+|nointeract)?$'
     d = in_block.where("block_id <> 'strings'").where(F.col("t").rlike(say) & ~F.col("t").rlike(r"^(old|new|voice|play|stop|queue|show|scene|hide|with)\s"))
     by = Window.partitionBy("project_id", "lang", "block_id").orderBy("path", "line_no")
     d = d.select("project_id", "lang", "block_id", F.regexp_replace("block_id", "_[0-9a-f]{8}$", "").alias("base_label"), F.row_number().over(by).alias("line_index"), extract_literal(F.regexp_extract("t", say, 1)).alias("text"))

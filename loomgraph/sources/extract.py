@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from loomgraph.functions.text import condition_refs
 
 FILE = ["project_id", "path"]
-STRING = r'"(?:[^"\\]|\\.)*"|\x27(?:[^\x27\\]|\\.)*\x27'
+#: A quoted string; possessive, so that long ones need neither stack nor backtracking.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\x27[^\x27\\]*+(?:\\.[^\x27\\]*+)*+\x27'
 #: What a statement of the language starts with, tried in this order.
 PATTERNS = (
     ("label", r"^label\s+(\.?[A-Za-z_][\w.]*)\s*(?:\(([^)]*)\))?\s*:"),
@@ -44,7 +45,7 @@ PATTERNS = (
 
 def strip_comment(line: Column) -> Column:
     """Cuts from the first ``#`` outside quotes."""
-    return F.regexp_replace(line, rf'^((?:[^#"\x27]|{STRING})*)#.*$', "$1")
+    return F.regexp_replace(line, rf'^((?:[^#"\x27]++|{STRING})*+)#.*$', "$1")
 
 
 def unquote(text: Column) -> Column:
