@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NAME, condition_refs
 from loomgraph.plans.frontier import live, present
-from loomgraph.plans.lineage import cut
+from loomgraph.plans.lineage import cut, cut_counted
 
 ROUTES, DEPTH, STATES = 500, 200, 50_000
 
@@ -58,11 +58,11 @@ def _start(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def _capped(level: DataFrame, most: int | None) -> DataFrame:
+def _capped(level: DataFrame, most: int | None) -> tuple[DataFrame, int]:
     if most is None:
-        return cut(level)
+        return cut_counted(level)
     w = Window.partitionBy("project_id").orderBy("order")
-    return cut(level.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most).drop("__nth"))
+    return cut_counted(level.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most).drop("__nth"))
 
 
 def enumerate_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, endings: DataFrame, max_routes: int | None = ROUTES, max_depth: int = DEPTH, max_states: int | None = STATES, max_visits: int = 2) -> DataFrame:
@@ -70,10 +70,10 @@ def enumerate_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, endi
     path, choices, words, pause, has_cycle, truncated. An ending that leads on is passed, too."""
     steps = _steps(edges, nodes, False)
     ends = endings.select("project_id", F.col("node").alias("at")).distinct()
-    level, found = _capped(_start(nodes, starts), max_states), []
-    while not level.isEmpty():
+    (level, n), found = _capped(_start(nodes, starts), max_states), []
+    while n:
         found.append(level.join(ends, ["project_id", "at"], "left_semi"))
-        level = _capped(_advance(level, steps, max_visits, max_depth, False), max_states)
+        level, n = _capped(_advance(level, steps, max_visits, max_depth, False), max_states)
     if not found:
         found = [level]
     rows = reduce(DataFrame.unionAll, found)
@@ -96,13 +96,13 @@ def solve_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets:
     """
     steps = _steps(edges, nodes, True)
     goals = targets.select("project_id", F.col("node").alias("at")).distinct()
-    level, found = _capped(_start(nodes, starts), max_states), []
-    while not level.isEmpty():
+    (level, n), found = _capped(_start(nodes, starts), max_states), []
+    while n:
         found.append(level.join(goals, ["project_id", "at"], "left_semi"))
-        level = _capped(_advance(level, steps, 1, max_depth, True), max_states)
+        level, n = _capped(_advance(level, steps, 1, max_depth, True), max_states)
     rows = reduce(DataFrame.unionAll, found or [level])
-    n, c = F.size("path"), F.size("choices")
-    order = {"shortest": [n, c], "least_choices": [c, n], "max_dialogue": [F.desc("words"), n]}[heuristic]
+    steps_, c = F.size("path"), F.size("choices")
+    order = {"shortest": [steps_, c], "least_choices": [c, steps_], "max_dialogue": [F.desc("words"), steps_]}[heuristic]
     w = Window.partitionBy("project_id", "at")
     best = rows.withColumn("alternatives", F.count("*").over(w) - 1).withColumn("__nth", F.row_number().over(w.orderBy(*order, "order"))).where("__nth = 1")
     j = goals.join(best, ["project_id", "at"], "left")

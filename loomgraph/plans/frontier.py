@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.lineage import cut
+from loomgraph.plans.lineage import cut, cut_counted
 
 
 def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], backward: bool = False, max_depth: int | None = None) -> DataFrame:
@@ -23,13 +23,13 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], backward: bool
     shared = [k for k in keys if k in edges.columns]
     a, b = ("target", "source") if backward else ("source", "target")
     step = cut(edges.select(*shared, F.col(a).alias("node"), F.col(b).alias("next")).where("node is not null and next is not null").distinct())
-    level = cut(seeds.select(*keys, "node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    level, n = cut_counted(seeds.select(*keys, "node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     levels, depth = [level], 0
-    while not level.isEmpty() and (max_depth is None or depth < max_depth):
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
         seen = reduce(DataFrame.unionAll, levels)
         reached = level.select(*keys, "node").join(step, [*shared, "node"]).select(*keys, F.col("next").alias("node")).distinct()
-        level = cut(reached.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        level, n = cut_counted(reached.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         levels.append(level)
     return reduce(DataFrame.unionAll, levels)
 
@@ -53,17 +53,17 @@ def reaches(edges: DataFrame, endings: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "call_return", F.coalesce(context, "id")).when(F.col("kind") == "call", context).alias("context"),
     ).where("node is not null and next is not null").distinct())
     keys = ["project_id", "ending", "node", "stack"]
-    level = cut(endings.select("project_id", F.col("node").alias("ending"), "node", F.array().cast("array<string>").alias("stack")).distinct())
+    level, n = cut_counted(endings.select("project_id", F.col("node").alias("ending"), "node", F.array().cast("array<string>").alias("stack")).distinct())
     levels = [level]
     top = F.try_element_at("stack", F.size("stack"))
-    while not level.isEmpty():
+    while n:
         seen = reduce(DataFrame.unionAll, levels)
         moved = level.join(step, ["project_id", "node"])
         deep = F.size("stack")
         allowed = F.when(F.col("kind") == "call_return", deep < MOST_CALLS).when((F.col("kind") == "call") & (deep > 0), F.col("context").isNull() | (F.col("context") == top)).otherwise(True)
         stack = F.when(F.col("kind") == "call_return", F.array_append("stack", F.col("context"))).when((F.col("kind") == "call") & (deep > 0), F.slice("stack", 1, F.greatest(deep - 1, F.lit(0)))).otherwise(F.col("stack"))
         nxt = moved.where(allowed).select("project_id", "ending", F.col("next").alias("node"), stack.alias("stack")).distinct()
-        level = cut(nxt.join(seen, keys, "left_anti"))
+        level, n = cut_counted(nxt.join(seen, keys, "left_anti"))
         levels.append(level)
     return reduce(DataFrame.unionAll, levels).select("project_id", "node", "ending").distinct()
 
