@@ -3,7 +3,8 @@
 Codes are split into segments, each an index of its own. If every segment was searched to
 radius r, each code within ``segments * (r + 1) - 1`` bits of a query was met, since a code
 further off in every segment is further off in all. The radius grows until each query's k-th
-verified distance lies within what is covered; a query that is done leaves the search.
+verified distance lies within what is covered; a query that is done leaves the search. Codes
+beyond a query's k-th distance so far are dropped by the join that meets them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def segments_for(n: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(shift, width) of each segment; about log2(n) bits each, so that a key holds few codes."""
-    m = max(2, min(bits, round(bits / max(2.0, math.log2(max(2, n))))))
+    """(shift, width) of each segment; log2(n) bits each at most, so that few keys need probing."""
+    m = max(2, min(bits, math.ceil(bits / max(2.0, math.log2(max(2, n))))))
     edges = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -62,14 +63,19 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     owners = cut(codes.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     segments = segments_for(owners.count(), bits)
     index = cut(owners.select("code", F.explode(_keys(F.col("code"), segments)).alias("x")).select("x.s", "x.key", "code"))
-    asked = cut(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct())
+    asked = cut(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q"), F.lit(bits).alias("bound")).distinct())
     found = None
     active, radius = asked, 0
     order = Window.partitionBy("query_id", "q").orderBy("distance", "id")
     while not active.isEmpty() and radius <= max(w for _, w in segments):
         probes = _probes(active, segments, radius)
-        met = probes.join(index, ["s", "key"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
-        rows = active.join(met, "q").join(owners, "code").select("query_id", "q", "distance", F.explode("ids").alias("id")).where("id <> query_id")
+        # what can't be among the k nearest any more is no match of the join; probes are many more
+        # than their queries lead the optimizer to expect, so that it mustn't broadcast them
+        held = index.select(F.col("s").alias("s2"), F.col("key").alias("key2"), "code")
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        near = (F.col("s") == F.col("s2")) & (F.col("key") == F.col("key2")) & (distance <= F.col("bound"))
+        met = probes.hint("merge").join(held, near).select("q", "code", distance.alias("distance")).distinct()
+        rows = active.select("query_id", "q").join(met, "q").join(owners, "code").select("query_id", "q", "distance", F.explode("ids").alias("id")).where("id <> query_id")
         if found is not None:
             rows = rows.unionAll(found.join(active, ["query_id", "q"], "left_semi").select("query_id", "q", "distance", "id"))
         best = rows.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -78,7 +84,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
         found = cut(best if settled is None else settled.select("query_id", "q", "distance", "id", "rank").unionAll(best))
         covered = len(segments) * (radius + 1) - 1
         done = found.groupBy("query_id", "q").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where((F.col("n") >= k) & (F.col("kth") <= covered))
-        active = cut(active.join(done, ["query_id", "q"], "left_anti"))
+        kth = found.where(F.col("rank") == k).select("query_id", "q", F.col("distance").alias("kth"))
+        rest = active.join(done, ["query_id", "q"], "left_anti").join(kth, ["query_id", "q"], "left")
+        active = cut(rest.select("query_id", "q", F.coalesce("kth", "bound").cast("int").alias("bound")))
         radius += 1
     if found is None:
         return asked.select("query_id", F.col("query_id").alias("id"), F.lit(0).alias("distance"), F.lit(0).alias("rank"))
@@ -87,12 +95,13 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
 
 def _probes(active: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
     """The keys at exactly ``radius`` bits from each query's, in every segment so wide."""
-    own = active.select("q").distinct().select("q", F.explode(_keys(F.col("q"), segments)).alias("x")).select("q", "x.s", F.col("x.key").alias("own"))
+    one = active.groupBy("q").agg(F.max("bound").alias("bound"))  # queries may share a code
+    own = one.select("q", "bound", F.explode(_keys(F.col("q"), segments)).alias("x")).select("q", "bound", "x.s", F.col("x.key").alias("own"))
     rings = F.lit(None).cast("array<bigint>")
     for width in {w for _, w in segments if w >= radius}:
         wide = F.col("s").isin([i for i, (_, w) in enumerate(segments) if w == width])
         rings = F.when(wide, _ring(width, radius)).otherwise(rings)
-    return own.select("q", "s", F.explode(F.transform(rings, lambda f: f.bitwiseXOR(F.col("own")))).alias("key"))
+    return own.select("q", "bound", "s", F.explode(F.transform(rings, lambda f: f.bitwiseXOR(F.col("own")))).alias("key"))
 
 
 def of_vectors(vectors: DataFrame, k: int = K, every: int = EVERY, **options) -> DataFrame:
