@@ -248,6 +248,32 @@ def test_substring(spark, awkward, empty):
     assert substring.near_duplicates(awkward).count() == 0 and substring.near_duplicates(empty).count() == 0
 
 
+def _brute_passage(a, b, least=46, similarity=0.8):
+    """Whether any two stretches of 50 words or more are similar enough; equal lengths suffice for replaced words."""
+    sets = [[{t[k] for k in range(l, l + n)} for n in (least, len(t)) for l in range(len(t) - n + 1)] for t in (a.tolist(), b.tolist())]
+    return any(len(p & q) >= similarity * len(p | q) for p in sets[0] for q in sets[1])
+
+
+def test_passages_against_brute_force():
+    for n in (50, 57, 64, 75, 90):
+        words = [f"p{i}".encode() for i in range(n)]
+        a = substring.shingle_hashes(words)
+        for at in range(n):
+            for edit in ([b"x"], [], [words[at], b"x"]):
+                b = substring.shingle_hashes([*words[:at], *edit, *words[at + 1 :]])
+                if len(b) < 46:
+                    continue
+                anchors = [(i, int(np.flatnonzero(b == h)[0])) for i, h in enumerate(a) if h in b]
+                for anchor in (anchors[0], anchors[-1]):
+                    got = substring.passages(a, b, [anchor], 46, 0.8)
+                    assert bool(got) == _brute_passage(a, b), (n, at, edit, anchor)
+                    assert all(s >= 0.8 and min(r - l, r2 - l2) >= 45 for l, r, l2, r2, s in got)
+    # an edit every 50 words
+    words = [f"p{i}".encode() for i in range(450)]
+    a, b = substring.shingle_hashes(words), substring.shingle_hashes([b"x" if i % 50 == 22 else w for i, w in enumerate(words)])
+    assert substring.passages(a, b, [(100, 100)], 46, 0.8)[0][:4] == (0, 445, 0, 445)
+
+
 def _brute_lines(rows):
     h = lambda s: hashlib.md5(s.encode()).hexdigest()
     parts = []
