@@ -252,12 +252,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     never names a component (component_id is null if the component has no other).
     An empty table gives an empty result; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
-    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp")))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = link_fingerprints(distinct.select("fp"), tau)
-    classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    classes = cut(classes)
+    prints, classes = _classes(docs, text, doc_id, tau, shingle)
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(names, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -265,15 +260,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(text, F.crc32(F.col(text).cast("binary")))
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, tau: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as doc_id, text_hash, fp; and fp with its least doc_id and its component."""
+    arrow_batches(docs.sparkSession)
+    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text_hash(text).alias("text_hash"), fingerprint_column(F.col(text), shingle).alias("fp")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = link_fingerprints(distinct.select("fp"), tau)
+    classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return prints, cut(classes)
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one row with the smallest doc_id.
 
-    Rows that repeat that doc_id are told apart by their text; the least text stays.
+    A row without doc_id stays if its component has no other. Rows that share their doc_id,
+    null or not, are told apart by their text, of which the one of least hash stays.
     """
     from pyspark.sql import Window
 
-    groups = near_duplicates(docs, text, doc_id, tau, shingle)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text), *[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] != "void" and not dict(docs.dtypes)[c].startswith("map")])
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    prints, classes = _classes(docs, text, doc_id, tau, shingle)
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    first = prints.join(classes.select("fp", "component"), "fp").groupBy("component").agg(F.min(key).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("_kept"), F.col("k.text_hash").alias("_hash")).distinct()
+    stay = docs.withColumn("_text_hash", _text_hash(text))
+    stay = stay.join(kept, stay[doc_id].cast("long").eqNullSafe(kept["_kept"]) & (stay["_text_hash"] == kept["_hash"]), "left_semi")
+    # what is left to tell apart are rows of one doc_id and one text; Spark limits them before the shuffle
+    order = Window.partitionBy(doc_id, "_text_hash").orderBy(*[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] != "void" and not dict(docs.dtypes)[c].startswith("map")])
+    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_text_hash")

@@ -113,6 +113,14 @@ def test_keep_one(spark, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    rows = [(None, _prose(600 + i, 80), "b") for i in range(6)] + [(None, _prose(600, 80), "b"), (1, _prose(605, 80), "a")]
+    rows += [(2, _prose(620 + i, 80), "a") for i in range(3)] + [(2, _prose(620, 80), "a")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(_docs(spark, rows)).collect()]
+    want = [(None, _prose(600 + i, 80)) for i in range(5)] + [(1, _prose(605, 80))] + [(2, _prose(620 + i, 80)) for i in range(3)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 # --- quality and toxicity ---
 
 
