@@ -56,8 +56,8 @@ def expand(vocabulary: DataFrame, queries: DataFrame, fuzzy: float = FUZZY) -> D
     return both.select("query_id", "q", "term", weight.alias("weight"))
 
 
-def search(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None = None, node_ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Ranked hits: query_id, project_id, doc_id, score, rank. ``node_ids`` filter before the limit."""
+def search(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None = None, node_ids: DataFrame | None = None, limit: int | None = DEFAULT) -> DataFrame:
+    """Ranked hits: query_id, project_id, doc_id, score, rank. ``node_ids`` filter before the limit; without a limit all hits stay."""
     fields = fields or BOOSTS
     p = postings(docs, fields)
     one = expand(p.select("term").distinct(), queries)
@@ -71,9 +71,9 @@ def search(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None
     if node_ids is not None:
         ids = docs.select("project_id", "doc_id", "node_id").join(node_ids.select("project_id", F.col("id").alias("node_id")).distinct(), ["project_id", "node_id"], "left_semi")
         s = s.join(ids.select("project_id", "doc_id"), ["project_id", "doc_id"], "left_semi")
-    k = min(MOST, max(1, DEFAULT if limit is None else limit))
     w = Window.partitionBy("query_id", "project_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = s.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("rank") <= min(MOST, max(1, limit)))
 
 
 def match_union(node_hits: DataFrame, line_hits: DataFrame) -> DataFrame:

@@ -137,14 +137,14 @@ near AS (SELECT q, w FROM vocab, top WHERE starts_with(w, q) OR (abs(length(w) -
 SELECT DISTINCT q AS query_id, doc_id FROM every JOIN near USING (w)"""))
 def q2_dialogue_search(spark, d):
     docs = search.line_docs(ad.dialogue(spark, d))
-    return search.search(docs, _asked(docs), limit=search.MOST).select("query_id", "doc_id")
+    return search.search(docs, _asked(docs), limit=None).select("query_id", "doc_id")
 
 
 @query(with_("nodes", body="SELECT id AS doc_id FROM nodes WHERE list_contains(string_split(label, ' '), 'widget')"))
 def q3_node_search(spark, d):
     docs = ad.nodes(spark, d).select("project_id", F.col("id").alias("doc_id"), "label", F.col("dialogue_count").cast("string").alias("count"))
     asked = spark.createDataFrame([("q", "widget")], "query_id string, query string")
-    return search.search(docs, asked, {"label": 2.0, "count": 1.0}, limit=search.MOST).select("doc_id")
+    return search.search(docs, asked, {"label": 2.0, "count": 1.0}, limit=None).select("doc_id")
 
 
 def _translated(lines):

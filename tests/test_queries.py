@@ -45,3 +45,12 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(registry.QUERIES) > 100
+
+
+def test_search_without_limit(spark):
+    from loomgraph.operators import search
+
+    docs = spark.range(2100).selectExpr("'p' AS project_id", "concat('n', id) AS doc_id", "'a widget' AS label", "'' AS line")
+    asked = spark.createDataFrame([("q", "widget")], "query_id string, query string")
+    assert search.search(docs, asked, limit=None).count() == 2100
+    assert search.search(docs, asked, limit=7).count() == 7 and search.search(docs, asked).count() == search.DEFAULT
