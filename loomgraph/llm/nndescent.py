@@ -3,9 +3,10 @@
 A graph of each vector's nearest neighbours starts from blocks of random projections and is
 refined by joining, around every vector, its neighbours and those it is a neighbour of. Edges
 below the threshold only guide the search. A list that is full of links is saturated: there
-may be more than it holds, and it is enlarged by holding its vector against all of its
-component, in blocks. An audit of some vectors against all rows measures recall; while it is
-short, another projection and another round follow.
+may be more than it holds, and it is enlarged by holding its vector, in blocks, against its
+component and all others of its label that angles don't rule out. An audit of some vectors
+against all rows measures recall; while it is short, another projection and another round
+follow. If that doesn't suffice, every vector is treated as saturated.
 """
 
 from __future__ import annotations
@@ -151,29 +152,61 @@ def audit(graph: DataFrame, classes: DataFrame, cosine: float = COSINE, n: int =
     return 1.0 if not r.n else r.have / r.n
 
 
-def neighbour_graph(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Up to K nearest neighbours of each class (node, grp, vec): u, v, s."""
+def neighbour_graph(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, bool]:
+    """Up to K nearest neighbours of each class (node, grp, vec): u, v, s; and whether their recall suffices."""
     most = classes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     graph = _top(_from_projection(classes, most, range(TABLES)))
     for r in range(MOST_ROUNDS):
         if r >= ROUNDS:
             if audit(graph, classes, cosine) >= RECALL:
-                break
+                return graph, True
             graph = _top(graph.unionAll(_from_projection(classes, most, range(TABLES + r, TABLES + r + 1))))
         graph = _top(graph.unionAll(_descend(graph, classes, r)))
-    return graph
+    return graph, audit(graph, classes, cosine) >= RECALL
+
+
+def _reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The angle of each member to the centre of its component."""
+    for b in batches:
+        if len(b):
+            for _, x in b.groupby(b["vec"].map(len)):
+                yield pd.DataFrame({"c": x["c"], "angle": np.arccos(np.clip((_unit(x["vec"]) * _unit(x["centre"])).sum(axis=1), -1.0, 1.0))})
+
+
+def _near_components(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
+    """Pairs of components that may have a link between them, by the triangle inequality of angles."""
+    widest = np.arccos(cosine) + 1e-6
+    for run in _runs(batches, ["grp", "sb", "mb"]):
+        a, b = run[run["side"] == 0], run[run["side"] == 1]
+        if len(a) and len(b):
+            angle = np.arccos(np.clip(_unit(a["centre"]) @ _unit(b["centre"]).T, -1.0, 1.0))
+            i, j = np.nonzero(angle <= a["reach"].to_numpy()[:, None] + b["reach"].to_numpy()[None, :] + widest)
+            yield pd.DataFrame({"c": a["c"].to_numpy()[i], "d": b["c"].to_numpy()[j]})
+
+
+def _blocks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of ``a`` (side 0) and ``b`` (side 1) of one key, in pairs of blocks; both have columns ``key``, ``h`` and the same others."""
+    sizes = a.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("sbs")).join(b.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("mbs")), key)
+    a = a.join(sizes, key).withColumn("side", F.lit(0)).withColumn("sb", F.expr("pmod(h, sbs)")).withColumn("mb", F.explode(F.expr("sequence(0L, mbs - 1)")))
+    b = b.join(sizes, key).withColumn("side", F.lit(1)).withColumn("mb", F.expr("pmod(h, mbs)")).withColumn("sb", F.explode(F.expr("sequence(0L, sbs - 1)")))
+    both = a.unionByName(b).drop("h", "sbs", "mbs")
+    return both.repartition(key, "sb", "mb").sortWithinPartitions(key, "sb", "mb")
 
 
 def _counts(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
-    """Links between the saturated vectors and the members of each block pair, summed by vector."""
+    """Links between the saturated vectors and the members of each block pair, summed by vector;
+    and, where ``other`` isn't null, the components that they join."""
     for run in _runs(batches, ["c", "sb", "mb"]):
         a, b = run[run["side"] == 0], run[run["side"] == 1]
         if not len(a) or not len(b):
             continue
         hit = (_unit(a["vec"]) @ _unit(b["vec"]).T >= cosine) & (a["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :])
-        yield pd.DataFrame({"node": a["node"], "n_links": hit @ b["n"].to_numpy()})
+        yield pd.DataFrame({"node": a["node"], "n_links": hit @ b["n"].to_numpy(), "other": None})
         plain = ~b["full"].to_numpy(dtype=bool)
-        yield pd.DataFrame({"node": b["node"][plain], "n_links": (hit.T @ a["n"].to_numpy())[plain]})
+        yield pd.DataFrame({"node": b["node"][plain], "n_links": (hit.T @ a["n"].to_numpy())[plain], "other": None})
+        c = int(a["c"].iloc[0])
+        others = [int(d) for d in b["d"][hit.any(axis=0)].unique() if d != c]
+        yield pd.DataFrame({"node": c, "n_links": 0, "other": pd.Series(others, dtype="Int64")})
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -191,27 +224,36 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = cut(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"), F.col(label).alias("label")).withColumn("node", F.when(sound, F.xxhash64("label", "vec"))))
     grp = F.xxhash64("label", F.size("vec"))
     classes = cut(rows.where("node is not null").groupBy("node", "label", "vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("grp", grp))
-    graph = neighbour_graph(classes, cosine)
+    graph, enough = neighbour_graph(classes, cosine)
     links = cut(graph.where(F.col("s") >= cosine).select("u", "v"))
     full = links.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") >= K).select(F.col("u").alias("node"), F.lit(True).alias("full"))
+    if not enough:
+        full = classes.select("node", F.lit(True).alias("full"))
     linked = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "c")
-    known = cut(classes.join(linked, "node", "left").join(full, "node", "left").select("node", "vec", "n", "least", F.coalesce("c", "node").alias("c"), F.coalesce("full", F.lit(False)).alias("full")))
+    known = cut(classes.join(linked, "node", "left").join(full, "node", "left").select("node", "grp", "vec", "n", "least", F.coalesce("c", "node").alias("c"), F.coalesce("full", F.lit(False)).alias("full")))
 
     # links among unsaturated vectors: the edges of the graph, either way
     plain = known.where("not full").select("node", "n")
     both = links.unionAll(links.select("v", "u")).distinct()
     edges = both.join(plain.select(F.col("node").alias("u")), "u").join(plain.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
 
-    # links of saturated vectors: all of the component, in blocks
-    sizes = known.groupBy("c").agg(F.ceil(F.sum(F.col("full").cast("int")) / BLOCK).alias("sbs"), F.ceil(F.count("*") / BLOCK).alias("mbs")).where("sbs > 0")
-    dense = known.join(sizes, "c").withColumn("h", F.xxhash64("node"))
-    a = dense.where("full").select("c", "node", "vec", "n", "full", F.lit(0).alias("side"), F.expr("pmod(h, sbs)").alias("sb"), F.explode(F.expr("sequence(0L, mbs - 1)")).alias("mb"))
-    b = dense.select("c", "node", "vec", "n", "full", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, sbs - 1)")).alias("sb"), F.expr("pmod(h, mbs)").alias("mb"))
-    blocks = a.unionByName(b).repartition("c", "sb", "mb").sortWithinPartitions("c", "sb", "mb")
-    counted = blocks.mapInPandas(lambda x: _counts(x, cosine), "node long, n_links long")
-    totals = edges.unionByName(counted).groupBy("node").agg(F.sum("n_links").alias("n_links"))
-
-    names = known.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = cut(known.join(names, "c").join(totals, "node", "left").select("node", "component_id", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")))
+    # components of saturated vectors, and those near enough to have a link with them
+    centres = known.where("node = c").select("c", "grp", F.col("vec").alias("centre"))
+    reach = known.select("c", "vec").join(centres.select("c", "centre"), "c").mapInPandas(_reach, "c long, angle double").groupBy("c").agg(F.max("angle").alias("reach"))
+    every = cut(centres.join(reach, "c").withColumn("h", F.xxhash64("c")))
+    some = every.join(known.where("full").select("c").distinct(), "c", "left_semi")
+    near = cut(_blocks(some, every, "grp").mapInPandas(lambda x: _near_components(x, cosine), "c long, d long"))
+
+    # links of saturated vectors: all of these, in blocks
+    dense = known.select("node", "vec", "n", "full", F.col("c").alias("d"), F.xxhash64("node").alias("h"))
+    a = dense.where("full").withColumn("c", F.col("d"))
+    blocks = _blocks(a, dense.join(near, "d"), "c")
+    counted = cut(blocks.mapInPandas(lambda x: _counts(x, cosine), "node long, n_links long, other long"))
+    totals = edges.unionByName(counted.where("other is null").select("node", "n_links")).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    joined = components(counted.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("c"), "component")
+
+    whole = known.join(joined, "c", "left").select("node", "n", "least", F.coalesce("component", "c").alias("c"))
+    names = whole.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = cut(whole.join(names, "c").join(totals, "node", "left").select("node", "component_id", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")))
     out = rows.join(named, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

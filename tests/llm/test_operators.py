@@ -214,6 +214,24 @@ def test_nn_descent_against_brute_force(spark):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("enough", [True, False])
+def test_nn_descent_between_saturated_families(spark, monkeypatch, enough):
+    # inner cosine 0.99, cross cosine 0.95: every list is full of its own family
+    dim, rows = 64, []
+    if not enough:
+        monkeypatch.setattr(nndescent, "audit", lambda *_: 0.0)
+        monkeypatch.setattr(nndescent, "MOST_ROUNDS", 1)
+    for family in range(2):
+        for k in range(12):
+            v = np.zeros(dim)
+            v[0], v[1 + family], v[3 + 12 * family + k] = np.sqrt(0.95), np.sqrt(0.04), np.sqrt(0.01)
+            rows.append((family * 12 + k, v.tolist(), 1))
+    rows += [(100 + k, np.eye(dim)[30 + k].tolist(), 1) for k in range(20)]
+    got = {r.vec_id: r for r in nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (23, 0, i == 0) for i in range(24))
+    assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(100, 120))
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(300)]
