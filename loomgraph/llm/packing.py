@@ -12,6 +12,7 @@ in constant time; lengths that need no padding (powers of two) are looked up bes
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,23 @@ END = 1
 #: what a short sequence without padding costs, so that such are taken only where they pay.
 AT_DOCUMENT, AT_SENTENCE, ELSEWHERE, SHORT = 0, 8, 48, 16
 STEP = 256
-#: Tokens that a task packs at once; all but the last windows of a run are final.
+#: New tokens after which a task gives out the windows that have become final.
 RUN = 1 << 19
 #: Words that a Python worker remembers the tokens of.
 REMEMBERED = 700_000
+#: What special tokens start with.
+SPECIAL = "<|"
+#: A letter that every normal form keeps, and ASCII punctuation that no contraction or special token has.
+LETTER_SIGN = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-&(-/:;=?@\[-`{}~])"
+
+
+def _bytes_of(words: pa.StringArray) -> list[bytes]:
+    _, offsets, data = words.buffers()
+    if not len(words) or data is None:
+        return [b""] * len(words)
+    held = data.to_pybytes()
+    edges = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    return [held[a:b] for a, b in zip(edges, edges[1:])]
 
 
 class WordTokens:
@@ -66,45 +81,42 @@ class WordTokens:
         got: dict[bytes, bytes] = {}
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
-            ids = self._encode([" ".join(text[w] for w in part)])[0]
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            # one run of letters is one word to the tokenizer; where that fails, word by word
-            each = np.split(ids, ends[:-1]) if len(ends) == len(part) else self._encode([text[w] for w in part])
-            got.update((w, x.tobytes()) for w, x in zip(part, each))
+            ids = self._encode([" ".join([text[w] for w in part])])[0]
+            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            if len(ends) == len(part):  # one run of letters is one word to the tokenizer
+                data = ids.tobytes()
+                got.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
         rest = [w for w in words if w not in got]
-        # letters and then plain punctuation: two runs, of which the first is often known
-        split = {}
-        for w in rest:
-            core = w.rstrip(b".,!?;:#*$%&")
-            if core and core != w and text[w][: len(core.decode("utf-8", "surrogatepass"))].isalpha():
-                split[w] = core
-        cores = [c for c in dict.fromkeys(split.values()) if c not in self.known and c not in got]
-        tails = [t for t in dict.fromkeys(w[len(c) :] for w, c in split.items()) if t not in self.known and t not in got]
-        if cores:
-            got.update(self._learn(cores))
-        if tails:
-            got.update(zip(tails, (x.tobytes() for x in self._encode([t.decode() for t in tails]))))
-        look = lambda w: got[w] if w in got else self.known[w]
-        got.update({w: look(c) + look(w[len(c) :]) for w, c in split.items()})
-        rest = [w for w in rest if w not in split]
         got.update(zip(rest, (x.tobytes() for x in self._encode([text[w] for w in rest]))))
         if len(self.known) < REMEMBERED:
             self.known.update(got)
         return got
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        unknown = list({w for ws in words for w in ws if w not in known})
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has; null texts have none.
+
+        Words are told apart once a batch; their ids are then gathered for all places at once.
+        The tokenizer folds case (but that of its special tokens), and a letter and the
+        punctuation after it are never one piece to it, so that words are few.
+        """
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, SPECIAL), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, LETTER_SIGN, r"\1 \2"))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        words = _bytes_of(coded.dictionary)
+        unknown = [w for w in words if w not in self.known]
         got = self._learn(unknown) if unknown else {}
-        out = []
-        for ws in words:
-            try:
-                joined = b"".join([known[w] for w in ws])
-            except KeyError:
-                joined = b"".join([known[w] if w in known else got[w] for w in ws])
-            out.append(np.frombuffer(joined, dtype="<u4"))
-        return out
+        ids = [self.known[w] if w in self.known else got[w] for w in words]
+        sizes = np.array([len(x) for x in ids], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        n = sizes[at] if len(at) else np.zeros(0, dtype=np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        begin = (np.cumsum(sizes) - sizes)[at] if len(at) else n
+        out = flat[np.repeat(begin - (ends - n), n) + np.arange(total)]
+        edges = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return out, np.diff(edges)
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -119,57 +131,82 @@ def word_tokens(path: str) -> WordTokens:
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a window may end, and the penalty of each; the last is len(ids)."""
-    stops = np.flatnonzero(ends_sentence[ids]) + 1
-    where = np.unique(np.concatenate((stops, doc_ends, [len(ids)])))
-    gaps = np.diff(np.concatenate(([0], where)))
-    if gaps.max(initial=0) > STEP:
-        filled = [np.arange(b - g + STEP, b, STEP) for b, g in zip(where.tolist(), gaps.tolist()) if g > STEP]
-        where = np.unique(np.concatenate((where, *filled)))
-    penalty = np.full(len(where), float(ELSEWHERE))
-    penalty[np.isin(where, stops)] = AT_SENTENCE
-    penalty[np.isin(where, doc_ends)] = AT_DOCUMENT
-    penalty[-1] = 0.0
-    return where, penalty
-
-
-def best_cuts(where: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
-    """The ends of the cheapest windows over [0, where[-1]]; needs gaps of ``size`` at most."""
+    cost = np.full(len(ids) + 1, np.inf, dtype=np.float32)
+    cost[1:][ends_sentence[ids]] = AT_SENTENCE
+    cost[doc_ends] = AT_DOCUMENT
+    cost[-1] = 0.0
+    where = np.flatnonzero(cost < np.inf)
+    gaps = np.diff(where, prepend=0)
+    for b, g in zip(where[gaps > STEP].tolist(), gaps[gaps > STEP].tolist()):
+        cost[np.arange(b - g + STEP, b, STEP)] = ELSEWHERE
+    where = np.flatnonzero(cost < np.inf)
+    return where, cost[where].astype(float)
+
+
+def best_path(where: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> tuple[list[int], list[int]]:
+    """Cut points with 0 before them, and for each the cut point before it on the cheapest way
+    to it; needs gaps of ``size`` at most."""
     n = len(where)
     pos = [0, *where.tolist()]
     pen = [0.0, *penalty.tolist()]
     at = np.array(pos)
-    exact = []  # for lengths without padding: the cut point so far back, or -1
+    short: dict[int, list[int]] = {}  # by cut point: those that a window without padding comes from
     for k in range(max(0, size.bit_length() - 4), size.bit_length() - 1):
-        i = np.searchsorted(at, at - (1 << k))
-        i[(at - (1 << k) < 0) | (at[np.minimum(i, n)] != at - (1 << k))] = -1
-        exact.append(i)
-    short = np.array(exact).T if exact else np.full((n + 1, 0), -1)
-    has_short = (short >= 0).any(axis=1).tolist()
+        want = at - (1 << k)
+        i = np.searchsorted(at, want)
+        for j in np.flatnonzero((want >= 0) & (at[np.minimum(i, n)] == want)).tolist():
+            short.setdefault(j, []).append(int(i[j]))
     f, prev = [0.0] * (n + 1), [0] * (n + 1)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (f + P, index), increasing
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (f + P, index, P), increasing
+    pop, push = queue.pop, queue.append
     for j in range(1, n + 1):
         p = pos[j]
-        while pos[queue[0][1]] < p - size:
+        while queue[0][2] < p - size:
             queue.popleft()
-        cost, i = queue[0][0] + size - p, queue[0][1]
-        if has_short[j]:
-            for x in short[j].tolist():
-                if x >= 0 and f[x] + SHORT < cost:
+        least, i, _ = queue[0]
+        cost = least + size - p
+        if j in short:
+            for x in short[j]:
+                if f[x] + SHORT < cost:
                     cost, i = f[x] + SHORT, x
         cost += pen[j]
         f[j], prev[j] = cost, i
         g = cost + p
         while queue and queue[-1][0] > g:
-            queue.pop()
-        queue.append((g, j))
-    ends, j = [], n
+            pop()
+        push((g, j, p))
+    return pos, prev
+
+
+def path_to(pos: list[int], prev: list[int], j: int) -> list[int]:
+    """The ends of the windows on the cheapest way to cut point ``j``."""
+    ends = []
     while j:
         ends.append(pos[j])
         j = prev[j]
     return ends[::-1]
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+def common_path(pos: list[int], prev: list[int], size: int) -> list[int]:
+    """The ends of the windows that all cheapest ways share to the cut points a later window may
+    start from. What follows can't change them, so cuts don't depend on how texts arrive."""
+    open_ = [-j for j in range(len(pos)) if pos[j] > pos[-1] - size]
+    heapq.heapify(open_)
+    while True:
+        j = -heapq.heappop(open_)
+        while open_ and -open_[0] == j:
+            heapq.heappop(open_)
+        if not open_:
+            return path_to(pos, prev, j)
+        heapq.heappush(open_, -prev[j])
+
+
+def best_cuts(where: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
+    """The ends of the cheapest windows over [0, where[-1]]; needs gaps of ``size`` at most."""
+    pos, prev = best_path(where, penalty, size)
+    return path_to(pos, prev, len(pos) - 1)
+
+
 PIECES_DDL = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -179,55 +216,65 @@ def split_tail(length: int) -> list[int]:
     return parts if (len(parts) - 1) * (ELSEWHERE + SHORT) < padding(length) else [length]
 
 
+class Stream:
+    """Documents of a stream, of which those not yet in a final window are held."""
+
+    def __init__(self, ends_sentence: np.ndarray, size: int, first_sequence: int) -> None:
+        self.ends_sentence, self.size, self.sequence = ends_sentence, size, first_sequence
+        self.ids = np.zeros(0, dtype="<u4")
+        self.doc_ids: list[int | None] = []
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.first = 0  # tokens of the first document that are in final windows
+
+    def add(self, ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> None:
+        self.ids = np.concatenate((self.ids, ids))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.doc_ids += doc_ids
+
+    def windows(self, last: bool) -> pa.RecordBatch:
+        """The pieces of those windows that no later document can change; all, if this is the last call."""
+        ends = np.cumsum(self.sizes) - self.first
+        cuts = np.zeros(0, dtype=np.int64)
+        if len(self.ids):
+            pos, prev = best_path(*cut_points(self.ids, ends, self.ends_sentence), self.size)
+            cuts = np.array(path_to(pos, prev, len(pos) - 1) if last else common_path(pos, prev, self.size), dtype=np.int64)
+            if last and self.size & (self.size - 1) == 0:
+                begin = cuts[-2] if len(cuts) > 1 else 0
+                cuts = np.concatenate((cuts[:-1], begin + np.cumsum(split_tail(int(cuts[-1] - begin)))))
+        done = int(cuts[-1]) if len(cuts) else 0
+        stops = np.union1d(cuts, ends[ends <= done])
+        starts = np.concatenate(([0], stops[:-1])).astype(np.int64) if len(stops) else stops
+        doc = np.searchsorted(ends, starts, side="right")
+        window = np.searchsorted(cuts, starts, side="right")
+        begins = np.concatenate(([0], cuts[:-1])).astype(np.int64) if len(cuts) else cuts
+        data = pa.py_buffer(self.ids[:done].tobytes())
+        ids = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, done) * 4).astype(np.int32).tobytes()), data])
+        columns = {
+            "doc_id": pa.array(self.doc_ids, pa.int64()).take(pa.array(doc)), "start": starts - (ends - self.sizes)[doc] if len(doc) else starts,
+            "ids": ids, "doc_tokens": self.sizes[doc] if len(doc) else starts, "sequence_id": self.sequence + window, "offset": starts - begins[window] if len(window) else starts,
+        }
+        self.sequence += len(cuts)
+        gone = int(np.searchsorted(ends, done, side="right")) if done else 0
+        self.first = done - int(ends[gone - 1]) if gone else self.first + done
+        self.ids, self.doc_ids, self.sizes = self.ids[done:].copy(), self.doc_ids[gone:], self.sizes[gone:]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
+
+
 def _packed(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     tokens = word_tokens(path)
-    ends_sentence = tokens.ends_sentence
-    sequence = TaskContext.get().partitionId() << 40
-    docs: deque[list] = deque()  # doc_id, its tokens, ids; what isn't in a final window
-    stream: list[np.ndarray] = []
-    held = first = 0  # tokens in the stream; of the first document, those in final windows
-
-    def run(final: bool) -> pa.RecordBatch:
-        nonlocal sequence, held, first, stream
-        ids = np.concatenate(stream) if stream else np.zeros(0, dtype="<u4")
-        sizes = np.array([len(d[1]) for d in docs])
-        doc_ends = np.cumsum(sizes) - first
-        doc_ends = doc_ends[(doc_ends > 0) & (doc_ends <= len(ids))]
-        cuts = best_cuts(*cut_points(ids, doc_ends, ends_sentence), size) if len(ids) else []
-        if not final:  # the last windows may change with what follows
-            cuts = cuts[:-3]
-        elif cuts and size & (size - 1) == 0:
-            last = cuts[-2] if len(cuts) > 1 else 0
-            cuts[-1:] = (last + np.cumsum(split_tail(cuts[-1] - last))).tolist()
-        rows, a = [], 0
-        for b in cuts:
-            x = a
-            while x < b:
-                doc_id, own = docs[0]
-                take = min(b - x, len(own) - first)
-                rows.append((doc_id, first, own[first : first + take].tobytes(), len(own), sequence, x - a))
-                x += take
-                first += take
-                if first == len(own):
-                    docs.popleft()
-                    first = 0
-            sequence += 1
-            a = b
-        stream = [ids[a:]] if a < len(ids) else []
-        held = len(ids) - a
-        return pa.RecordBatch.from_pylist([dict(zip(PIECES.names, r)) for r in rows], schema=PIECES)
-
+    stream = Stream(tokens.ends_sentence, size, TaskContext.get().partitionId() << 40)
+    fresh = 0
     for b in batches:
-        for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.encode_all(b.column("text").to_pylist())):
-            own = np.append(ids, np.array([end], dtype="<u4")).astype("<u4")
-            docs.append([doc_id, own])
-            stream.append(own)
-            held += len(own)
-        if held >= RUN:
-            yield run(False)
-    yield run(True)
+        ids, n = tokens.encode_all(b.column("text").cast(pa.string()))
+        n_ends = np.cumsum(n)
+        stream.add(np.insert(ids, n_ends, end), b.column("doc_id").to_pylist(), n + 1)
+        fresh += len(ids) + len(n)
+        if fresh >= RUN:
+            yield stream.windows(last=False)
+            fresh = 0
+    yield stream.windows(last=True)
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = END, partitions: int | None = None) -> DataFrame:
@@ -240,7 +287,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     gives no piece; other columns are ignored. ``path``: a tokenizer file on every machine.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, rows=500, mb=8)
+    arrow_batches(spark, rows=1500, mb=8)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,3 +465,40 @@ def test_pii(spark, awkward, empty):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82WEST12345698765432")
     assert pii.spans_of("9" * 200_000 + "." * 3 + "a" * 200_000) == []
     assert pii.find(awkward).count() == len(AWKWARD) and pii.find(empty).count() == 0
+
+
+def test_word_tokens_equal_the_tokenizer():
+    """Every letter beyond ASCII before and inside punctuation, contractions, digits, blanks of any kind."""
+    from tokenizers import Tokenizer
+
+    path = packing.public_vocabulary()
+    t, own = Tokenizer.from_file(path), packing.WordTokens(path)
+    letters = [chr(c) for c in [*range(0x80, 0x3000), *range(0xA640, 0xAC10), *range(0xF900, 0xFFFD), *range(0x1D400, 0x1D500)] if chr(c).isalpha()]
+    texts = [f"{c}? {c}!x{c}. a{c}b! {c}{c}, {c}'s" for c in letters]
+    rng = np.random.default_rng(3)
+    signs = list("ab Z9.,!?'\n\t\x0b\x1c\x85\xa0́İΣς<|>") + ["<|endoftext|>", "'ll", "don't"]
+    texts += ["".join(rng.choice(signs, 30)) for _ in range(2000)] + ["", None, "  ", " a", "a "]
+    ids, n = own.encode_all(pa.array(texts, pa.string()))
+    want = [np.array(e.ids, dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want]
+    assert (ids == np.concatenate(want)).all()
+
+
+def test_windows_do_not_depend_on_how_texts_arrive():
+    rng = np.random.default_rng(5)
+    ends_sentence = np.zeros(100, dtype=bool)
+    ends_sentence[7] = True
+    sizes = rng.integers(1, 400, 300)
+    docs = [np.append(rng.choice(100, n - 1, p=[0.05 if k == 7 else 0.95 / 99 for k in range(100)]), 1).astype("<u4") for n in sizes]
+
+    def cuts(step):
+        stream, out = packing.Stream(ends_sentence, 256, 0), []
+        for k in range(0, len(docs), step):
+            part = docs[k : k + step]
+            stream.add(np.concatenate(part), list(range(k, k + len(part))), np.array([len(d) for d in part]))
+            out += stream.windows(last=False).to_pylist()
+        return out + stream.windows(last=True).to_pylist()
+
+    whole = cuts(len(docs))
+    assert cuts(1) == cuts(17) == whole
+    assert b"".join(p["ids"] for p in whole) == np.concatenate(docs).tobytes()
