@@ -46,13 +46,14 @@ def _text(at: Column, n: Column) -> Column:
     return F.array_join(F.slice("__lines", at, n), "\n")
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``text`` cut to its kept chunks, and ``n_lines`` and ``n_removed`` (lines).
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` cut to its kept chunks, and (with ``counts``) ``n_lines`` and ``n_removed``.
 
     A null text stays null with no lines; an empty one has one empty line. Rows that repeat
     doc_id and text are one document and lose the same chunks; of rows without a doc_id, which
     come first, those that tie keep theirs. A document whose chunks are all copies keeps its
-    row with an empty text. Columns of ``docs`` keep their values.
+    row with an empty text. Other columns of ``docs`` keep their values, but for columns of the
+    counts' names, which the counts replace. An empty table gives an empty result.
     """
     parts = chunks(docs.select(F.col(doc_id), F.col(text)), text, doc_id)
     hash_of = lambda x: F.xxhash64(F.slice("__hashes", x["at"], x["n"]))
@@ -68,16 +69,17 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     copies = held.join(firsts, (F.col("hash") == F.col("h2")) & (F.col("bytes") == F.col("b2"))).where(~(F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("no") == F.col("first.no"))))
     drop = copies.groupBy("__key").agg(F.collect_set("no").alias("__drop")).withColumnRenamed("__key", "__k")
 
+    rest = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(1), doc_id, text))
     joined = keyed.join(drop, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
-    return _rebuild(joined, docs.columns, text, doc_id)
+    return _rebuild(joined, rest, text, doc_id, counts)
 
 
 def _n_lines(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
 
 
-def _rebuild(joined: DataFrame, columns: list[str], text: str, doc_id: str) -> DataFrame:
+def _rebuild(joined: DataFrame, columns: list[str], text: str, doc_id: str, counts: bool) -> DataFrame:
     """Chunks are worked out again for the documents that lose some; others pass as they are."""
     masked = joined.withColumn("__masked", F.when(F.col("__drop").isNotNull(), F.col(text)))
     parts = chunks(masked.withColumnRenamed(text, "__whole").withColumnRenamed("__masked", text), text, doc_id)
@@ -87,7 +89,8 @@ def _rebuild(joined: DataFrame, columns: list[str], text: str, doc_id: str) -> D
     new = F.when(F.col("__drop").isNull(), F.col("__whole")).otherwise(joined_text)
     left = F.aggregate("__kept", F.lit(0), lambda a, x: a + x["n"])
     removed = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__lines") - left).cast("long")
-    return parts.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in columns], _n_lines(F.col("__whole")).alias("n_lines"), removed.alias("n_removed"))
+    more = [_n_lines(F.col("__whole")).alias("n_lines"), removed.alias("n_removed")] if counts else []
+    return parts.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in columns], *more)
 
 
 #: DuckDB: the same chunks and the same first places, over the table ``documents``.

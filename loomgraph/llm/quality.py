@@ -69,7 +69,11 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2) -> Or
 
 
 def fit(docs: DataFrame, grades: DataFrame, limit: int = tf.SAMPLE) -> OrdinalModel:
-    """Fits on about ``limit`` documents that have a grade (``doc_id``, ``label``), those of least id hash."""
+    """Fits on about ``limit`` documents that have a grade (``doc_id``, ``label``), those of least id hash.
+
+    Null texts count as empty ones; rows without an id aren't learned from. Without a graded
+    document, or with one grade only, the model gives every text the same score.
+    """
     arrow_batches(docs.sparkSession)
     got = tf.bounded_sample(docs, grades, limit, True, True)
     return fit_sample([np.frombuffer(b, dtype="<u4").astype(np.int64) for b in got["features"]], got["label"].to_numpy(dtype=np.int64))
@@ -79,8 +83,13 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", least_grade:
     """``docs`` with ``expected_grade`` and ``tail``, P(grade >= least_grade).
 
     Null and empty texts get the score of a text without words. A model that saw no two
-    grades has tail 1 for every text. All rows and columns stay.
+    grades has tail 1 for every text. All rows stay, repeated ones too, and all columns but
+    those of these two names, which are replaced. An empty table gives an empty result.
     """
+    return _scored(docs, model, text, least_grade).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("expected_grade", "tail")], "__scored.expected_grade", "__scored.tail")
+
+
+def _scored(docs: DataFrame, model: OrdinalModel, text: str, least_grade: int) -> DataFrame:
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.thresholds))  # SAMPLE bounds it
     name = uuid.uuid4().hex
@@ -93,7 +102,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", least_grade:
         tail = above[:, min(least_grade, above.shape[1]) - 1] if least_grade > 0 else np.ones(len(s))
         return pd.DataFrame({"expected_grade": above.sum(axis=1), "tail": tail})
 
-    return docs.withColumn("__scored", of(F.col(text))).select(*[docs[c] for c in docs.columns], "__scored.expected_grade", "__scored.tail")
+    return docs.withColumn("__scored", of(F.col(text)))
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -103,7 +112,9 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("label"))
 
 
-def select(docs: DataFrame, model: OrdinalModel, text: str = "text", least: float = SELECT) -> DataFrame:
-    """The rows of ``docs`` whose tail probability is at least ``least``."""
-    scored = score(docs, model, text)
-    return scored.where(scored["tail"] >= least).select(*[docs[c] for c in docs.columns])
+def select(docs: DataFrame, model: OrdinalModel, text: str = "text", least: float = SELECT, least_grade: int = LEAST_GRADE) -> DataFrame:
+    """The rows of ``docs`` whose tail probability is at least ``least``, with their columns as they are.
+
+    Null and empty texts count as texts without words; repeated rows stay or go together.
+    """
+    return _scored(docs, model, text, least_grade).where(F.col("__scored.tail") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

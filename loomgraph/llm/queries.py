@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import hamming_topk, linededup, mixing, nndescent, packing, pii, quality, simhash, substring, toxicity
 
@@ -20,8 +21,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.grades(_table(spark, sf_dir, "labels")))
-    scored = quality.score(docs, model)
-    return scored.select("doc_id", "expected_grade", "tail", (scored["tail"] >= quality.SELECT).alias("kept"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.withColumn("kept", F.col("tail") >= quality.SELECT).drop("text")
 
 
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ SHINGLE = 4
 TAU = 4
 #: What one probe costs, counted in candidate pairs: a probe is shuffled, a pair only compared.
 PROBE_COST = 4.0
-#: Numbers of groups to choose from. Three cost about 48 probes a fingerprint and, below some 25
-#: million fingerprints, few candidates; two cost 562 probes and hardly any candidate.
+#: Numbers of groups to choose from. More would be groups of 16 bits or less, whose buckets grow
+#: with the square of the corpus from some 10^5 fingerprints on; with two or three (32 or 21 bits)
+#: candidates stay few up to 10^7 and more, at 562 or 48 probes a fingerprint.
 GROUPS = (2, 3)
 #: Longer texts are hashed in pieces of this many bytes.
 PIECE = 1 << 20
@@ -278,16 +279,26 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: i
     """The rows of ``docs`` that stay: of each component the one row with the smallest doc_id.
 
     A row without doc_id stays if its component has no other. Rows that share their doc_id,
-    null or not, are told apart by their text, of which the one of least hash stays.
+    null or not, are told apart by their text, of which the one of least hash stays. Null and
+    empty texts are one component; of rows that repeat one stays. An empty table gives an
+    empty result; other columns stay as they are.
     """
     from pyspark.sql import Window
 
     prints, classes = _classes(docs, text, doc_id, tau, shingle)
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     first = prints.join(classes.select("fp", "component"), "fp").groupBy("component").agg(F.min(key).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("_kept"), F.col("k.text_hash").alias("_hash")).distinct()
-    stay = docs.withColumn("_text_hash", _text_hash(text))
-    stay = stay.join(kept, stay[doc_id].cast("long").eqNullSafe(kept["_kept"]) & (stay["_text_hash"] == kept["_hash"]), "left_semi")
+    return _one_each(docs, first.select("k.doc_id", "k.text_hash"), text, doc_id)
+
+
+def _one_each(docs: DataFrame, kept: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_hash) of ``kept``, the least by its other columns."""
+    from pyspark.sql import Window
+
+    kept = kept.distinct().select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
+    stay = docs.withColumn("__own_hash", _text_hash(text)).withColumn("__own_id", F.col(doc_id).cast("long"))
+    stay = stay.join(kept, F.col("__own_id").eqNullSafe(F.col("__kept_id")) & (F.col("__own_hash") == F.col("__kept_hash")), "left_semi")
     # what is left to tell apart are rows of one doc_id and one text; Spark limits them before the shuffle
-    order = Window.partitionBy(doc_id, "_text_hash").orderBy(*[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] != "void" and not dict(docs.dtypes)[c].startswith("map")])
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_text_hash")
+    kinds = dict(docs.dtypes)
+    order = Window.partitionBy("__own_id", "__own_hash").orderBy(*[F.col(f"`{c}`") for c in docs.columns if kinds[c] not in ("void", "variant") and "map<" not in kinds[c]])
+    return stay.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,7 +63,7 @@ def features(text: str | None, words: bool = True, shapes: bool = True) -> list[
     """Distinct feature hashes (unsigned 32 bits). Every word of the text counts."""
     tokens = (text or "").split()
     if not shapes:
-        return list({_token(t)[0] for t in set(tokens)})
+        return sorted({_token(t)[0] for t in set(tokens)})
     counts = Counter(tokens)
     found: set[int] = set()
     by_shape: Counter[str] = Counter()
@@ -79,7 +79,7 @@ def features(text: str | None, words: bool = True, shapes: bool = True) -> list[
     found.add(_hash("run", str(_share(runs / total))))
     found.add(_hash("kinds", str(_share(len(counts) / total))))
     found.add(_hash("length", str(len(tokens).bit_length())))
-    return list(found)
+    return sorted(found)
 
 
 class Sparse:
@@ -149,6 +149,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, limit: int, words: bool,
 
     ``labels``: distinct ``doc_id``, and ``label``. The texts stay in Spark; what is broadcast
     and what comes back is bounded by ``limit`` (a document's features by its distinct words).
+    Null texts have the features of empty ones; documents without an id aren't chosen, repeated
+    ids all are; other columns are ignored. Rows come in an order that doesn't depend on files.
     """
 
     @F.pandas_udf("binary")
@@ -157,9 +159,12 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, limit: int, words: bool,
 
     steps = 1 << 24
     below = int(steps * min(1.0, limit / max(1, labels.count())))
-    part = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < below).select(F.col("doc_id").alias("__label_id"), "label")
-    chosen = docs.join(F.broadcast(part), docs["doc_id"] == part["__label_id"]).select(docs["text"], "label")
-    return chosen.select("label", of("text").alias("features")).toPandas()
+    part = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < below).select(F.col("doc_id").alias("__label_id"), F.col("label").alias("__label"))
+    slim = docs.select(F.col("doc_id").alias("__doc_id"), F.col("text").alias("__text"))
+    chosen = slim.join(F.broadcast(part), F.col("__doc_id") == F.col("__label_id"))
+    got = chosen.select(F.col("__label").alias("label"), F.xxhash64("__doc_id").alias("h"), of("__text").alias("features")).toPandas()
+    # in an order of their own, so that sums in floating point don't depend on how rows are dealt
+    return got.sort_values(["h", "features", "label"], kind="stable", ignore_index=True)
 
 
 _TABLES: dict[str, dict[int, float]] = {}

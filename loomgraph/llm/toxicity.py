@@ -52,7 +52,7 @@ class ToxicModel:
 
 
 def fit_sample(rows: list[np.ndarray], labels: np.ndarray, l2: float = L2, swap: float = SWAP) -> ToxicModel:
-    """Logistic loss + l2 |w|^2 / 2 + swap * mean over counterfactual pairs of (change in score)^2."""
+    """Logistic loss + l2 |w|^2 / 2 + swap * sum over counterfactual pairs of (change in score)^2."""
     if not len(labels) or labels.min() == labels.max():
         p = float(labels.mean()) if len(labels) else 0.0
         return ToxicModel(np.zeros(0, dtype=np.int64), np.zeros(0), 4.0 if p == 1 else -4.0)
