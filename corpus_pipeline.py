@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks of lines that an earlier document has; all documents stay."""
-    short = linededup.dedup(docs).select(*docs.columns)
+    short = linededup.dedup(docs, counts=False)
     if "n_chars" not in docs.columns:
         return short
     return short.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
