@@ -253,11 +253,35 @@ def test_topk_against_brute_force(spark):
 
 
 def test_compact_windows_cover_every_subsequence():
-    g = np.random.default_rng(3).integers(0, 50, 40).astype(np.uint64)
-    windows = substring.compact_windows(g, 6)
-    for i in range(len(g)):
-        for j in range(i + 5, len(g)):
-            assert sum(l <= i <= c <= j <= r and g[c] == g[i : j + 1].min() for l, c, r in windows) == 1
+    edges = np.array([0, 40, 43, 43, 90])
+    g = np.random.default_rng(3).integers(0, 50, 90).astype(np.uint64) << np.uint64(50)
+    windows = list(zip(*substring.compact_windows(g, edges, 6)))
+    for start, end in zip(edges[:-1], edges[1:]):
+        for i in range(start, end):
+            for j in range(i + 5, end):
+                assert sum(l <= i <= c <= j <= r and g[c] == g[i : j + 1].min() for l, c, r in windows) == 1
+    assert all(r - l >= 5 and np.searchsorted(edges, l, side="right") == np.searchsorted(edges, r, side="right") for l, _, r in windows)
+
+
+def test_signatures_are_the_interval_join():
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    rows = []
+    for f in range(4):
+        g = substring._order(h, f)
+        rows += [(f, int(g[c]), int(l), int(c), int(r)) for l, c, r in zip(*substring.compact_windows(g, np.array([0, 400]), 46))]
+    rows.sort(key=lambda w: w[3])
+    i, key, l, c, r = (np.array(x, dtype=np.uint64 if k == 1 else np.int64) for k, x in enumerate(zip(*rows)))
+    got = substring.signatures(np.zeros(len(i), dtype=np.int64), i, key, l, c, r, 46)[2]
+    want = []
+    for u in rows:
+        for v in rows:
+            if u[0] < v[0]:
+                starts = range(max(u[2], v[2]), min(u[3], v[3]) + 1)
+                ends = range(max(u[3], v[3]), min(u[4], v[4]) + 1)
+                if len(starts) and len(ends) and ends[-1] - starts[0] >= 45:
+                    want.append(u[3])
+    assert sorted(got.tolist()) == sorted(want)
 
 
 def test_substring(spark, awkward, empty):
@@ -275,6 +299,39 @@ def test_substring(spark, awkward, empty):
     assert substring.near_duplicates(awkward).count() == 0 and substring.near_duplicates(empty).count() == 0
 
 
+def test_shorter_parts_hide_no_passage(spark):
+    """A holds 40 words (too few for a similarity of 0.8 over 50) of the passage that B and C share; every order of text hashes occurs."""
+    rows = []
+    for k in range(60):
+        passage = [f"t{k}x{i}" for i in range(60)]
+        part = passage[k % 20 : k % 20 + 40]
+        rows += [(3 * k + n, " ".join([*_prose(7000 + 3 * k + n, 70).split(), *words, *_prose(8000 + 3 * k + n, 70).split()]), "s") for n, words in enumerate((part, passage, passage))]
+    got = {frozenset((r.doc_id, r.other_id)) for r in substring.near_duplicates(_docs(spark, rows)).collect()}
+    want = {frozenset((3 * k + 1, 3 * k + 2)) for k in range(60)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_substring_recall(spark):
+    """Pairs of passages of 50 to 120 words with replaced, dropped or added words, similar by 0.8 or more."""
+    rng = np.random.default_rng(21)
+    rows, want = [], set()
+    for k in range(150):
+        n = int(rng.integers(50, 121))
+        words = [f"q{k}x{i}" for i in range(n)]
+        other = list(words)
+        for _ in range(int(rng.integers(0, max(1, n // 50) + 1))):
+            at = int(rng.integers(0, len(other)))
+            other[at : at + 1] = [["y"], [], [other[at], "y"]][int(rng.integers(0, 3))]
+        a, b = substring.tokens_of(pa.array([" ".join(words), " ".join(other)]))[0], None
+        a, b = a[: n - 4], a[n - 4 :]
+        if len(b) >= 46 and substring._similarity(a, b) >= 0.8:
+            want.add(frozenset((2 * k, 2 * k + 1)))
+        rows += [(2 * k + m, " ".join([*_prose(5000 + 2 * k + m, 60).split(), *w, *_prose(6000 + 2 * k + m, 60).split()]), "s") for m, w in enumerate((words, other))]
+    got = {frozenset((r.doc_id, r.other_id)) for r in substring.near_duplicates(_docs(spark, rows)).collect()}
+    assert len(want) > 90 and len(got & want) >= 0.95 * len(want), (len(got & want), len(want))
+    assert all(max(p) - min(p) == 1 and min(p) % 2 == 0 for p in got)
+
+
 def _brute_passage(a, b, least=46, similarity=0.8):
     """Whether any two stretches of 50 words or more are similar enough; equal lengths suffice for replaced words."""
     sets = [[{t[k] for k in range(l, l + n)} for n in (least, len(t)) for l in range(len(t) - n + 1)] for t in (a.tolist(), b.tolist())]
@@ -283,11 +340,12 @@ def _brute_passage(a, b, least=46, similarity=0.8):
 
 def test_passages_against_brute_force():
     for n in (50, 57, 64, 75, 90):
-        words = [f"p{i}".encode() for i in range(n)]
-        a = substring.shingle_hashes(words)
+        words = [f"p{i}" for i in range(n)]
+        tokens = lambda w: substring.tokens_of(pa.array([" ".join(w)]))[0]
+        a = tokens(words)
         for at in range(n):
-            for edit in ([b"x"], [], [words[at], b"x"]):
-                b = substring.shingle_hashes([*words[:at], *edit, *words[at + 1 :]])
+            for edit in (["x"], [], [words[at], "x"]):
+                b = tokens([*words[:at], *edit, *words[at + 1 :]])
                 if len(b) < 46:
                     continue
                 anchors = [(i, int(np.flatnonzero(b == h)[0])) for i, h in enumerate(a) if h in b]
@@ -296,8 +354,8 @@ def test_passages_against_brute_force():
                     assert bool(got) == _brute_passage(a, b), (n, at, edit, anchor)
                     assert all(s >= 0.8 and min(r - l, r2 - l2) >= 45 for l, r, l2, r2, s in got)
     # an edit every 50 words
-    words = [f"p{i}".encode() for i in range(450)]
-    a, b = substring.shingle_hashes(words), substring.shingle_hashes([b"x" if i % 50 == 22 else w for i, w in enumerate(words)])
+    words = [f"p{i}" for i in range(450)]
+    a, b = tokens(words), tokens(["x" if i % 50 == 22 else w for i, w in enumerate(words)])
     assert substring.passages(a, b, [(100, 100)], 46, 0.8)[0][:4] == (0, 445, 0, 445)
 
 
