@@ -173,7 +173,7 @@ def fold(expression: str | None, env: dict[str, object]) -> tuple[bool, object,
                     return x + y
                 return _arithmetic(ast.Add, x, y)
             case ast.BoolOp(op=op, values=parts):
-                return (all if isinstance(op, ast.And) else any)(down(p) for p in parts)
+                return decided(parts, isinstance(op, ast.And), depth)
             case ast.Compare(left=a, ops=[op], comparators=[b]) if isinstance(op, (ast.Eq, ast.NotEq)):
                 return same(down(a), down(b)) == isinstance(op, ast.Eq)
             case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in _ORDER:
@@ -187,6 +187,23 @@ def fold(expression: str | None, env: dict[str, object]) -> tuple[bool, object,
             return env[_dotted(n)]
         return _value(n, _missing, depth)
 
+    def decided(parts: list[ast.AST], both: bool, depth: int):
+        """The operand that decides ``and`` or ``or``: a known one settles it whatever the unknown
+        others are; without such a one, all must be known and the last is the value."""
+        values = []
+        for p in parts:
+            try:
+                v = go(p, depth + 1)
+            except (Unknown, TypeError, KeyError, IndexError, ValueError):
+                values.append((False, None))
+                continue
+            if bool(v) != both:
+                return v
+            values.append((True, v))
+        if not all(ok for ok, _ in values):
+            raise Unknown
+        return values[-1][1]
+
     def _missing(name: str):
         if name in env:
             return env[name]
@@ -215,6 +232,18 @@ def always(expression: str | None) -> bool | None:
     return bool(v) if ok else None
 
 
+def always_column(expression: Column) -> Column:
+    """``always`` of each expression."""
+
+    @F.pandas_udf("boolean")
+    def of(expressions: pd.Series) -> pd.Series:
+        known = {e: always(e) for e in expressions.dropna().unique()}
+        return pd.Series([True if e is None else known[e] for e in expressions], dtype=object)
+
+    return of(expression)
+
+
+
 # --- over tables ---------------------------------------------------------------------------
 
 

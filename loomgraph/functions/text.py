@@ -113,7 +113,7 @@ def interpolated(text: Column) -> Column:
 def csv_cell(value: Column) -> Column:
     """A cell of a CSV file: quoted where needed, formulas defused by an apostrophe; null: empty."""
     s = value.cast("string")
-    formula = s.rlike(r"^[=+\-@\t\r]") | F.trim(s).rlike(r"^[=+\-@]")
+    formula = s.rlike(r"^[=+\-@\t\r]") | s.rlike(r"^\s+[=+\-@]")
     quoted = F.concat(F.lit('"'), F.when(formula, F.lit("'")).otherwise(F.lit("")), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(s.isNull(), "").when(formula | s.rlike(r'[,"\n\r]'), quoted).otherwise(s)
 

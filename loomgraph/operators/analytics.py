@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.lineage import numbered
 from loomgraph.functions.text import ending_type, format_minutes, pause_seconds, reading_seconds, word_count
 from loomgraph.plans.frontier import live, present
 
@@ -149,8 +150,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame) ->
 
 def diagnostics_report(diagnostics: DataFrame, most: int = 1000) -> DataFrame:
     """Counts by category with subtotals, after keeping each id once and ``most`` a project."""
-    w = Window.partitionBy("project_id").orderBy("id")
-    once = diagnostics.select("project_id", "id", "category").distinct().withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most)
+    once = numbered(diagnostics.select("project_id", "id", "category").distinct(), ["project_id"], ["id", "category"], "__nth").where(F.col("__nth") <= most)
     return once.rollup("project_id", "category").agg(F.count("*").alias("n"))
 
 

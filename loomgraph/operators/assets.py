@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.lineage import cut
+from loomgraph.plans.lineage import cut, numbered
 
 VISUAL = ("scene", "show", "image")
 #: Names that need no file.
-BUILTIN = ("black", "white", "none", "transparent", "nvl", "window", "text")
+BUILTIN = ("black", "white", "none", "transparent")
+#: Displayables made in place.
+MADE = ("Solid", "Composite", "Transform", "Frame")
 MOST = 1000
 #: Rounds of looking up a name behind a name.
 HOPS = 4
@@ -25,13 +27,25 @@ def clean_asset(asset: Column) -> Column:
     return F.trim(F.regexp_replace(a, r'^["\x27]|["\x27]$', ""))
 
 
+def normal_path(path: Column) -> Column:
+    """With forward slashes, without a leading ``./`` and then ``game/``."""
+    p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", "")
+    return F.trim(F.regexp_replace(p, r"(?i)^game/", ""))
+
+
+def needs_no_file(name: Column) -> Column:
+    """Built-in displayables, those made in place, and colours of 3, 4, 6 or 8 digits."""
+    n = F.trim(name)
+    return F.lower(n).isin(*BUILTIN) | n.rlike(rf"(?i)^({'|'.join(MADE)})\s*\(") | n.rlike(r"^#([0-9a-fA-F]{3,4}|[0-9a-fA-F]{6}|[0-9a-fA-F]{8})$")
+
+
 def media_index(media: DataFrame) -> DataFrame:
     """One row per key of a file: project_id, kind, key, path, priority; a later file wins a key.
 
     Kinds in order: exact, lower, file (name), stem, relative (path without extension), audio
     (``audio.name``), tag (image names: stem, with spaces for ``_`` or ``/``, both).
     """
-    path = F.regexp_replace("path", r"\\", "/")
+    path = normal_path(F.col("path"))
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
     relative = F.regexp_replace(path, r"\.[^.]+$", "")
@@ -71,7 +85,8 @@ def resolve(names: DataFrame, index: DataFrame, definitions: DataFrame | None =
 
 def _match(asked: DataFrame, index: DataFrame) -> DataFrame:
     """Names against the keys of the index: as written, and in lower case."""
-    own = asked.select("project_id", "type", "name", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("at").alias("key")), F.struct(F.lit(False).alias("own"), F.lower("at").alias("key")))).alias("x")).select("project_id", "type", "name", "x.*").distinct()
+    at = normal_path(F.col("at"))
+    own = asked.select("project_id", "type", "name", F.explode(F.array(F.struct(F.lit(True).alias("own"), at.alias("key")), F.struct(F.lit(False).alias("own"), F.lower(at).alias("key")))).alias("x")).select("project_id", "type", "name", "x.*").distinct()
     m = own.join(index, ["project_id", "key"]).where("own = (kind = 'exact')")
     return m.where(F.when(F.col("kind") == "audio", ~F.col("type").isin(*VISUAL)).when(F.col("kind") == "tag", F.col("type").isin(*VISUAL)).otherwise(True))
 
@@ -86,12 +101,11 @@ def missing_assets(cues: DataFrame, media: DataFrame, definitions: DataFrame | N
     """Cues without a file: project_id, type, name, n, and a ``missing_asset`` diagnostic each,
     ``most`` a project; projects without any media are left out."""
     known = media.select("project_id").distinct()
-    asked = split_playlists(cues).join(known, "project_id", "left_semi").where(~F.lower("name").isin(*BUILTIN) & ~F.col("name").rlike(r"^#[0-9a-fA-F]{3,8}$"))
+    asked = split_playlists(cues).join(known, "project_id", "left_semi").where(~needs_no_file(F.col("name")))
     totals = asked.groupBy("project_id", "type", "name").agg(F.count("*").alias("n"))
     hit = resolve(totals, media_index(media), definitions)
-    w = Window.partitionBy("project_id").orderBy("type", "name")
     gone = totals.join(hit, ["project_id", "type", "name"], "left_anti")
-    return gone.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most).select("project_id", "type", "name", "n", F.lit("missing_asset").alias("category"))
+    return numbered(gone, ["project_id"], ["type", "name"], "__nth").where(F.col("__nth") <= most).select("project_id", "type", "name", "n", F.lit("missing_asset").alias("category"))
 
 
 def catalog(cues: DataFrame) -> DataFrame:

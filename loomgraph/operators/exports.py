@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import csv_cell, format_minutes, markdown_cell
+from loomgraph.plans.lineage import numbered
 
 
 def _lines(df: DataFrame, section: str, order: list, line: Column) -> DataFrame:
-    w = Window.partitionBy("project_id").orderBy(*order)
-    return df.select("project_id", F.lit(section).alias("section"), F.row_number().over(w).cast("long").alias("ord"), line.alias("line"))
+    rows = numbered(df.withColumn("__line", line), ["project_id"], order, "__ord")
+    return rows.select("project_id", F.lit(section).alias("section"), F.col("__ord").alias("ord"), F.col("__line").alias("line"))
 
 
 def _csv(cells: list[Column]) -> Column:
@@ -118,8 +119,8 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def aliases(nodes: DataFrame) -> DataFrame:
     """Stable anonymous ids n1, n2, ... in order."""
-    w = Window.partitionBy("project_id").orderBy("node_ord")
-    return nodes.select("project_id", "id", F.concat(F.lit("n"), F.row_number().over(w).cast("string")).alias("alias"))
+    rows = numbered(nodes.select("project_id", "id", "node_ord"), ["project_id"], ["node_ord"], "__ord")
+    return rows.select("project_id", "id", F.concat(F.lit("n"), F.col("__ord").cast("string")).alias("alias"))
 
 
 def redacted(nodes: DataFrame, edges: DataFrame, with_labels: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -129,13 +130,12 @@ def redacted(nodes: DataFrame, edges: DataFrame, with_labels: bool = False) -> t
     """
     ids = aliases(nodes)
     ends = edges.select("project_id", F.explode(F.array("source", "target")).alias("id")).distinct().join(ids, ["project_id", "id"], "left_anti")
-    w = Window.partitionBy("project_id").orderBy("id")
-    whole = ids.unionByName(ends.select("project_id", "id", F.concat(F.lit("n_unmapped_"), F.row_number().over(w).cast("string")).alias("alias")))
+    whole = ids.unionByName(numbered(ends, ["project_id"], ["id"], "__ord").select("project_id", "id", F.concat(F.lit("n_unmapped_"), F.col("__ord").cast("string")).alias("alias")))
     more = ["label", "chapter"] if with_labels else []
     n = nodes.join(ids, ["project_id", "id"]).select("project_id", F.col("alias").alias("id"), "type", "dialogue_count", "word_count", *more)
     e = edges.join(whole.select("project_id", F.col("id").alias("source"), F.col("alias").alias("s")), ["project_id", "source"]).join(whole.select("project_id", F.col("id").alias("target"), F.col("alias").alias("t")), ["project_id", "target"])
-    by = Window.partitionBy("project_id").orderBy("edge_ord")
-    return n, e.select("project_id", F.concat(F.lit("e"), F.row_number().over(by).cast("string")).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), "kind", *(["label", "expression"] if with_labels else []))
+    e = numbered(e, ["project_id"], ["edge_ord"], "__ord")
+    return n, e.select("project_id", F.concat(F.lit("e"), F.col("__ord").cast("string")).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), "kind", *(["label", "expression"] if with_labels else []))
 
 
 def write_text(lines: DataFrame, path: str) -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import base_label
-from loomgraph.plans.frontier import closure, live
+from loomgraph.plans.frontier import live, reachable
+from loomgraph.plans.lineage import cut
 
 #: Labels that a story starts from.
 ENTRIES = ("start", "splashscreen", "main_menu", "after_load")
@@ -125,28 +126,38 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with ``is_orphan``: not reached from the entry points over any edge, also those
     whose condition is statically false."""
-    met = closure(edges, entry_points(nodes, edges), ["project_id"]).select("project_id", F.col("node").alias("id")).distinct().withColumn("__met", F.lit(True))
+    met = reachable(edges, entry_points(nodes, edges)).select("project_id", F.col("node").alias("id")).distinct().withColumn("__met", F.lit(True))
     rest = [c for c in nodes.columns if c != "is_orphan"]
     return nodes.join(met, ["project_id", "id"], "left").select(*[nodes[c] if c not in ("project_id", "id") else F.col(c) for c in rest], F.col("__met").isNull().alias("is_orphan"))
 
 
-def call_depth(edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
-    """The deepest nesting of calls at each label that a start calls, up to ``most`` + 1:
-    project_id, node, depth, excessive."""
-    from functools import reduce
+def call_starts(nodes: DataFrame) -> DataFrame:
+    """Where calls may start from: the node ``start`` and all story nodes (project_id, node)."""
+    return nodes.where((F.col("id") == "start") | (F.col("role") == "story")).select("project_id", F.col("id").alias("node"))
 
-    from loomgraph.plans.lineage import cut
 
-    calls = cut(edges.where("kind = 'call'").select("project_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct())
-    level = cut(starts.select("project_id", "node").distinct().withColumn("depth", F.lit(0)))
-    levels = [level]
-    for depth in range(1, most + 2):
-        level = cut(level.join(calls, ["project_id", "node"]).select("project_id", F.col("next").alias("node")).distinct().withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    deepest = reduce(DataFrame.unionAll, levels).groupBy("project_id", "node").agg(F.max("depth").alias("depth"))
-    return deepest.withColumn("excessive", F.col("depth") > most)
+def call_depth(edges: DataFrame, starts: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """How deep calls nest, over all edges: a call goes one deeper (not beyond ``most``), a
+    call_return one back, others keep the depth.
+
+    Returns the greatest depth at each node (project_id, node, depth), and the calls that would
+    exceed ``most`` (project_id, edge_id, source, target, frames, chain: the calls that lead there).
+    A node is looked at again only where it was reached deeper than before, so at most ``most`` times.
+    """
+    step = cut(edges.where("source is not null and target is not null").groupBy("project_id", F.col("source").alias("node"), F.col("target").alias("next"), F.when(F.col("kind").isin("call", "call_return"), F.col("kind")).alias("way")).agg(F.min("id").alias("id")))
+    known = cut(starts.select("project_id", "node").distinct().select("project_id", "node", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("chain")))
+    level = known
+    n = F.size("chain")
+    chain = F.when(F.col("way") == "call", F.array_append("chain", F.col("next"))).when(F.col("way") == "call_return", F.slice("chain", 1, F.greatest(n - 1, F.lit(0)))).otherwise(F.col("chain"))
+    while not level.isEmpty():
+        reached = level.join(step, ["project_id", "node"]).select("project_id", F.col("next").alias("node"), chain.alias("chain")).where(F.size("chain") <= most)
+        best = reached.groupBy("project_id", "node").agg(F.min(F.struct((-F.size("chain")).alias("d"), "chain")).alias("b")).select("project_id", "node", F.size("b.chain").alias("depth"), "b.chain")
+        before = known.select("project_id", "node", F.col("depth").alias("was"))
+        level = cut(best.join(before, ["project_id", "node"], "left").where("was is null or depth > was").drop("was"))
+        known = cut(known.join(level.select("project_id", "node"), ["project_id", "node"], "left_anti").unionByName(level))
+    over = known.where(F.col("depth") == most).join(step.where("way = 'call'"), ["project_id", "node"])
+    calls = over.select("project_id", F.col("id").alias("edge_id"), F.col("node").alias("source"), F.col("next").alias("target"), F.lit(most + 1).alias("frames"), F.array_append("chain", F.col("next")).alias("chain"))
+    return known.select("project_id", "node", "depth"), calls
 
 
 def call_origins(edges: DataFrame) -> DataFrame:
@@ -170,8 +181,9 @@ def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None
     """Targets of jumps to expressions: project_id, source, line_no, expression, target, how.
 
     First custom rules (pattern, target; few), then literals and the strings of a ternary that are
-    labels, then f-strings by their fixed beginning and end. Labels are blocked by their first
-    three letters (or last three, without a beginning), so that no jump meets every label.
+    labels, then labels by their fixed beginning and end: of an f-string, or of strings added to
+    something. Beginnings are joined by their text, with the labels' beginnings of the same
+    lengths (ends likewise, without a beginning), so that no jump meets every label.
     """
     from loomgraph.functions.text import extract_literal
 
@@ -181,15 +193,28 @@ def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None
         found.append(jumps.join(F.broadcast(rules.select("pattern", "target")), F.expr("expression rlike pattern")).select(*keys, "target", F.lit("rule").alias("how")))
     ids = labels.select("project_id", F.col("id").alias("target")).distinct()
     text = r'"([^"\\]*)"|\x27([^\x27\\]*)\x27'
-    plain = jumps.where(~F.col("expression").rlike(r"^[fF][\"\x27]"))
+    e = F.trim("expression")
+    outside = F.regexp_replace("expression", text, "")
+    is_f = e.rlike(r"^[fF][\"\x27].*\{.*\}.*[\"\x27]$")
+    plain = jumps.where(~e.rlike(r"^[fF][\"\x27]") & ~outside.contains("+"))
     strings = F.array_union(F.array(extract_literal(F.col("expression"))), F.array_union(F.regexp_extract_all("expression", F.lit(text), F.lit(1)), F.regexp_extract_all("expression", F.lit(text), F.lit(2))))
     literal = plain.select(*keys, F.explode(strings).alias("target")).where("target <> ''").distinct().join(ids, ["project_id", "target"], "left_semi")
     found.append(literal.select(*keys, "target", F.lit("literal").alias("how")))
-    body = F.regexp_extract("expression", r"^[fF][\"\x27](.*)[\"\x27]$", 1)
-    f = jumps.where(F.col("expression").rlike(r"^[fF][\"\x27].*\{.*\}.*[\"\x27]$")).select(*keys, F.substring_index(body, "{", 1).alias("pre"), F.substring_index(body, "}", -1).alias("post"))
-    f = f.withColumn("block", F.when(F.length("pre") >= 3, F.concat(F.lit("<"), F.substring("pre", 1, 3))).when(F.length("post") >= 3, F.concat(F.lit(">"), F.substring("post", -3, 3))))
-    blocks = ids.select("project_id", "target", F.explode(F.array(F.concat(F.lit("<"), F.substring("target", 1, 3)), F.concat(F.lit(">"), F.substring("target", -3, 3)))).alias("block"))
-    near = f.join(blocks, ["project_id", "block"]).where(F.col("target").startswith(F.col("pre")) & F.col("target").endswith(F.col("post")) & (F.length("target") >= F.length("pre") + F.length("post")))
+
+    inner = lambda s: F.regexp_extract(s, r"^[A-Za-z]{0,2}[\"\x27](.*)[\"\x27]$", 1)
+    quoted = r'[A-Za-z]{0,2}("[^"\\]*"|\x27[^\x27\\]*\x27)'
+    every = F.regexp_extract_all("expression", F.lit(quoted), F.lit(1))
+    first, last = inner(F.regexp_extract(e, "^" + quoted, 0)), inner(F.regexp_extract(e, quoted + "$", 0))
+    one = F.when(first == "", inner(F.element_at(every, 1))).otherwise(F.lit(""))
+    body = inner(e)
+    pre = F.when(is_f, F.substring_index(body, "{", 1)).otherwise(first)
+    post = F.when(is_f, F.substring_index(body, "}", -1)).when(F.size(every) == 1, one).otherwise(last)
+    f = jumps.where(is_f | (outside.contains("+") & (F.size(every) > 0))).select(*keys, pre.alias("pre"), post.alias("post"))
+    f = f.select("*", F.when(F.length("pre") > 0, "<").when(F.length("post") > 0, ">").alias("side")).select("*", F.when(F.col("side") == "<", F.col("pre")).otherwise(F.col("post")).alias("block")).where("side is not null")
+    lengths = f.select("project_id", "side", F.length("block").alias("n")).distinct()
+    part = F.when(F.col("side") == "<", F.expr("left(target, n)")).otherwise(F.expr("right(target, n)"))
+    blocks = ids.join(lengths, "project_id").where(F.length("target") >= F.col("n")).select("project_id", "side", "target", part.alias("block"))
+    near = f.join(blocks, ["project_id", "side", "block"]).where(F.col("target").startswith(F.col("pre")) & F.col("target").endswith(F.col("post")) & (F.length("target") >= F.length("pre") + F.length("post")))
     found.append(near.select(*keys, "target", F.lit("pattern").alias("how")))
     out = found[0]
     for other in found[1:]:

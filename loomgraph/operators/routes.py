@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NAME, condition_refs
 from loomgraph.plans.frontier import live, present
-from loomgraph.plans.lineage import cut, cut_counted
+from loomgraph.plans.lineage import cut, cut_counted, numbered
 
 ROUTES, DEPTH, STATES = 500, 200, 50_000
 
@@ -132,5 +132,6 @@ def bfs_first(nodes: DataFrame, edges: DataFrame, start: DataFrame, n: int = 220
     depth = lambda seeds, name: closure(edges, seeds, ["project_id"]).groupBy("project_id", F.col("node").alias("id")).agg(F.min("depth").alias(name))
     j = nodes.join(depth(start, "d1"), ["project_id", "id"], "left").join(depth(roots, "d2"), ["project_id", "id"], "left")
     kind = F.when(F.col("d1").isNotNull(), 0).when(F.col("d2").isNotNull(), 1).otherwise(2)
-    w = Window.partitionBy("project_id").orderBy(kind, F.coalesce("d1", "d2", F.lit(0)), "node_ord")
-    return j.select("project_id", "id", F.row_number().over(w).alias("rank")).withColumn("overflow", F.col("rank") > n)
+    rows = j.select("project_id", "id", kind.alias("__kind"), F.coalesce("d1", "d2", F.lit(0)).alias("__depth"), "node_ord")
+    ranked = numbered(rows, ["project_id"], ["__kind", "__depth", "node_ord"], "rank")
+    return ranked.select("project_id", "id", F.col("rank").cast("int").alias("rank"), (F.col("rank") > n).alias("overflow"))

@@ -14,6 +14,86 @@ from pyspark.sql import functions as F
 from loomgraph.plans.lineage import cut, cut_counted
 
 
+#: Levels that a search takes before it looks for chains.
+SHALLOW = 7
+#: Levels after which what was seen becomes one table again.
+COMPACT = 8
+
+
+def _seen(levels: list[DataFrame]) -> DataFrame:
+    """All levels so far; every few levels they become one table, so that a deep search reads few."""
+    if len(levels) >= COMPACT:
+        levels[:] = [cut(reduce(DataFrame.unionAll, levels))]
+    return reduce(DataFrame.unionAll, levels)
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """The least node each node is connected with, whatever the direction: project_id, node, component.
+
+    Each round maps every node to the least of its neighbours and contracts the graph along that
+    map. Nodes without an edge to another don't appear.
+    """
+    e = cut(edges.where("source <> target").select("project_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct())
+    found = e.select("project_id", F.explode(F.array("a", "b")).alias("node")).distinct().select("project_id", "node", F.col("node").alias("component"))
+    found = cut(found)
+    while not e.isEmpty():
+        both = e.select("project_id", F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select("project_id", "b", "a"))
+        up = cut(both.groupBy("project_id", "u").agg(F.min("v").alias("v")).select("project_id", "u", F.least("u", "v").alias("p")))
+        found = cut(found.join(up.withColumnRenamed("u", "component"), ["project_id", "component"], "left").select("project_id", "node", F.coalesce("p", "component").alias("component")))
+        pa, pb = (up.select("project_id", F.col("u").alias(x), F.col("p").alias(f"p{x}")) for x in ("a", "b"))
+        e = cut(e.join(pa, ["project_id", "a"]).join(pb, ["project_id", "b"]).where("pa <> pb").select("project_id", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+    return found
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """The nodes that ``closure`` reaches by project, without depths: project_id, node.
+
+    A search that isn't over after ``SHALLOW`` levels passes linear chains in one step: their places are
+    found by pointer doubling, and the search goes on from chain to chain. So its levels are those of
+    the contracted graph, however long chains are.
+    """
+    a, b = ("target", "source") if backward else ("source", "target")
+    step = cut(edges.select("project_id", F.col(a).alias("source"), F.col(b).alias("target")).where("source is not null and target is not null").distinct())
+    plain = step.withColumnsRenamed({"source": "node", "target": "next"})
+    level, n = cut_counted(seeds.select("project_id", "node").where("node is not null").distinct())
+    levels = [level]
+    while n and len(levels) <= SHALLOW:
+        level, n = cut_counted(level.join(plain, ["project_id", "node"]).select("project_id", F.col("next").alias("node")).distinct().join(_seen(levels), ["project_id", "node"], "left_anti"))
+        levels.append(level)
+    seeds = reduce(DataFrame.unionAll, levels)
+    if not n:
+        return seeds
+    one_out = step.groupBy("project_id", "source").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    one_in = step.groupBy("project_id", "target").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    links = cut(step.where("source <> target").join(one_out, ["project_id", "source"], "left_semi").join(one_in, ["project_id", "target"], "left_semi"))
+    places = cut(chain_heads(links))
+    ends = places.groupBy("project_id", "head").agg(F.max("pos").alias("last"))
+    tails = places.join(ends, ["project_id", "head"]).where("pos = last").select("project_id", "head", F.col("node").alias("tail"))
+    # a step between chains: not from a place to the next of the same chain
+    of = lambda end: places.select("project_id", F.col("node").alias(end), F.col("head").alias(f"h_{end}"), F.col("pos").alias(f"p_{end}"))
+    placed = step.join(of("source"), ["project_id", "source"], "left").join(of("target"), ["project_id", "target"], "left")
+    inside = F.coalesce((F.col("h_source") == F.col("h_target")) & (F.col("p_target") == F.col("p_source") + 1), F.lit(False))
+    between = cut(placed.where(~inside).select("project_id", F.coalesce("h_source", "source").alias("unit"), "target").distinct())
+    to_unit = placed.where(~inside).select("project_id", F.col("target").alias("node"), F.coalesce("h_target", "target").alias("unit")).distinct()
+    seeded = seeds.join(places.select("project_id", "node", "head"), ["project_id", "node"], "left").select("project_id", "node", F.coalesce("head", "node").alias("unit"))
+    steps = cut(between.withColumnRenamed("target", "node").join(to_unit.withColumnRenamed("unit", "to"), ["project_id", "node"]).select("project_id", "unit", "node", "to"))
+    # entries: the nodes at which units are entered; leaving a unit only depends on the unit
+    level, n = cut_counted(seeded.distinct())
+    levels, units = [level], [level.select("project_id", "unit").distinct()]
+    fresh = units[0]
+    while n:
+        entered = fresh.join(steps, ["project_id", "unit"]).select("project_id", "node", F.col("to").alias("unit")).distinct()
+        level, n = cut_counted(entered.join(_seen(levels), ["project_id", "node"], "left_anti"))
+        fresh = level.select("project_id", "unit").distinct().join(_seen(units), ["project_id", "unit"], "left_anti")
+        levels.append(level)
+        fresh, n = cut_counted(fresh)
+        units.append(fresh)
+    entries = reduce(DataFrame.unionAll, levels).select("project_id", "node")
+    first = entries.join(places, ["project_id", "node"]).groupBy("project_id", "head").agg(F.min("pos").alias("from"))
+    along = places.join(first, ["project_id", "head"]).where("pos >= from").select("project_id", "node")
+    return entries.unionByName(along).distinct()
+
+
 def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], backward: bool = False, max_depth: int | None = None) -> DataFrame:
     """All nodes reachable from the seeds: ``keys``, ``node`` and ``depth`` (edges on a shortest way).
 
@@ -27,7 +107,7 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], backward: bool
     levels, depth = [level], 0
     while n and (max_depth is None or depth < max_depth):
         depth += 1
-        seen = reduce(DataFrame.unionAll, levels)
+        seen = _seen(levels)
         reached = level.select(*keys, "node").join(step, [*shared, "node"]).select(*keys, F.col("next").alias("node")).distinct()
         level, n = cut_counted(reached.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         levels.append(level)
@@ -57,7 +137,7 @@ def reaches(edges: DataFrame, endings: DataFrame) -> DataFrame:
     levels = [level]
     top = F.try_element_at("stack", F.size("stack"))
     while n:
-        seen = reduce(DataFrame.unionAll, levels)
+        seen = _seen(levels)
         moved = level.join(step, ["project_id", "node"])
         deep = F.size("stack")
         allowed = F.when(F.col("kind") == "call_return", deep < MOST_CALLS).when((F.col("kind") == "call") & (deep > 0), F.col("context").isNull() | (F.col("context") == top)).otherwise(True)

@@ -272,11 +272,11 @@ def x12_extract_init_vars(spark, d):
 
 
 @query("""SELECT p_partkey, 'p' || (p_partkey + 1) AS target, 'literal' AS how FROM part WHERE p_partkey % 2 = 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)
-UNION ALL SELECT a.p_partkey, 'p' || b.p_partkey, 'pattern' FROM part a JOIN part b ON a.p_partkey % 2 = 1 AND a.p_partkey >= 10 AND starts_with('p' || b.p_partkey, 'p' || (a.p_partkey // 10)) AND length('p' || b.p_partkey) >= length('p' || (a.p_partkey // 10)) AND length('p' || (a.p_partkey // 10)) >= 3""")
+UNION ALL SELECT a.p_partkey, 'p' || b.p_partkey, 'pattern' FROM part a JOIN part b ON a.p_partkey % 2 = 1 AND starts_with('p' || b.p_partkey, 'p' || (a.p_partkey // 10)) AND length('p' || b.p_partkey) >= length('p' || (a.p_partkey // 10))""")
 def j7_dynamic_jumps(spark, d):
     k = F.col("p_partkey")
     s = lambda x: x.cast("string")
-    e = F.when(k % 2 == 0, F.concat(F.lit("'p"), s(k + 1), F.lit("'"))).otherwise(F.concat(F.lit('f"p'), s(F.floor(k / 10)), F.lit('{x}"')))
+    e = F.when(k % 2 == 0, F.concat(F.lit("'p"), s(k + 1), F.lit("'"))).when(k % 4 == 1, F.concat(F.lit('f"p'), s(F.floor(k / 10)), F.lit('{x}"'))).otherwise(F.concat(F.lit("'p"), s(F.floor(k / 10)), F.lit("' + x")))
     p = ad.table(spark, d, "part")
     jumps = p.select(F.lit("p").alias("project_id"), s(k).alias("source"), F.lit(0).alias("line_no"), e.alias("expression"))
     return link.resolve_dynamic(jumps, ad.nodes(spark, d)).select(F.col("source").cast("long").alias("p_partkey"), "target", "how")

@@ -234,11 +234,21 @@ def j19_call_origins(spark, d):
     return link.call_origins(ad.edges(spark, d)).drop("project_id")
 
 
-@query(_dag_sql("SELECT node, CAST(max(depth) AS INT) AS depth, max(depth) > 10 AS excessive FROM nest GROUP BY node",
-    "nest AS (SELECT id AS node, 0 AS depth FROM dag_nodes WHERE id NOT IN (SELECT target FROM dag_edges) UNION SELECT e.target, nest.depth + 1 FROM nest JOIN dag_edges e ON e.source = nest.node WHERE e.kind = 'call')"))
+NEST = """, steps AS (SELECT DISTINCT source, target, kind = 'call' AS deeper FROM edges),
+nest AS (SELECT id AS node, 0 AS depth FROM nodes WHERE role = 'story' UNION SELECT s.target, nest.depth + CAST(s.deeper AS INT) FROM nest JOIN steps s ON s.source = nest.node WHERE nest.depth + CAST(s.deeper AS INT) <= 10)
+"""
+
+
+@query(with_("edges", "nodes", body="", recursive=True).rstrip() + NEST + "SELECT node, CAST(max(depth) AS INT) AS depth FROM nest GROUP BY node")
 def g15_call_depth(spark, d):
-    n, e = ad.dag(spark, d)
-    return link.call_depth(e, link.entry_points(n, e)).drop("project_id")
+    """Over the whole graph with its cycles."""
+    return link.call_depth(ad.edges(spark, d), link.call_starts(ad.nodes(spark, d)))[0].drop("project_id")
+
+
+@query(with_("edges", "nodes", body="", recursive=True).rstrip() + NEST + """SELECT min(e.id) AS edge_id, e.source, e.target, 11 AS frames FROM edges e
+  JOIN (SELECT node FROM nest GROUP BY node HAVING max(depth) = 10) n ON n.node = e.source WHERE e.kind = 'call' GROUP BY e.source, e.target""")
+def g15_excessive_calls(spark, d):
+    return link.call_depth(ad.edges(spark, d), link.call_starts(ad.nodes(spark, d)))[1].drop("project_id", "chain")
 
 
 @query(ad.with_("chain_nodes", "chain_edges", recursive=True, body=""", walk AS (SELECT node_ord AS n, node_ord AS head, 0 AS pos FROM chain_nodes WHERE node_ord NOT IN (SELECT t_key FROM chain_edges)

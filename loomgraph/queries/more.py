@@ -124,8 +124,7 @@ def x7_pruned_decisions(spark, d):
 def f11_always(spark, d):
     e = ad.table(spark, d, "part").select("p_size").distinct()
     text = F.concat(F.col("p_size").cast("string"), F.lit(" % 3 == 0 or ("), F.col("p_size").cast("string"), F.lit(" % 3 == 2 and unknown_flag)"))
-    folded = C.evaluate_column(text, F.create_map().cast("map<string,string>"))
-    return e.select("p_size", folded.cast("string").alias("always"))
+    return e.select("p_size", C.always_column(text).cast("string").alias("always"))
 
 
 @query("SELECT source AS project_id, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")

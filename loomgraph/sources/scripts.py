@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.lineage import numbered
+
 #: Limits of a project, all parameters of ``validate``.
 MAX_FILE, MAX_FILES, MAX_TOTAL = 2 << 20, 300, 25 << 20
 MAX_ENTRIES, MAX_UNPACKED = 2000, 200 << 20
@@ -34,8 +36,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 def file_order(files: DataFrame) -> DataFrame:
     """``file_ord`` by path and name, in binary order, within each project."""
-    w = Window.partitionBy("project_id").orderBy("path", "name")
-    return files.withColumn("file_ord", F.row_number().over(w))
+    return numbered(files, ["project_id"], ["path", "name"], "file_ord").withColumn("file_ord", F.col("file_ord").cast("int"))
 
 
 def input_kind(path: Column) -> Column:
