@@ -33,6 +33,7 @@ SEED = 42
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     v = np.stack(vectors.to_list()).astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 

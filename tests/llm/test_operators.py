@@ -560,3 +560,89 @@ def test_windows_do_not_depend_on_how_texts_arrive():
     whole = cuts(len(docs))
     assert cuts(1) == cuts(17) == whole
     assert b"".join(p["ids"] for p in whole) == np.concatenate(docs).tobytes()
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200] * 4, 1), (2, [2e200] * 4, 1), (3, [3e-200] * 4, 1), (4, [1e200, -1e200, 1.0, 1.0], 1), (5, [1.0] * 4, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_ordinal_likelihood_gradient():
+    """The fit is where the plain likelihood, written out, has no slope."""
+    rng = np.random.default_rng(4)
+    rows = [np.array([int(g) * 5 + int(rng.integers(0, 3)), 50 + int(rng.integers(0, 6))]) for g in rng.integers(0, 3, 300)]
+    grades = np.array([min(2, max(0, int(r[0]) // 5 + int(rng.integers(-1, 2)) * int(rng.random() < 0.3))) for r in rows])
+    m = quality.fit_sample(rows, grades)
+    place = {h: k for k, h in enumerate(m.hashes.tolist())}
+    x = np.zeros((len(rows), len(place)))
+    for n, r in enumerate(rows):
+        for f in r.tolist():
+            if f in place:
+                x[n, place[f]] = 1
+    scale = np.max([quality.tf.contrast(quality.tf.Sparse(rows), grades > j) for j in range(2)], axis=0)
+
+    def loss(w, t):
+        edge = np.concatenate(([-np.inf], t, [np.inf]))
+        above = lambda k: 1 / (1 + np.exp(edge[k] - x @ w))
+        ok = scale > 1e-9
+        return -np.log(above(grades) - above(grades + 1)).sum() + 0.5 * ((w[ok] / scale[ok]) ** 2).sum()
+
+    best = loss(m.weights, m.thresholds)
+    for k in range(len(place)):
+        for d in (-0.02, 0.02):
+            w = m.weights.copy()
+            w[k] += d * scale[k]
+            assert loss(w, m.thresholds) >= best - 1e-4
+    for k in range(2):
+        for d in (-0.02, 0.02):
+            t = m.thresholds.copy()
+            t[k] += d
+            assert loss(m.weights, t) >= best - 1e-4
+
+
+def test_flow_against_brute_force():
+    """Cheapest routing of small overlapping patterns, over all amounts in whole steps."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        patterns = {("a",): int(rng.integers(1, 4)), ("a", "b"): int(rng.integers(1, 4)), ("b", "c"): int(rng.integers(1, 3))}
+        quotas = {s: float(rng.integers(0, 6)) for s in "abc"}
+        flow = mixing.route(patterns, quotas)
+        cost = lambda p, n: sum(c * min(max(n - k * patterns[p], 0), patterns[p]) for k, c in enumerate(mixing.REPEAT_COST))
+        best = None
+        for to in itertools.product(*[range(3 * patterns[p] + 1) for p in patterns for _ in p]):
+            amounts, at, into = {}, 0, dict.fromkeys("abc", 0)
+            for p in patterns:
+                amounts[p] = sum(to[at : at + len(p)])
+                for s, n in zip(p, to[at : at + len(p)]):
+                    into[s] += n
+                at += len(p)
+            if all(amounts[p] <= 3 * patterns[p] for p in patterns) and all(into[s] <= quotas[s] for s in "abc"):
+                value = (-sum(amounts.values()), sum(cost(p, n) for p, n in amounts.items()))
+                best = value if best is None else min(best, value)
+        assert (-sum(flow[p] for p in patterns), sum(cost(p, flow[p]) for p in patterns)) == pytest.approx(best, abs=1e-4)
+
+
+def test_toxic_loss_against_brute_force():
+    """Without a penalty the fit is the plain logistic one; with it, swapped mentions score alike."""
+    rng = np.random.default_rng(9)
+    word = lambda w: toxicity.tf._hash("w", w)
+    rows, labels = [], []
+    for _ in range(400):
+        toxic = int(rng.random() < 0.4)
+        f = {word("bad" if toxic and rng.random() < 0.7 else "good"), word(f"n{rng.integers(0, 9)}")}
+        if rng.random() < 0.5:
+            f.add(word("muslim" if rng.random() < (0.9 if toxic else 0.2) else "christian"))
+        rows.append(np.array(sorted(f)))
+        labels.append(toxic)
+    change = {}
+    for swap in (0.0, 50.0):
+        m = toxicity.fit_sample(rows, np.array(labels), swap=swap)
+        w = dict(zip(m.hashes.tolist(), m.weights.tolist()))
+        neutral = m.bias + w[word("good")]
+        change[swap] = abs(w[word("muslim")] - w[word("christian")])
+        false_positives = 1 / (1 + np.exp(-(neutral + w[word("muslim")])))
+        change[swap, "p"] = false_positives
+    assert change[50.0] < 0.2 * change[0.0] and change[50.0, "p"] < change[0.0, "p"]
