@@ -16,13 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests on one machine) a temporary folder is made once a session.
+    Where it is unset on one machine (as in tests) a temporary folder is made once a session; on
+    a cluster that is an error, as executors wouldn't share it.
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -34,8 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes what ``cut`` wrote, once everything that reads it was written in turn."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
@@ -66,10 +78,11 @@ def components(edges: DataFrame) -> DataFrame:
             labels = cut(labels.join(moved, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         pa = up.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         pb = up.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        e = cut(
+        last, e = e, cut(
             e.join(pa, "a").join(pb, "b").where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         )
+        remove(last)
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
