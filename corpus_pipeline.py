@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: Hashes, trained weights and a tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Hashes, trained weights and a tokenizer are beyond SQL; tests hold quality and SimHash against brute force, the others against what they keep.
 ORACLE_SQL: str | None = None
 
 
