@@ -23,7 +23,7 @@ def _csv(cells: list[Column]) -> Column:
     return F.concat_ws(",", *[csv_cell(c) for c in cells])
 
 
-ENDINGS_HEADER = "Node ID,Label,Chapter,Ending Type,Reachable Routes,Word Count,Pause Duration (s),Dialogue Lines,Status"
+ENDINGS_HEADER = "Ending Node ID,Ending Label,Chapter,Classification,Reachable Routes Count,Word Count,Pause Duration (s),Dialogue Lines,Status"
 CHARACTERS_HEADER = "Character,Line Count,Word Count,Percentage"
 ROUTES_HEADER = "Route ID,Ending,Steps,Words,Choices"
 
@@ -40,7 +40,7 @@ def number(c: str | Column) -> Column:
 
 
 def endings_csv(matrix: DataFrame) -> DataFrame:
-    cells = [F.col("node_id"), F.col("label"), F.col("chapter"), F.col("ending_type"), F.col("routes"), F.col("word_count"), number("pause_duration"), F.col("dialogue_count"), F.col("status")]
+    cells = [F.col("node_id"), F.col("label"), F.coalesce("chapter", F.lit("Uncategorized")), F.col("ending_type"), F.col("routes"), F.col("word_count"), number("pause_duration"), F.col("dialogue_count"), F.col("status")]
     return _headed(_lines(matrix, "endings", [F.col("status") != "Reachable", "node_id"], _csv(cells)), "endings", ENDINGS_HEADER)
 
 
@@ -68,7 +68,9 @@ def analytics_markdown(summary: DataFrame, pacing: DataFrame, characters: DataFr
 
 
 #: Words a diagram keeps for itself.
-RESERVED = ("end", "graph", "subgraph", "style", "class", "click", "default", "linkstyle", "classdef", "flowchart")
+RESERVED = ("end", "subgraph", "flowchart", "graph", "style", "class", "classdef", "click", "call", "interpolate", "linkstyle")
+#: How signs with a meaning of their own are written in a diagram, in the order in which they are replaced.
+ESCAPES = ((r"\\", "#92;"), ('"', "#quot;"), (r"\|", "#124;"), ("<", "&lt;"), (">", "&gt;"), (r"\r\n|\r|\n", "<br/>"), (r"\[", "#91;"), (r"\]", "#93;"), (r"\{", "#123;"), (r"\}", "#125;"))
 
 
 def _safe(c: Column) -> Column:
@@ -87,7 +89,7 @@ def safe_ids(nodes: DataFrame) -> DataFrame:
 def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A diagram's lines: first the nodes, then the edges."""
     ids = safe_ids(nodes)
-    q = lambda c: F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\r?\n\s*", " "), F.lit('"'), F.lit("#quot;"))
+    q = lambda c: F.trim(reduce(lambda s, e: F.regexp_replace(s, *e), ESCAPES, F.coalesce(c, F.lit(""))))
     n = nodes.join(ids, ["project_id", "id"])
     text = q(F.coalesce("label", "id"))
     shape = F.when(F.col("type") == "MENU", F.concat("safe", F.lit('{"'), text, F.lit('"}'))).when(F.col("type") == "DECISION", F.concat("safe", F.lit('{{"'), text, F.lit('"}}'))).otherwise(F.concat("safe", F.lit('["'), text, F.lit('"]')))
