@@ -646,3 +646,13 @@ def test_toxic_loss_against_brute_force():
         false_positives = 1 / (1 + np.exp(-(neutral + w[word("muslim")])))
         change[swap, "p"] = false_positives
     assert change[50.0] < 0.2 * change[0.0] and change[50.0, "p"] < change[0.0, "p"]
+
+
+def test_word_hashes_tell_words_not_places():
+    words = ["the", "THE", "Eth", "é", "É", "a" * 5000, "b" + "a" * 4999, "aa", "a", "\u00a0"]
+    alone = [int(substring.word_hashes(pa.array([w]))[0][0]) for w in words]
+    text = "\x0b " + " \t".join(words) + " "
+    h, edges = substring.word_hashes(pa.array(["", "other words", text, None, text]))
+    assert edges.tolist() == [0, 0, 2, 12, 12, 22]
+    assert h[2:12].tolist() == alone == h[12:].tolist()
+    assert alone[0] == alone[1] and len(set(alone)) == len(words) - 1
