@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import hamming_topk, linededup, mixing, nndescent, packing, pii, quality, simhash, substring, toxicity
+from loomgraph.llm import divergence, exactdedup, hamming_topk, lexical, linededup, mixing, nndescent, packing, pii, quality, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,31 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_nn_descent, op4_substring, op5_line_dedup, op6_toxicity, op7_mixing, op8_hamming_topk, op9_packing, op10_pii)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_quality, op3_nn_descent, op4_substring, op5_line_dedup, op6_toxicity, op7_mixing, op8_hamming_topk, op9_packing, op10_pii,
+        op11_divergence, op12_exact_dedup, op13_lexical,
+    )
 }
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE_SQL,
     "op8_hamming_topk": hamming_topk.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
+    "op12_exact_dedup": exactdedup.ORACLE_SQL,
+    "op13_lexical": lexical.ORACLE_SQL,
 }
