@@ -97,17 +97,17 @@ def _share(n: str, total: str, kinds: str):
     return F.expr(f"1 + ({SCALE}L * ({n} + {PRIOR})) div ({total} + {PRIOR} * {kinds})")
 
 
-def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _tile(key: tuple, rows: pd.DataFrame, width: int) -> pd.DataFrame:
     """The sums of a tile for every pair of a source of its rows and another one of its columns.
 
     ``rows``: ``at`` (number of the source in its language), ``base``, and ``term`` and ``p``, which are null
-    in the one row by which each source is named.
+    in the one row by which each source is named. Tiles are ``width`` sources wide and high.
     """
     side, across = key[1], key[2]
     named = rows[rows["term"].isna()].sort_values("at")
     held = rows[rows["term"].notna()]
     at, base = named["at"].to_numpy(), named["base"].to_numpy(np.int64)
-    is_row, is_column = at // SIDE == side, at // SIDE == across
+    is_row, is_column = at // width == side, at // width == across
     place = {a: i for i, a in enumerate(at.tolist())}
     source = held["at"].map(place).to_numpy(np.int64)
     p = held["p"].to_numpy(np.int64)
@@ -153,7 +153,7 @@ def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "a": [], "b": [], "value": [], "common": []})
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text: str = "text", lang: str = "lang", source: str = "source", side: int = SIDE, share: int = POSTINGS) -> DataFrame:
     """lang, source, part, item, value, rank: for every group (lang, source) that occurs, its distance from
     each other source of its language (``pair``, greatest first) and the ``top`` terms it has more of than
     the language (``term``).
@@ -179,23 +179,23 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text: s
     more = p.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     more = more.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    far = _pairs(p.select("lang", "at", "base", "term", "p"), groups).withColumn("rank", F.row_number().over(order))
+    far = _pairs(p.select("lang", "at", "base", "term", "p"), groups, side, share).withColumn("rank", F.row_number().over(order))
     return far.unionByName(more)
 
 
-def _pairs(p: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(p: DataFrame, groups: DataFrame, width: int, share: int) -> DataFrame:
     """All ordered pairs of a language's sources: lang, source, part, item, value."""
-    # tiles of SIDE by SIDE sources; the terms of a tile are shared out so that it has some POSTINGS rows
-    plan = groups.groupBy("lang").agg(F.ceil(F.count("*") / SIDE).alias("sides"), F.sum("kinds").alias("size"))
-    plan = plan.select("lang", "sides", F.greatest(F.lit(1), F.ceil(F.col("size") * F.least(F.lit(2), "sides") / F.col("sides") / POSTINGS)).cast("int").alias("shares"))
-    side, others = F.floor(F.col("at") / SIDE).cast("int"), F.sequence(F.lit(0), F.col("sides").cast("int") - 1)
+    # the terms of a tile are dealt out to several groups, so that each has some ``share`` rows
+    plan = groups.groupBy("lang").agg(F.ceil(F.count("*") / width).alias("sides"), F.sum("kinds").alias("size"))
+    plan = plan.select("lang", "sides", F.greatest(F.lit(1), F.ceil(F.col("size") * F.least(F.lit(2), "sides") / F.col("sides") / share)).cast("int").alias("shares"))
+    side, others = F.floor(F.col("at") / width).cast("int"), F.sequence(F.lit(0), F.col("sides").cast("int") - 1)
     # a source is in the row of tiles of its side, and in the column
     tiles = F.array_distinct(F.concat(F.transform(others, lambda o: F.struct(side.alias("i"), o.alias("j"))), F.transform(others, lambda o: F.struct(o.alias("i"), side.alias("j")))))
     in_tile = ["lang", "tile.i", "tile.j", "share", "at", "base", "term", "p"]
     postings_ = p.join(plan, "lang").withColumn("share", F.pmod(F.xxhash64("term"), "shares").cast("int")).withColumn("tile", F.explode(tiles)).select(*in_tile)
     named = groups.join(plan, "lang").withColumns({"term": F.lit(None).cast("string"), "p": F.lit(None).cast("long")})
     named = named.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("tile", F.explode(tiles)).select(*in_tile)
-    sums = postings_.unionByName(named).groupBy("lang", "i", "j", "share").applyInPandas(_tile, "lang string, a int, b int, value long, common long")
+    sums = postings_.unionByName(named).groupBy("lang", "i", "j", "share").applyInPandas(lambda key, rows: _tile(key, rows, width), "lang string, a int, b int, value long, common long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("common").alias("common"))
     a = groups.select("lang", F.col("at").alias("a"), "source", F.col("base").alias("base_a"), F.col("kinds").alias("kinds_a"), "v")
     b = groups.select("lang", F.col("at").alias("b"), F.col("source").alias("item"), F.col("base").alias("base_b"), F.col("kinds").alias("kinds_b"))
