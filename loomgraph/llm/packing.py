@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm._util import arrow_batches
+from loomgraph.llm._util import arrow_batches, cut
 
 SIZE = 2048
 END = 1
@@ -34,6 +36,8 @@ AT_DOCUMENT, AT_SENTENCE, ELSEWHERE, SHORT = 0, 8, 48, 16
 STEP = 256
 #: New tokens after which a task gives out the windows that have become final.
 RUN = 1 << 19
+#: Characters of a stream, about, and how many streams there are at most (they grow beyond).
+STREAM, MOST_STREAMS = 16_000_000, 100_000
 #: Words that a Python worker remembers the tokens of.
 REMEMBERED = 700_000
 #: What special tokens start with.
@@ -261,37 +265,74 @@ class Stream:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
+    """Packs a task's rows, which come stream by stream."""
     tokens = word_tokens(path)
-    stream = Stream(tokens.ends_sentence, size, TaskContext.get().partitionId() << 40)
-    fresh = 0
-    for b in batches:
-        ids, n = tokens.encode_all(b.column("text").cast(pa.string()))
-        n_ends = np.cumsum(n)
-        stream.add(np.insert(ids, n_ends, end), b.column("doc_id").to_pylist(), n + 1)
-        fresh += len(ids) + len(n)
-        if fresh >= RUN:
-            yield stream.windows(last=False)
-            fresh = 0
-    yield stream.windows(last=True)
-
-
-def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = END, partitions: int | None = None) -> DataFrame:
+    stream, at, fresh = None, None, 0
+    for whole in batches:
+        numbers = whole.column("stream").to_numpy()
+        edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for x, y in zip(edges, edges[1:]):
+            if x == y:
+                continue
+            if int(numbers[x]) != at:
+                if stream is not None:
+                    yield stream.windows(last=True)
+                at, fresh = int(numbers[x]), 0
+                stream = Stream(tokens.ends_sentence, size, at << 40)
+            b = whole.slice(x, y - x)
+            ids, n = tokens.encode_all(b.column("text").cast(pa.string()))
+            n_ends = np.cumsum(n)
+            stream.add(np.insert(ids, n_ends, end), b.column("doc_id").to_pylist(), n + 1)
+            fresh += len(ids) + len(n)
+            if fresh >= RUN:
+                yield stream.windows(last=False)
+                fresh = 0
+    if stream is not None:
+        yield stream.windows(last=True)
+
+
+def stream_edges(rows: DataFrame, chars: int) -> list[tuple[bool, int, int]]:
+    """The first key (has a doc_id, doc_id, h) of each stream, in order; ``rows``: doc_id, h and size.
+
+    A stream begins where the exact sum of all sizes before passes the next multiple of ``chars``
+    (or of a ``MOST_STREAMS``-th of all, if that is more). Sums come from ranges that are summed one by
+    one, so edges don't depend on where the ranges happen to lie.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, "doc_id", "h").select("*", F.spark_partition_id().alias("part")))
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("own"))
+    before = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per range
+    total = ranged.agg(F.sum("size")).first()[0] or 0
+    chars = max(chars, -(-total // MOST_STREAMS))
+    running = F.sum("size").over(Window.partitionBy("part").orderBy("doc_id", "h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # rows of one key are in one stream: the sum includes all of them
+    placed = ranged.withColumn("running", running).join(before, F.col("part") == F.col("p"))
+    firsts = placed.groupBy(F.expr(f"(before + running - 1) div {chars}L").alias("stream")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("k"))
+    return sorted((r.k.has, r.k.id, r.k.h) for r in firsts.collect())
+
+
+def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = END, chars: int = STREAM) -> DataFrame:
     """One row per piece: doc_id, start (the document's ids before it), ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset in the sequence.
 
-    Documents keep the order of doc_id (then of their text's hash): a range of doc_ids makes a
-    partition, which is packed as one stream. A null or empty text is the end token alone;
+    Documents keep the order of doc_id (then of their text's hash). A stream is the documents of about
+    ``chars`` characters in that order, packed by one task; streams, cuts and sequences depend on the
+    documents alone, so that reruns agree on any cluster. A null or empty text is the end token alone;
     null doc_ids come first; rows that repeat are documents of their own. An empty table
     gives no piece; other columns are ignored. ``path``: a tokenizer file on every machine.
     """
     spark = docs.sparkSession
     arrow_batches(spark, rows=1500, mb=8)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(lambda batches: _packed(batches, path, size, end), PIECES_DDL)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    edges = stream_edges(rows.select("doc_id", "h", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size")), chars)
+
+    @F.pandas_udf("int")
+    def of(has: pd.Series, ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(edges, k) - 1 for k in zip(has.tolist(), ids.tolist(), h.tolist())], dtype="int32")
+
+    dealt = rows.withColumn("stream", of(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("h")))
+    ordered = dealt.repartitionById(max(1, len(edges)), F.col("stream")).sortWithinPartitions("stream", "doc_id", "h")
+    return ordered.select("stream", "doc_id", "text").mapInArrow(lambda batches: _packed(batches, path, size, end), PIECES_DDL)
 
 
 def digest(pieces: DataFrame, *more: str) -> DataFrame:

@@ -459,7 +459,7 @@ def test_packing_round_trip(spark, awkward, empty):
     t = Tokenizer.from_file(path)
     rows = AWKWARD + [(100 + i, f"It's {_prose(i, 40)}. <|endoftext|> don't! Ünï éx 123abc...", "s") for i in range(20)]
     docs = _docs(spark, rows)
-    pieces = packing.pack(docs, path, partitions=3).collect()
+    pieces = packing.pack(docs, path, chars=60_000).collect()
     want = sorted(np.append(t.encode(x or "", add_special_tokens=False).ids, 1).astype("<u4").tobytes() for _, x, _ in rows)
     whole, sequences = {}, {}
     for p in pieces:
@@ -478,9 +478,23 @@ def test_packing_round_trip(spark, awkward, empty):
     assert sorted(bytes(x) for x in whole["done"]) == want
     tokens = sum(len(w) // 4 for w in want)
     assert sum(packing.padding(sum(n for _, n in s)) for s in sequences.values()) < 0.05 * tokens
-    d = packing.digest(packing.pack(docs, path, partitions=3)).collect()
+    d = packing.digest(packing.pack(docs, path, chars=60_000)).collect()
     assert {(p.start, zlib.crc32(p.ids)) for p in pieces} == {(r.start, r.ids_crc32) for r in d}
-    assert packing.pack(empty, path, partitions=2).count() == 0
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_packing_is_the_same_each_time(spark):
+    path = packing.public_vocabulary()
+    rows = [(i % 250 if i % 7 else None, _prose(i, 30), "s") for i in range(400)] + [(9, "the same row", "s")] * 40
+    docs = _docs(spark, rows)
+    runs = []
+    try:
+        for n in ("4", "7", "4"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            runs.append(sorted(map(str, packing.digest(packing.pack(docs.repartition(int(n)), path, chars=9_000)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert runs[0] == runs[1] == runs[2] and len({r.split("sequence_id=")[1].split(",")[0] for r in runs[0]}) > 5
 
 
 # --- personal data ---
