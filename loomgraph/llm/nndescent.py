@@ -2,11 +2,12 @@
 
 A graph of each vector's nearest neighbours starts from blocks of random projections and is
 refined by joining, around every vector, its neighbours and those it is a neighbour of. Edges
-below the threshold only guide the search. A list that is full of links is saturated: there
-may be more than it holds, and it is enlarged by holding its vector, in blocks, against its
-component and all others of its label that angles don't rule out. An audit of some vectors
-against all rows measures recall; while it is short, another projection and another round
-follow. If that doesn't suffice, every vector is treated as saturated.
+below the threshold only guide the search. A list that is full of links is saturated: it is
+enlarged and joined again. What is saturated even then lies in a dense family, whose links are
+counted in blocks, without listing them: its vectors are held against their component and all
+others of their label that angles don't rule out. An audit of some vectors against all rows measures the
+recall of the lists, vector by vector; while its lower confidence bound is short, twice as many
+projections as before and another round follow. If that doesn't suffice, every vector is treated as saturated.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm._util import components, cut
 
 COSINE = 0.93
-K = 8
+#: Neighbours of a list, and of one that was enlarged.
+K, WIDE = 8, 32
 #: Vectors of one local join or block, about.
 CHUNK, BLOCK = 64, 256
-TABLES, ROUNDS, MOST_ROUNDS = 3, 3, 8
-#: Vectors of the audit, and the recall below which the search goes on.
-AUDIT, RECALL = 512, 0.97
+TABLES, ROUNDS, MOST_ROUNDS = 3, 3, 7
+#: Vectors of the audit at first, and at most where few have links (by their components in all, too);
+#: the linked ones it wants; the lower bound of recall below which the search goes on.
+AUDIT, MOST_AUDIT, AUDIT_COMPONENTS, LINKED, RECALL = 2048, 32_768, 4_000_000, 256, 0.97
 SEED = 42
 
 
@@ -123,47 +126,99 @@ def _from_projection(classes: DataFrame, most: int, tables: range) -> DataFrame:
 def _descend(graph: DataFrame, classes: DataFrame, round_: int) -> DataFrame:
     """One round: neighbours and reverse neighbours of each vector meet around it."""
     bound = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("least")).select(F.col("u").alias("node"), F.when(F.col("n") >= K, F.col("least")).otherwise(-2.0).alias("bound"))
+    return _around(graph, classes, bound, -2.0, round_)
+
+
+def _enlarge(graph: DataFrame, classes: DataFrame, cosine: float, round_: int) -> DataFrame:
+    """Links (u, v) only. Lists of K links grow to WIDE: around each of their vectors all links are kept,
+    twice, as longer lists bring further vectors together."""
+    links = cut(graph.where(F.col("s") >= cosine))
+    full = cut(links.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") >= K).select(F.col("u").alias("node"), F.lit(cosine - 1e-12).alias("bound")))
+    if full.isEmpty():
+        return links
+    for r in range(2):
+        near = links.join(full.select(F.col("node").alias("u")), "u", "left_semi")
+        links = _top(links.unionAll(_around(near, classes, full, 2.0, round_ + r).where(F.col("s") >= cosine)), WIDE)
+    return links
+
+
+def _around(graph: DataFrame, classes: DataFrame, bound: DataFrame, other: float, round_: int) -> DataFrame:
+    """Pairs around each vector that beat the bound of their first; ``other``: where it has none."""
     around = graph.select(F.col("u").alias("pivot"), F.col("v").alias("node")).unionAll(graph.select(F.col("v"), F.col("u"))).distinct()
     parts = around.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     dealt = around.join(parts, "pivot").withColumn("part", F.expr(f"pmod(xxhash64(node, {round_}), parts)")).drop("parts")
-    members = classes.select("node", "vec").join(bound, "node", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+    members = classes.select("node", "vec").join(bound, "node", "left").withColumn("bound", F.coalesce("bound", F.lit(other)))
     rows = dealt.join(members, "node").select("pivot", "part", "node", "bound", "vec")
     return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part").mapInPandas(_local_joins, EDGES)
 
 
-def audit(graph: DataFrame, classes: DataFrame, cosine: float = COSINE, n: int = AUDIT) -> float:
-    """The share found of the links of ``n`` vectors, held against all rows; a saturated list counts as found."""
-    some = classes.orderBy(F.xxhash64("node", F.lit(SEED))).limit(n).select("node", "grp", "vec").toPandas()
-    if not len(some):
-        return 1.0
+def lower_bound(found: float, n: int, z: float = 1.64) -> float:
+    """Wilson's bound: with 95 % confidence the share is no less than this."""
+    if not n:
+        return 0.0
+    p = min(1.0, found / n)
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def saturated(links: DataFrame) -> DataFrame:
+    """The vectors whose enlarged lists are full of links."""
+    return links.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") >= WIDE).select(F.col("u").alias("node"))
+
+
+def audit(links: DataFrame, classes: DataFrame, cosine: float, n: int, seed: int) -> tuple[float, int]:
+    """Over ``n`` vectors with unsaturated lists, held against all such: the sum of each one's share of its
+    links that is found, and how many have links. Links of saturated vectors are counted exactly later on."""
+    plain = classes.select("node", "grp", "vec").join(saturated(links), "node", "left_anti")
+    some = plain.orderBy(F.xxhash64("node", F.lit(seed))).limit(n).toPandas()
     sets = {g: (x["node"].to_numpy(), _unit(x["vec"])) for g, x in some.groupby("grp")}
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def true_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for g, x in b.groupby("grp"):
                 if g in sets:
                     node, unit = sets[g]
-                    s = unit @ _unit(x["vec"]).T
-                    i, j = np.nonzero((s >= cosine) & (node[:, None] != x["node"].to_numpy()[None, :]))
-                    yield pd.DataFrame({"u": node[i], "n": 1}).groupby("u", as_index=False)["n"].sum()
-
-    true = classes.select("node", "grp", "vec").mapInPandas(links, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    have = graph.where(F.col("s") >= cosine).groupBy("u").agg(F.count("*").alias("have"))
-    r = true.join(have, "u", "left").agg(F.sum("n").alias("n"), F.sum(F.when(F.coalesce("have", F.lit(0)) >= K, F.col("n")).otherwise(F.least("n", F.coalesce("have", F.lit(0))))).alias("have")).first()
-    return 1.0 if not r.n else r.have / r.n
+                    i, j = np.nonzero((unit @ _unit(x["vec"]).T >= cosine) & (node[:, None] != x["node"].to_numpy()[None, :]))
+                    yield pd.DataFrame({"u": node[i], "v": x["node"].to_numpy()[j]})
+
+    true = plain.mapInPandas(true_links, "u long, v long")
+    both = links.select("u", "v", F.lit(1).alias("have")).unionAll(links.select("v", "u", F.lit(1))).distinct()
+    shares = true.join(both, ["u", "v"], "left").groupBy("u").agg(F.avg(F.coalesce("have", F.lit(0))).alias("share"))
+    r = shares.agg(F.sum("share").alias("found"), F.count("*").alias("n")).first()
+    return r.found or 0.0, r.n
+
+
+def enough(links: DataFrame, classes: DataFrame, cosine: float, round_: int) -> bool:
+    """Whether the recall of unsaturated lists is RECALL or more, with confidence. Where few vectors have
+    links, more are audited; where even the largest audit meets too few for a bound, it must miss none."""
+    total, longest = classes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    most = max(1, min(MOST_AUDIT, AUDIT_COMPONENTS // max(1, longest or 0)))
+    n = min(AUDIT, most)
+    while True:
+        found, linked = audit(links, classes, cosine, n, SEED + round_)
+        if n >= total:
+            return found >= RECALL * linked  # no sample: all vectors
+        if linked >= LINKED:
+            return lower_bound(found, linked) >= RECALL
+        if n >= most:
+            return found == linked
+        n = min(most, 4 * n)
 
 
 def neighbour_graph(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, bool]:
-    """Up to K nearest neighbours of each class (node, grp, vec): u, v, s; and whether their recall suffices."""
+    """The links (u, v, s) of each class (node, grp, vec), up to WIDE; and whether their recall suffices."""
     most = classes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    graph = _top(_from_projection(classes, most, range(TABLES)))
+    graph, tables = _top(_from_projection(classes, most, range(TABLES))), TABLES
     for r in range(MOST_ROUNDS):
-        if r >= ROUNDS:
-            if audit(graph, classes, cosine) >= RECALL:
-                return graph, True
-            graph = _top(graph.unionAll(_from_projection(classes, most, range(TABLES + r, TABLES + r + 1))))
         graph = _top(graph.unionAll(_descend(graph, classes, r)))
-    return graph, audit(graph, classes, cosine) >= RECALL
+        if r >= ROUNDS - 1:
+            links = _enlarge(graph, classes, cosine, r)
+            if enough(links, classes, cosine, r):
+                return links, True
+            more = TABLES << (r - ROUNDS + 1)
+            graph = _top(graph.unionAll(_from_projection(classes, most, range(tables, tables + more))))
+            tables += more
+    links = _enlarge(graph, classes, cosine, MOST_ROUNDS)
+    return links, enough(links, classes, cosine, MOST_ROUNDS)
 
 
 def _reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,10 +280,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = cut(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"), F.col(label).alias("label")).withColumn("node", F.when(sound, F.xxhash64("label", "vec"))))
     grp = F.xxhash64("label", F.size("vec"))
     classes = cut(rows.where("node is not null").groupBy("node", "label", "vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("grp", grp))
-    graph, enough = neighbour_graph(classes, cosine)
-    links = cut(graph.where(F.col("s") >= cosine).select("u", "v"))
-    full = links.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") >= K).select(F.col("u").alias("node"), F.lit(True).alias("full"))
-    if not enough:
+    links, sure = neighbour_graph(classes, cosine)
+    links = links.select("u", "v")
+    full = saturated(links).withColumn("full", F.lit(True))
+    if not sure:
         full = classes.select("node", F.lit(True).alias("full"))
     linked = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "c")
     known = cut(classes.join(linked, "node", "left").join(full, "node", "left").select("node", "grp", "vec", "n", "least", F.coalesce("c", "node").alias("c"), F.coalesce("full", F.lit(False)).alias("full")))

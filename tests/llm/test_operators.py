@@ -218,21 +218,46 @@ def test_nn_descent_against_brute_force(spark):
 @pytest.mark.parametrize("enough", [True, False])
 def test_nn_descent_between_saturated_families(spark, monkeypatch, enough):
     # inner cosine 0.99, cross cosine 0.95: every list is full of its own family
-    dim, rows = 64, []
+    dim, size, rows = 128, 40, []
     if not enough:
-        monkeypatch.setattr(nndescent, "audit", lambda *_: 0.0)
+        monkeypatch.setattr(nndescent, "enough", lambda *_: False)
         monkeypatch.setattr(nndescent, "MOST_ROUNDS", 1)
     for family in range(2):
-        for k in range(12):
+        for k in range(size):
             v = np.zeros(dim)
-            v[0], v[1 + family], v[3 + 12 * family + k] = np.sqrt(0.95), np.sqrt(0.04), np.sqrt(0.01)
-            rows.append((family * 12 + k, v.tolist(), 1))
-    rows += [(100 + k, np.eye(dim)[30 + k].tolist(), 1) for k in range(20)]
+            v[0], v[1 + family], v[3 + size * family + k] = np.sqrt(0.95), np.sqrt(0.04), np.sqrt(0.01)
+            rows.append((family * size + k, v.tolist(), 1))
+    rows += [(100 + k, np.eye(dim)[90 + k].tolist(), 1) for k in range(20)]
     got = {r.vec_id: r for r in nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (23, 0, i == 0) for i in range(24))
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (2 * size - 1, 0, i == 0) for i in range(2 * size))
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(100, 120))
 
 
+def test_nn_descent_finds_separate_pairs_beside_a_dense_family(spark):
+    """Recall by vector: a dense family, which has nearly all the links, doesn't hide that pairs are lost."""
+    rng = np.random.default_rng(11)
+    dim, pairs, family, n = 64, 2000, 400, 12_000
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, dim)))
+    cosine = rng.uniform(0.935, 0.97, (pairs, 1))
+    away = unit(x[pairs : 2 * pairs] - (x[pairs : 2 * pairs] * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    x[pairs : 2 * pairs] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * away
+    x[-family:] = unit(unit(rng.standard_normal(dim)) + 0.15 * unit(rng.standard_normal((family, dim))))
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in nndescent.near_duplicates(rows).collect()}
+    true = (x @ x.T >= 0.93).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= true).all() and (true[-family:] > nndescent.WIDE).all()
+    assert (found[-family:] == true[-family:]).all()
+    assert found[: 2 * pairs].sum() >= 0.97 * true[: 2 * pairs].sum()
+    assert (found[true > 0] / true[true > 0]).mean() >= 0.97
+
+
+def test_recall_bound():
+    assert nndescent.lower_bound(256, 256) > 0.98 and nndescent.lower_bound(0, 0) == 0
+    assert nndescent.lower_bound(97, 100) < 0.95 < nndescent.lower_bound(9700, 10_000)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(300)]
