@@ -110,6 +110,24 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script files, one per conversation, of six shapes by its number: a jump; a menu of two jumps; a menu with a
+    way on behind it; a decision with a jump, a return and a call; a return; a loop with a call and a decision."""
+    k = F.col("conv_id")
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("    "), "role", F.lit(' "turn '), F.col("turn").cast("string"), F.lit('"')).alias("line")))).alias("lines"))
+    to = lambda n: F.concat(F.lit("conv_"), (k + n).cast("string"))
+    shapes = (
+        ("    jump ", to(1)), ('    menu:\n        "Next":\n            jump ', to(1), '\n        "Skip" if score > 3:\n            jump ', to(2)),
+        ("    menu m_", k.cast("string"), ':\n        "Stay":\n            user "I stay"\n        "Go":\n            jump ', to(1), '\n    user "After"\n    user "That"\n    jump ', to(2)),
+        ("    if flag_", (k % 5).cast("string"), ":\n        jump ", to(1), "\n    elif n > 2:\n        return\n    else:\n        call ", to(2), '\n    user "Then"\n    jump ', to(3)),
+        ("    return",), ("    while lives > 0:\n        call ", to(-1), "\n        if lives == 1:\n            jump ", to(1), '\n    $ renpy.jump("', to(2), '")'),
+    )
+    tails = [F.concat(*[F.lit(x) if isinstance(x, str) else x for x in shape]) for shape in shapes]
+    tail = F.element_at(F.array(*tails), (k % 6 + 1).cast("int"))
+    content = F.concat(F.lit("label "), to(0), F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"), tail)
+    return said.select(F.lit("p").alias("project_id"), F.concat(to(0), F.lit(".rpy")).alias("path"), k.cast("int").alias("file_ord"), content.alias("content"))
+
+
 #: CTE bodies for DuckDB.
 SQL = {
     "dialogue": """SELECT conv_id AS node_ord, 'conv_' || conv_id AS node_id, 'ch' || (conv_id % 10) AS chapter, role AS speaker, turn AS line_no,

@@ -57,8 +57,8 @@ def statements(lines: DataFrame) -> DataFrame:
     """Lines with kind, groups a, b, c, label_id, chapter and the enclosing block.
 
     ``block_line``, ``block_kind``, ``block_text`` and ``block_condition`` belong to the nearest earlier
-    line with a smaller indent that opens a block (ends in a colon). Local labels (``.x``) carry
-    the last global label.
+    line with a smaller indent that opens a block (ends in a colon); ``block_path`` has the lines of
+    all open blocks, outermost first. Local labels (``.x``) carry the last global label.
     """
     rows = _once(lines, "t", F.trim(strip_comment(F.col("text")))).where("t <> ''")
     group = lambda p, n: F.regexp_extract("t", p, n) if n <= re.compile(p).groups else F.lit("")
@@ -83,7 +83,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-_BLOCK = {"block_line": T.IntegerType(), "block_kind": T.StringType(), "block_text": T.StringType(), "block_condition": T.StringType()}
+_BLOCK = {"block_line": T.IntegerType(), "block_kind": T.StringType(), "block_text": T.StringType(), "block_condition": T.StringType(), "block_path": T.ArrayType(T.IntegerType())}
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +96,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at, stack = (project, path), []
             while stack and stack[-1][0] >= indent:
                 stack.pop()
-            out.append(stack[-1][1:] if stack else (None, None, None, None))
+            out.append((*(stack[-1][1:] if stack else (None, None, None, None)), [x[1] for x in stack]))
             if t.endswith(":"):
                 stack.append((indent, line, kind, a, b))
         added = pd.DataFrame(out, columns=list(_BLOCK), index=batch.index).astype({"block_line": "Int32"})
@@ -141,6 +141,18 @@ def dynamic_targets(stmts: DataFrame) -> DataFrame:
     return stmts.where("kind in ('jump_expression', 'call_expression')").select(*FILE, F.col("label_id").alias("source"), F.col("a").alias("expression"), "line_no", F.lit("dynamic_target").alias("category"))
 
 
+def case_expression(pattern: Column, subject: Column) -> Column:
+    """The condition of ``case pattern`` under ``match subject``; null where it takes all."""
+    guard = F.nullif(F.regexp_extract(pattern, r"\s+if\s+(.+)$", 1), F.lit(""))
+    pattern = F.trim(F.regexp_replace(pattern, r"\s+if\s+.+$", ""))
+    one = lambda p: F.concat(F.lit("("), subject, F.lit(") == ("), F.trim(p), F.lit(")"))
+    parts = F.split(pattern, r"\s*\|\s*")
+    several = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("("), one(p), F.lit(")"))), " or ")
+    any_name = pattern.rlike(r"^[A-Za-z_]\w*$") & (guard.isNotNull() | (pattern == "_"))
+    match_ = F.when(F.size(parts) > 1, several).when(any_name, F.lit(None)).otherwise(one(pattern))
+    return F.when(match_.isNotNull() & guard.isNotNull(), F.concat(F.lit("("), match_, F.lit(") and ("), guard, F.lit(")"))).otherwise(F.coalesce(match_, guard))
+
+
 def decisions(stmts: DataFrame) -> DataFrame:
     """Branches: decision id (``decision_<label>_L<line>``), branch_kind, expression, references.
 
@@ -150,12 +162,7 @@ def decisions(stmts: DataFrame) -> DataFrame:
     w = Window.partitionBy(*FILE, "indent").orderBy("line_no")
     d = stmts.where("kind in ('if', 'elif', 'else', 'while', 'for', 'case')")
     head = F.last(F.when(F.col("kind").isin("if", "while", "for"), F.col("line_no")), True).over(w)
-    guard = F.nullif(F.regexp_extract("a", r"\s+if\s+(.+)$", 1), F.lit(""))
-    pattern = F.trim(F.regexp_replace("a", r"\s+if\s+.+$", ""))
-    one = lambda p: F.concat(F.lit("("), F.col("block_text"), F.lit(") == ("), F.trim(p), F.lit(")"))
-    parts = F.split(pattern, r"\s*\|\s*")
-    match_ = F.when(F.size(parts) > 1, F.array_join(F.transform(parts, lambda p: F.concat(F.lit("("), one(p), F.lit(")"))), " or ")).when(pattern.rlike(r"^[A-Za-z_]\w*$"), F.lit(None)).otherwise(one(pattern))
-    case = F.when(match_.isNotNull() & guard.isNotNull(), F.concat(F.lit("("), match_, F.lit(") and ("), guard, F.lit(")"))).otherwise(F.coalesce(match_, guard))
+    case = case_expression(F.col("a"), F.col("block_text"))
     expression = F.when(F.col("kind") == "case", case).otherwise(F.col("a"))
     start = F.when(F.col("kind") == "case", F.col("block_line")).otherwise(head)
     return d.select(*FILE, F.concat(F.lit("decision_"), "label_id", F.lit("_L"), start.cast("string")).alias("id"), F.col("label_id").alias("parent_label_id"), F.col("kind").alias("branch_kind"), expression.alias("expression"), condition_refs(expression).alias("references"), "line_no")
