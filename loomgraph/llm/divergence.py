@@ -12,8 +12,8 @@ source's sorted values. For sources g and s with baselines b, the distance over
     + sum over common terms of |p_g - p_s| - |p_g - b_s| - |b_g - p_s|
     + (V - g's terms - s's terms + common terms) * |b_g - b_s|
 
-A task holds a tile: the postings of at most 2 * SIDE sources for a share of the terms, some POSTINGS rows.
-Tiles give one row for each pair of their sources, which are summed; there are no more of these rows than postings.
+A task holds a tile: the postings of at most 2 * SIDE sources for a share of the terms, some POSTINGS rows or, if that is
+more, as many as the tile has pairs. Tiles give one row for each pair of their sources, which are summed; there are no more of these rows than postings.
 """
 
 from __future__ import annotations
@@ -29,36 +29,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._util import arrow_batches, cut
-from loomgraph.llm.lexical import PIECE, lowered
+from loomgraph.llm.lexical import pieces, text_bytes
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Over UTF-8 bytes; those of signs beyond ASCII are all parts of terms.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCS = 30
 SCALE, PRIOR = 1_000_000_000, 5
 TOP = 50
-#: Sources of a side of a tile, and postings of a tile, about.
-SIDE, POSTINGS = 1024, 1_000_000
+#: Sources of a side of a tile, and postings of a tile at least.
+SIDE, POSTINGS = 1024, 50_000
 #: Different (lang, source, term) that a task holds before it passes them on.
 HELD = 500_000
 
 _POSTING = "lang string, source string, term string, n long, docs long"
 
 
-def term_counts(text: str) -> Counter[str]:
-    """Terms of a whole text with A-Z made small, found in pieces that no term crosses."""
-    counts: Counter[str] = Counter()
-    at, end = 0, len(text)
-    while at < end:
-        to = min(end, at + PIECE)
-        held = TERM.match(text, to)
-        to = held.end() if held else to
-        counts.update(TERM.findall(text, at, to))
-        at = to
-    small: Counter[str] = Counter()
-    for token, n in counts.items():
-        small[lowered(token)] += n
-    return small
-
-
 def postings(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold it): tasks count what they can hold
     before the rows are shuffled. Nulls are ''."""
@@ -70,18 +55,20 @@ def postings(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
             for at in range(0, len(terms), 50_000):
                 some = terms[at : at + 50_000]
                 numbers = [pa.array([c[t] for t in some], pa.int64()) for c in (n, n_docs)]
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), pa.string()) for x in (of_lang, of_source)] + [pa.array(some, pa.string()), *numbers], names=["lang", "source", "term", "n", "docs"])
+                names = [pa.array([x] * len(some), pa.string()) for x in (of_lang, of_source)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(some, pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "docs"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
         for batch in batches:
-            for of_lang, of_source, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for of_lang, of_source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
                 n, n_docs = held.setdefault((of_lang, of_source), (Counter(), Counter()))
-                before = len(n)
-                own = term_counts(whole.as_py())
-                n.update(own)
-                n_docs.update(own.keys())
+                before, own = len(n), set()
+                for piece in pieces(text, TERM):
+                    n.update(piece)
+                    own.update(piece)
+                n_docs.update(own)
                 size += len(n) - before
                 if size > HELD:
                     yield from rows(held)
@@ -185,9 +172,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text: s
 
 def _pairs(p: DataFrame, groups: DataFrame, width: int, share: int) -> DataFrame:
     """All ordered pairs of a language's sources: lang, source, part, item, value."""
-    # the terms of a tile are dealt out to several groups, so that each has some ``share`` rows
-    plan = groups.groupBy("lang").agg(F.ceil(F.count("*") / width).alias("sides"), F.sum("kinds").alias("size"))
-    plan = plan.select("lang", "sides", F.greatest(F.lit(1), F.ceil(F.col("size") * F.least(F.lit(2), "sides") / F.col("sides") / share)).cast("int").alias("shares"))
+    # the terms of a tile are dealt out to several groups, so that each has some ``share`` rows, and no fewer than pairs
+    plan = groups.groupBy("lang").agg(F.ceil(F.count("*") / width).alias("sides"), F.sum("kinds").alias("size"), F.greatest(F.lit(share), F.pow(F.least(F.count("*"), F.lit(width)), 2)).alias("share"))
+    plan = plan.select("lang", "sides", F.greatest(F.lit(1), F.ceil(F.col("size") * F.least(F.lit(2), "sides") / F.col("sides") / F.col("share"))).cast("int").alias("shares"))
     side, others = F.floor(F.col("at") / width).cast("int"), F.sequence(F.lit(0), F.col("sides").cast("int") - 1)
     # a source is in the row of tiles of its side, and in the column
     tiles = F.array_distinct(F.concat(F.transform(others, lambda o: F.struct(side.alias("i"), o.alias("j"))), F.transform(others, lambda o: F.struct(o.alias("i"), side.alias("j")))))

@@ -26,43 +26,42 @@ from pyspark.sql import functions as F
 from loomgraph.llm._util import arrow_batches, cut
 
 K = 10
-TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Over UTF-8 bytes; those of signs beyond ASCII are all parts of terms.
+TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Characters of item texts in a block, about; what the driver and a task hold of items.
 BLOCK = 1_000_000
 #: Documents of a trie, and numbers in the maxima of its nodes, at most.
 TRIE, MAXIMA = 16_384, 48_000_000
 #: A subtree of so many documents is scored one by one.
 LEAF = 16
-#: Characters of a text that are searched for terms at once.
+#: Bytes of a text that are searched for terms at once.
 PIECE = 1 << 20
-#: Remembered spellings per worker; further ones are worked out each time.
-REMEMBERED = 400_000
 
-_SMALL = {c: c + 32 for c in range(65, 91)}
 _NO_ID = np.iinfo(np.int64).max
 
 
-def lowered(token: str) -> str:
-    """A-Z become a-z; all else stays."""
-    return token.lower() if token.isascii() else token.translate(_SMALL)
-
-
-def tokens(text: str | None) -> Iterator[list[str]]:
-    """The maximal terms of a text in their own spelling, in pieces that no term crosses."""
-    at, end = 0, len(text or "")
+def pieces(text: bytes, term: re.Pattern[bytes]) -> Iterator[list[bytes]]:
+    """The maximal terms of a text with A-Z made small (and nothing else), in pieces that no term crosses."""
+    at, end = 0, len(text)
     while at < end:
         to = min(end, at + PIECE)
-        held = TERM.match(text, to)
+        held = term.match(text, to)
         to = held.end() if held else to
-        yield TERM.findall(text, at, to)
+        yield term.findall(text[at:to].lower())
         at = to
 
 
+def text_bytes(column: pa.Array) -> Iterator[bytes]:
+    """The bytes of each text, without decoding them; of nulls none."""
+    for x in column:
+        yield x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
 def term_counts(text: str | None) -> Counter[str]:
-    counts: Counter[str] = Counter()
-    for piece in tokens(text):
-        counts.update(map(lowered, piece))
-    return counts
+    counts: Counter[bytes] = Counter()
+    for piece in pieces((text or "").encode(), TERM):
+        counts.update(piece)
+    return Counter({t.decode(): n for t, n in counts.items()})
 
 
 def vectors(docs: DataFrame, vocabulary: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -73,22 +72,16 @@ def vectors(docs: DataFrame, vocabulary: list[str], text: str = "text", doc_id:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {t: i for i, t in enumerate(vocabulary)}
-        known: dict[str, int] = {}
+        place = {t.encode(): i for i, t in enumerate(vocabulary)}
         for batch in batches:
             ids, sizes, terms, tfs, ends = [], [], [], [], [0]
-            for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 n, own = 0, Counter()
-                for piece in tokens(whole.as_py()):
+                for piece in pieces(text, TERM):
                     n += len(piece)
                     for token, times in Counter(piece).items():
-                        at = known.get(token)
-                        if at is None:
-                            at = place.get(lowered(token), -1)
-                            if len(known) < REMEMBERED:
-                                known[token] = at
-                        if at >= 0:
-                            own[at] += times
+                        if token in place:
+                            own[place[token]] += times
                 if n:
                     ids.append(doc)
                     sizes.append(n)
