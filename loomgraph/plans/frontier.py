@@ -14,17 +14,28 @@ from pyspark.sql import functions as F
 from loomgraph.plans.lineage import cut, cut_counted
 
 
-#: Levels that a search takes before it looks for chains.
+#: Levels that a search takes before it contracts the graph.
 SHALLOW = 7
-#: Levels after which what was seen becomes one table again.
-COMPACT = 8
+#: Tables of about one size that become one table.
+MERGE = 4
 
 
-def _seen(levels: list[DataFrame]) -> DataFrame:
-    """All levels so far; every few levels they become one table, so that a deep search reads few."""
-    if len(levels) >= COMPACT:
-        levels[:] = [cut(reduce(DataFrame.unionAll, levels))]
-    return reduce(DataFrame.unionAll, levels)
+class Seen:
+    """What a search has met, level by level. Levels of one size become a table of the next size, so that a deep
+    search reads few tables and writes each row again a few times only (a logarithm of the levels)."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.tables: list[tuple[int, DataFrame]] = [(0, first)]
+
+    def add(self, level: DataFrame) -> None:
+        self.tables.append((0, level))
+        while len(self.tables) >= MERGE and len({rank for rank, _ in self.tables[-MERGE:]}) == 1:
+            rank = self.tables[-1][0] + 1
+            merged = cut(reduce(DataFrame.unionAll, [t for _, t in self.tables[-MERGE:]]))
+            self.tables[-MERGE:] = [(rank, merged)]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, [t for _, t in self.tables])
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
@@ -45,53 +56,53 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """The nodes that ``closure`` reaches by project, without depths: project_id, node.
+def roots_of(up: DataFrame, keys: list[str]) -> DataFrame:
+    """``up``: keys, node, up; one row a node. Follows ``up`` to the first node without one: keys, node, root.
+
+    Takes a logarithm of the longest way in rounds of pointer doubling. Nodes that run into a cycle have no root and
+    drop out.
+    """
+    ptr, n = cut_counted(up.select(*keys, "node", F.col("up").alias("root"), F.lit(False).alias("done")))
+    reach = 1
+    while reach <= 2 * n and not ptr.where("not done").isEmpty():
+        far = ptr.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"), F.col("done").alias("all_done"))
+        ptr = cut(ptr.join(far, [*keys, "root"], "left").select(*keys, "node", F.coalesce("further", "root").alias("root"), F.coalesce("all_done", F.lit(True)).alias("done")))
+        reach *= 2
+    return ptr.where("done").drop("done")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """The nodes that ``closure`` reaches, without depths: ``keys``, node. ``edges`` and ``seeds`` have all ``keys``.
 
-    A search that isn't over after ``SHALLOW`` levels passes linear chains in one step: their places are
-    found by pointer doubling, and the search goes on from chain to chain. So its levels are those of
-    the contracted graph, however long chains are.
+    A search that isn't over after ``SHALLOW`` levels goes on over the contracted graph: a node with one way in is reached
+    if and only if the node before it is, so that all of these stand for the first node before them
+    with another number of ways in (found by pointer doubling). Chains and trees take no levels, however deep.
     """
+    keys = list(keys)
     a, b = ("target", "source") if backward else ("source", "target")
-    step = cut(edges.select("project_id", F.col(a).alias("source"), F.col(b).alias("target")).where("source is not null and target is not null").distinct())
-    plain = step.withColumnsRenamed({"source": "node", "target": "next"})
-    level, n = cut_counted(seeds.select("project_id", "node").where("node is not null").distinct())
-    levels = [level]
-    while n and len(levels) <= SHALLOW:
-        level, n = cut_counted(level.join(plain, ["project_id", "node"]).select("project_id", F.col("next").alias("node")).distinct().join(_seen(levels), ["project_id", "node"], "left_anti"))
-        levels.append(level)
-    seeds = reduce(DataFrame.unionAll, levels)
+    step = cut(edges.select(*keys, F.col(a).alias("source"), F.col(b).alias("target")).where("source is not null and target is not null").distinct())
+    level, n = cut_counted(seeds.select(*keys, "node").where("node is not null").distinct())
+    seen, depth = Seen(level), 0
+    while n and depth < SHALLOW:
+        level, n = cut_counted(level.join(step.withColumnRenamed("source", "node"), [*keys, "node"]).select(*keys, F.col("target").alias("node")).distinct().join(seen.all(), [*keys, "node"], "left_anti"))
+        seen.add(level)
+        depth += 1
     if not n:
-        return seeds
-    one_out = step.groupBy("project_id", "source").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    one_in = step.groupBy("project_id", "target").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    links = cut(step.where("source <> target").join(one_out, ["project_id", "source"], "left_semi").join(one_in, ["project_id", "target"], "left_semi"))
-    places = cut(chain_heads(links))
-    ends = places.groupBy("project_id", "head").agg(F.max("pos").alias("last"))
-    tails = places.join(ends, ["project_id", "head"]).where("pos = last").select("project_id", "head", F.col("node").alias("tail"))
-    # a step between chains: not from a place to the next of the same chain
-    of = lambda end: places.select("project_id", F.col("node").alias(end), F.col("head").alias(f"h_{end}"), F.col("pos").alias(f"p_{end}"))
-    placed = step.join(of("source"), ["project_id", "source"], "left").join(of("target"), ["project_id", "target"], "left")
-    inside = F.coalesce((F.col("h_source") == F.col("h_target")) & (F.col("p_target") == F.col("p_source") + 1), F.lit(False))
-    between = cut(placed.where(~inside).select("project_id", F.coalesce("h_source", "source").alias("unit"), "target").distinct())
-    to_unit = placed.where(~inside).select("project_id", F.col("target").alias("node"), F.coalesce("h_target", "target").alias("unit")).distinct()
-    seeded = seeds.join(places.select("project_id", "node", "head"), ["project_id", "node"], "left").select("project_id", "node", F.coalesce("head", "node").alias("unit"))
-    steps = cut(between.withColumnRenamed("target", "node").join(to_unit.withColumnRenamed("unit", "to"), ["project_id", "node"]).select("project_id", "unit", "node", "to"))
-    # entries: the nodes at which units are entered; leaving a unit only depends on the unit
-    level, n = cut_counted(seeded.distinct())
-    levels, units = [level], [level.select("project_id", "unit").distinct()]
-    fresh = units[0]
+        return seen.all()
+    met = cut(seen.all())
+    ways = step.where("source <> target").groupBy(*keys, F.col("target").alias("node")).agg(F.count("*").alias("n"), F.first("source").alias("up"))
+    roots = cut(roots_of(ways.where("n = 1").join(met, [*keys, "node"], "left_anti").drop("n"), keys))
+    of = lambda end: roots.select(*keys, F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    # ways into nodes that stand for themselves, from what stands for their source
+    into = step.join(of("target"), [*keys, "target"], "left_anti").join(of("source"), [*keys, "source"], "left")
+    short = cut(into.select(*keys, F.coalesce("source_root", "source").alias("node"), F.col("target").alias("next")).where("node <> next").distinct())
+    seen, level, n = Seen(met), met, 1
     while n:
-        entered = fresh.join(steps, ["project_id", "unit"]).select("project_id", "node", F.col("to").alias("unit")).distinct()
-        level, n = cut_counted(entered.join(_seen(levels), ["project_id", "node"], "left_anti"))
-        fresh = level.select("project_id", "unit").distinct().join(_seen(units), ["project_id", "unit"], "left_anti")
-        levels.append(level)
-        fresh, n = cut_counted(fresh)
-        units.append(fresh)
-    entries = reduce(DataFrame.unionAll, levels).select("project_id", "node")
-    first = entries.join(places, ["project_id", "node"]).groupBy("project_id", "head").agg(F.min("pos").alias("from"))
-    along = places.join(first, ["project_id", "head"]).where("pos >= from").select("project_id", "node")
-    return entries.unionByName(along).distinct()
+        level, n = cut_counted(level.join(short, [*keys, "node"]).select(*keys, F.col("next").alias("node")).distinct().join(seen.all(), [*keys, "node"], "left_anti"))
+        seen.add(level)
+    found = cut(seen.all())
+    behind = roots.join(found.withColumnRenamed("node", "root"), [*keys, "root"], "left_semi").select(*keys, "node")
+    return found.unionByName(behind)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], backward: bool = False, max_depth: int | None = None) -> DataFrame:
@@ -104,48 +115,82 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], backward: bool
     a, b = ("target", "source") if backward else ("source", "target")
     step = cut(edges.select(*shared, F.col(a).alias("node"), F.col(b).alias("next")).where("node is not null and next is not null").distinct())
     level, n = cut_counted(seeds.select(*keys, "node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    levels, depth = [level], 0
+    seen, depth = Seen(level), 0
     while n and (max_depth is None or depth < max_depth):
         depth += 1
-        seen = _seen(levels)
         reached = level.select(*keys, "node").join(step, [*shared, "node"]).select(*keys, F.col("next").alias("node")).distinct()
-        level, n = cut_counted(reached.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        levels.append(level)
-    return reduce(DataFrame.unionAll, levels)
-
-
-MOST_CALLS = 30
+        level, n = cut_counted(reached.join(seen.all(), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen.add(level)
+    return seen.all()
 
 
 def reaches(edges: DataFrame, endings: DataFrame) -> DataFrame:
     """Which endings each node reaches on ways that match calls with returns: project_id, node, ending.
 
-    The search goes backward from ``endings`` (project_id, node). Over a call_return it enters the
-    called part and remembers its context (``MOST_CALLS`` deep at most); over a call it leaves it, to
-    the remembered call only. A call may be left with nothing remembered. Edges whose condition is
-    statically false don't count. ``edges``: source, target, kind, id, and context (may be null).
+    A way may return from a called part only to where that part was called from; it may start inside a called part (and
+    return to any of its callers), and may end inside one. A call without a context matches every return. Calls may nest as deep as
+    they will. Edges whose condition is statically false don't count. ``edges``: source, target, kind, id, and
+    context (may be null); a call_return without a context has its id for one.
+
+    What lies between a call and its return is worked out once for each returning node, as a *summary* step from the call's source
+    to the return's target. With these, a search backward from an ending first goes over calls (of parts the way ends in),
+    and, once it has gone over a return (into a part the way starts in), over calls no more. A node whose only way
+    out is a plain step reaches what the next node reaches, so that such nodes take no levels, however long their chains.
     """
     context = F.col("context") if "context" in edges.columns else F.lit(None).cast("string")
-    live = edges.where(~F.coalesce("condition_is_statically_false", F.lit(False))) if "condition_is_statically_false" in edges.columns else edges
-    step = cut(live.select(
-        "project_id", F.col("target").alias("node"), F.col("source").alias("next"),
-        F.when(F.col("kind").isin("call", "call_return"), F.col("kind")).alias("kind"),
-        F.when(F.col("kind") == "call_return", F.coalesce(context, "id")).when(F.col("kind") == "call", context).alias("context"),
-    ).where("node is not null and next is not null").distinct())
-    keys = ["project_id", "ending", "node", "stack"]
-    level, n = cut_counted(endings.select("project_id", F.col("node").alias("ending"), "node", F.array().cast("array<string>").alias("stack")).distinct())
-    levels = [level]
-    top = F.try_element_at("stack", F.size("stack"))
+    alive = edges.where(~F.coalesce("condition_is_statically_false", F.lit(False))) if "condition_is_statically_false" in edges.columns else edges
+    kind = F.when(F.col("kind").isin("call", "call_return"), F.col("kind")).otherwise("plain")
+    named = F.when(kind == "call_return", F.coalesce(context, "id")).when(kind == "call", context)
+    step = cut(alive.where("source is not null and target is not null").select("project_id", "source", "target", kind.alias("kind"), named.alias("context")).distinct())
+    ends = cut(endings.select("project_id", F.col("node").alias("ending")).where("ending is not null").distinct())
+    p = ["project_id"]
+
+    out = step.where("kind <> 'plain' or source <> target").groupBy(*p, F.col("source").alias("node")).agg(F.count_distinct("target").alias("n"), F.first("target").alias("up"), F.max(F.col("kind") != "plain").alias("calls"))
+    single = out.where("n = 1 and not calls").join(ends.withColumnRenamed("ending", "node"), [*p, "node"], "left_anti").select(*p, "node", "up")
+    roots = cut(roots_of(single, p))
+    to = step.join(single.withColumnRenamed("node", "source"), [*p, "source"], "left_anti").join(roots.withColumnRenamed("node", "target"), [*p, "target"], "left")
+    # backward: node is where a step leads to (or what stands for it), next where it comes from
+    back = cut(to.select(*p, F.coalesce("root", "target").alias("node"), F.col("source").alias("next"), "kind", "context").where("kind <> 'plain' or node <> next").distinct())
+    plain = back.where("kind = 'plain'").select(*p, "node", "next")
+    calls, returns = back.where("kind = 'call'"), back.where("kind = 'call_return'")
+    if not returns.isEmpty():
+        plain = plain.unionByName(_summaries(plain, calls, returns)).distinct()
+    moves = plain.withColumns({"was": F.lit(0), "now": F.lit(0)}).unionByName(plain.withColumns({"was": F.lit(1), "now": F.lit(1)}))
+    moves = moves.unionByName(calls.select(*p, "node", "next", F.lit(0).alias("was"), F.lit(0).alias("now")))
+    moves = cut(moves.unionByName(returns.select(*p, "node", "next", F.explode(F.array(F.lit(0), F.lit(1))).alias("was"), F.lit(1).alias("now"))))
+    keys = [*p, "ending", "node", "was"]
+    level, n = cut_counted(ends.select(*p, "ending", F.col("ending").alias("node"), F.lit(0).alias("was")))
+    seen = Seen(level)
+    while n:
+        nxt = level.join(moves, [*p, "node", "was"]).select(*p, "ending", F.col("next").alias("node"), F.col("now").alias("was")).distinct()
+        level, n = cut_counted(nxt.join(seen.all(), keys, "left_anti"))
+        seen.add(level)
+    found = cut(seen.all().select(*p, "node", "ending").distinct())
+    behind = roots.join(found.withColumnRenamed("node", "root"), [*p, "root"]).select(*p, "node", "ending")
+    return found.unionByName(behind)
+
+
+def _summaries(plain: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFrame:
+    """Steps (node, next) from where a return leads back to where its call comes from, if the called part leads from
+    the one to the other with all calls in it returned from; all backward, like their parameters."""
+    p = ["project_id"]
+    level, n = cut_counted(returns.select(*p, F.col("next").alias("exit"), F.col("next").alias("node")).distinct())
+    seen, steps, have = Seen(level), plain, None
     while n:
-        seen = _seen(levels)
-        moved = level.join(step, ["project_id", "node"])
-        deep = F.size("stack")
-        allowed = F.when(F.col("kind") == "call_return", deep < MOST_CALLS).when((F.col("kind") == "call") & (deep > 0), F.col("context").isNull() | (F.col("context") == top)).otherwise(True)
-        stack = F.when(F.col("kind") == "call_return", F.array_append("stack", F.col("context"))).when((F.col("kind") == "call") & (deep > 0), F.slice("stack", 1, F.greatest(deep - 1, F.lit(0)))).otherwise(F.col("stack"))
-        nxt = moved.where(allowed).select("project_id", "ending", F.col("next").alias("node"), stack.alias("stack")).distinct()
-        level, n = cut_counted(nxt.join(seen, keys, "left_anti"))
-        levels.append(level)
-    return reduce(DataFrame.unionAll, levels).select("project_id", "node", "ending").distinct()
+        # a called part whose entry leads to a returning node: its calls with the contexts of that node's returns
+        entered = level.join(calls.select(*p, "node", F.col("next").alias("caller"), F.col("context").alias("of")), [*p, "node"])
+        back = returns.select(*p, F.col("next").alias("exit"), F.col("node").alias("target"), "context")
+        new = entered.join(back, [*p, "exit"]).where("of is null or of = context").select(*p, F.col("target").alias("node"), F.col("caller").alias("next")).distinct()
+        new = cut(new if have is None else new.join(have.all(), [*p, "node", "next"], "left_anti"))
+        if have is None:
+            have = Seen(new)
+        else:
+            have.add(new)
+        older = seen.all().join(new, [*p, "node"]).select(*p, "exit", F.col("next").alias("node"))
+        ahead = level.join(steps.unionByName(have.all()), [*p, "node"]).select(*p, "exit", F.col("next").alias("node"))
+        level, n = cut_counted(older.unionByName(ahead).distinct().join(seen.all(), [*p, "exit", "node"], "left_anti"))
+        seen.add(level)
+    return have.all()
 
 
 def chain_heads(edges: DataFrame) -> DataFrame:

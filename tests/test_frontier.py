@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.operators import link, variables
-from loomgraph.plans.frontier import reachable, weak_components
+from loomgraph.plans.frontier import reachable, reaches, weak_components
 from loomgraph.plans.lineage import numbered
 
 EDGES = "project_id string, source string, target string"
@@ -78,3 +78,66 @@ def test_dynamic_jumps_of_any_length(spark):
     for r in link.resolve_dynamic(spark.createDataFrame(jumps, "project_id string, source string, line_no int, expression string"), labels).collect():
         got.setdefault(r.line_no, set()).add((r.target, r.how))
     assert got == {1: {("a_1", "pattern"), ("a_2", "pattern")}, 2: {("s_end", "pattern")}, 3: {("b_end", "pattern"), ("s_end", "pattern")}, 4: {("scene_x", "literal")}, 5: {("a_1", "literal"), ("b_end", "literal")}}
+
+
+def _brute_reaches(edges, endings, most=6):
+    """Ways backward with a stack of contexts, as the contract words it; ``most`` bounds the stack."""
+    found = set()
+    for ending in endings:
+        met, todo = {(ending, ())}, [(ending, ())]
+        while todo:
+            node, stack = todo.pop()
+            found.add((node, ending))
+            for own, source, target, kind, context in edges:
+                if target != node:
+                    continue
+                if kind == "call_return":
+                    if len(stack) >= most:
+                        continue
+                    new = (*stack, context or own)
+                elif kind == "call" and stack:
+                    if context is not None and context != stack[-1]:
+                        continue
+                    new = stack[:-1]
+                else:
+                    new = stack
+                if (source, new) not in met:
+                    met.add((source, new))
+                    todo.append((source, new))
+    return found
+
+
+def test_reaches_against_stacks(spark):
+    rng = np.random.default_rng(3)
+    for trial in range(3):
+        edges = []
+        for k in range(6):  # parts that call one another, the last few of them in a cycle
+            nodes = [f"f{k}_{i}" for i in range(5)]
+            edges += [(f"s{k}_{i}", nodes[i], nodes[i + 1], "sequence", None) for i in range(4)]
+            for j in range(2):
+                callee = int(rng.integers(0, 6))
+                at = int(rng.integers(0, 4))
+                context = None if rng.random() < 0.15 else f"c{k}_{j}"
+                edges += [(f"call{k}_{j}", nodes[at], f"f{callee}_0", "call", context), (f"ret{k}_{j}", f"f{callee}_4", nodes[at + 1], "call_return", f"c{k}_{j}")]
+            edges.append((f"j{k}", nodes[int(rng.integers(0, 5))], f"e{k % 3}", "jump", None))
+        endings = ["e0", "e1", "e2", "f2_3"]
+        df = spark.createDataFrame([("p", *e) for e in edges], "project_id string, id string, source string, target string, kind string, context string")
+        got = [(r.node, r.ending) for r in reaches(df, spark.createDataFrame([("p", e) for e in endings], "project_id string, node string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == _brute_reaches(edges, endings), trial
+
+
+def test_long_chains_in_searches(spark):
+    """5,000 labels in a row, with calls: endings and scenarios take the rounds of the contracted graph."""
+    import time
+
+    chain = spark.range(5000).select(F.lit("p").alias("project_id"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"), F.lit("sequence").alias("kind"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("expression"))
+    more = [("p", "c1", "10", "sub", "call", "x", None), ("p", "c2", "4000", "sub", "call", "y", None), ("p", "r1", "sub_end", "11", "call_return", "x", None), ("p", "r2", "sub_end", "4001", "call_return", "y", None), ("p", "s", "sub", "sub_end", "sequence", None, None), ("p", "z", "20", "other", "jump", None, "hp > 1")]
+    df = chain.unionByName(spark.createDataFrame(more, chain.schema))
+    began = time.time()
+    got = {(r.node, r.ending) for r in reaches(df, spark.createDataFrame([("p", "5000"), ("p", "other")], "project_id string, node string")).collect()}
+    assert got == {(str(i), "5000") for i in range(5001)} | {(str(i), "other") for i in range(21)} | {("other", "other"), ("sub", "5000"), ("sub_end", "5000"), ("sub", "other"), ("sub_end", "other")}
+    assert time.time() - began < 60
+    flags = spark.createDataFrame([("low", "hp", "0"), ("high", "hp", "5")], "scenario_id string, flag string, value string")
+    began = time.time()
+    assert {(r.scenario_id, r.node) for r in variables.conditional_reachability(df.drop("context"), flags).collect()} == {("low", "other")}
+    assert time.time() - began < 60
