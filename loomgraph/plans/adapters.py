@@ -68,6 +68,13 @@ def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes(spark, sf_dir).join(ends, "id", "left_semi"), e
 
 
+def forward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All forward edges (target key over source key) and their nodes."""
+    e = edges(spark, sf_dir).where(F.substring("target", 2, 20).cast("long") > F.substring("source", 2, 20).cast("long"))
+    ends = e.select(F.col("source").alias("id")).unionAll(e.select("target")).distinct()
+    return nodes(spark, sf_dir).join(ends, "id", "left_semi"), e
+
+
 def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A node per event; an edge to the user's next event if it is of the same type."""
     ev = table(spark, sf_dir, "events")
@@ -145,6 +152,8 @@ SQL = {
         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)) WHERE nxt IS NOT NULL""",
     "dag_edges": "SELECT * FROM edges WHERE t_key > s_key AND l_orderkey % 20 = 0",
     "dag_nodes": "SELECT * FROM nodes WHERE id IN (SELECT source FROM dag_edges UNION SELECT target FROM dag_edges)",
+    "forward_edges": "SELECT * FROM edges WHERE t_key > s_key",
+    "forward_nodes": "SELECT * FROM nodes WHERE id IN (SELECT source FROM forward_edges UNION SELECT target FROM forward_edges)",
     "chain_nodes": """SELECT event_id AS node_ord, 'e' || event_id AS id, event_type AS label, 'u' || user_id AS chapter, CAST(event_id % 20 AS INT) AS dialogue_count,
       CAST(floor(value) AS INT) AS word_count FROM events""",
     "chain_edges": """SELECT 'c' || event_id AS id, event_id AS s_key, nxt AS t_key, 'e' || event_id AS source, 'e' || nxt AS target
