@@ -130,3 +130,15 @@ def test_files_without_labels(spark):
     assert g.edges.count() == 0 and g.nodes.count() == 0
     s = story.linked(_files(spark, "init python:\n    x = 1\n").limit(0))
     assert s.nodes.count() == 0 and s.edges.count() == 0
+
+
+def test_dead_options_after_assignments(spark):
+    text = (
+        'default gold = 5\ndefine rich = False\ndefault name = "Al"\nlabel start:\n    $ gold -= 3\n    $ rich = not rich\n    $ luck = roll()\n    menu m:\n'
+        '        "A" if gold > 4:\n            jump b\n        "B" if gold == 2 and rich:\n            jump b\n        "C" if luck > 3:\n            jump b\n        "D" if name == "Bo":\n            jump b\n'
+        '    "then"\n    $ gold *= 10\n    if gold < 15:\n        jump b\n    jump c\nlabel b:\n    $ gold = 1\n    return\nlabel c:\n    return\n'
+    )
+    s = story.linked(_files(spark, text))
+    dead = {(r.source, r.label) for r in s.edges.where("condition_is_statically_false").collect()}
+    # the decision behind the menu is a node of its own, before which nothing is assigned
+    assert dead == {("menu_m", "A"), ("menu_m", "D")}
