@@ -26,8 +26,8 @@ REPEAT_COST = (0, 1, 3)
 SEED = 42
 #: Documents of a bucket, about: the last bucket of a pattern is chosen from one by one.
 BUCKET = 4096
-#: More distinct patterns than this are an error: the flow is solved on the driver.
-MAX_PATTERNS = 20_000
+#: Plans of so many patterns are broadcast.
+BROADCAST = 20_000
 
 Source = str | None
 
@@ -113,6 +113,34 @@ def route(patterns: dict[tuple, int], quotas: dict[Source, float]) -> dict[tuple
     return flow
 
 
+def amounts(patterns: dict[tuple, int], quotas: dict[Source, float]) -> dict[tuple, float]:
+    """Words to take of each pattern. Sources that no document shares need no flow: all of their words are read up to
+    ``REPEATS`` times, as far as the quota goes. The others are routed, each connected part of them by itself."""
+    leader = {s: s for p in patterns for s in p}
+
+    def find(s: Source) -> Source:
+        while leader[s] != s:
+            leader[s] = leader[leader[s]]
+            s = leader[s]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            leader[find(s)] = find(p[0])
+    parts: dict[Source, dict[tuple, int]] = defaultdict(dict)
+    for p, size in patterns.items():
+        if p:
+            parts[find(p[0])][p] = size
+    flow: dict[tuple, float] = {(): 0.0}
+    for part in parts.values():
+        if len(part) == 1 and len(next(iter(part))) == 1:
+            (p, size), = part.items()
+            flow[p] = min(quotas[p[0]], float(REPEATS * size))
+        else:
+            flow |= route(part, {s: quotas[s] for s in {s for p in part for s in p}})
+    return flow
+
+
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
     """Chooses the units of one bucket that take what is left of a pattern's flow, in seeded
     order, wherever a unit still fits; then one more, if that comes nearer."""
@@ -134,8 +162,9 @@ def mix(docs: DataFrame, membership: Column, text: str = "text", doc_id: str = "
     The quotas have one row per source: source, source_size, target.
 
     ``membership``: array of the sources of a document; null elements are a source of their
-    own. A null or empty text has size 0. Documents without a source are never taken. An
-    empty table gives an empty result; other columns are ignored. Reruns agree.
+    own. A null or empty text has size 0. Documents without a source are never taken. Rows that repeat are one unit.
+    An empty table gives an empty result; other columns are ignored, whatever their names. Reruns agree.
+    The driver holds a row for each distinct pattern, and solves a flow for each connected part of the sources that documents share.
     """
     spark = docs.sparkSession
     members = F.array_distinct(F.sort_array(membership, asc=False))
@@ -143,23 +172,23 @@ def mix(docs: DataFrame, membership: Column, text: str = "text", doc_id: str = "
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), members.alias("members"), h.alias("h"), words(F.col(text)).alias("size"))
     units = cut(slim.groupBy("doc_id", "members", "h", "size").agg(F.count("*").alias("n_rows")))
 
-    got = units.groupBy("members").agg(F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(got) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} distinct membership patterns")
+    got = units.groupBy("members").agg(F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.count("*").alias("n")).collect()
     patterns = {tuple(r.members or ()): int(r.size) for r in got}
     sizes: dict[Source, int] = defaultdict(int)
     for p, size in patterns.items():
         for s in p:
             sizes[s] += size
     quotas = targets(dict(sizes), weights, sum(patterns.values()) if total is None else total)
-    flow = route(patterns, quotas)
+    flow = amounts(patterns, quotas)
     rows = []
     for r in got:
         p = tuple(r.members or ())
         full = min(REPEATS, int((flow[p] + 0.5) // patterns[p])) if patterns[p] else 0
         left = max(0.0, flow[p] - full * patterns[p]) if full < REPEATS else 0.0
         rows.append((r.members, max(1, math.ceil(r.n / BUCKET)), full, left))
-    plan = F.broadcast(spark.createDataFrame(rows, "members array<string>, buckets int, full int, flow_left double"))  # MAX_PATTERNS rows at most
+    plan = spark.createDataFrame(rows, "members array<string>, buckets int, full int, flow_left double")
+    if len(rows) <= BROADCAST:
+        plan = F.broadcast(plan)
 
     units = units.join(plan, units["members"].eqNullSafe(plan["members"])).select(units["*"], "buckets", "full", "flow_left")
     units = units.withColumn("bucket", F.expr("pmod(xxhash64(h), buckets)")).withColumn("unit_size", F.col("size") * F.col("n_rows"))
@@ -182,9 +211,12 @@ def mix(docs: DataFrame, membership: Column, text: str = "text", doc_id: str = "
 
 def by_source(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """One row per row of ``docs``, whose one source is a column: doc_id, size, source_size,
-    target and taken, the words the mix takes of it with repeats."""
+    target and taken, the words the mix takes of it with repeats.
+
+    A null source is a source of its own; null and empty texts have size 0 and give nothing; rows that repeat are
+    taken alike; an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
     mixed, quotas = mix(docs, F.array(F.col(source)), **options)
-    quotas = F.broadcast(quotas)  # one row per source, as many as there are patterns at most
     one = mixed.withColumn("s", F.col("members")[0]).join(quotas, F.col("s").eqNullSafe(F.col("source")), "left")
     return one.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
@@ -192,10 +224,14 @@ def by_source(docs: DataFrame, source: str = "source", **options) -> DataFrame:
 
 
 def take(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Rows without a word are never taken; rows that repeat (in doc_id, source and text) are taken alike. A null source is a
+    source of its own; null doc_ids and columns of any names pass through; an empty table gives an empty result.
+    """
     members = F.array(F.col(source))
     mixed, _ = mix(docs, members, text=text, doc_id=doc_id, seed=seed, **options)
     chosen = mixed.where("copies > 0").select(F.col("h").alias("__mix_h"), F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
     h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.to_json(F.array_distinct(F.sort_array(members, asc=False))))
     both = docs.withColumn("__mix_own", h).join(chosen, (F.col("__mix_own") == F.col("__mix_h")) & F.col(doc_id).eqNullSafe(F.col("__mix_id")))
-    return both.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
+    return both.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -664,6 +664,25 @@ def test_flow_against_brute_force():
         assert (-sum(flow[p] for p in patterns), sum(cost(p, flow[p]) for p in patterns)) == pytest.approx(best, abs=1e-4)
 
 
+def test_amounts_by_connected_parts():
+    """The flow of all patterns at once, and that of each connected part by itself, take as much of each source and cost the same."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        patterns = {(s,): int(rng.integers(1, 50)) for s in "abcdef"} | {("a", "b"): 20, ("d", "e"): 10}
+        quotas = {s: float(rng.integers(0, 200)) for s in "abcdef"}
+        whole, parts = mixing.route(patterns, quotas), mixing.amounts(patterns, quotas)
+        cost = lambda f: sum(c * min(max(f[p] - k * n, 0), n) for p, n in patterns.items() for k, c in enumerate(mixing.REPEAT_COST))
+        assert sum(parts[p] for p in patterns) == pytest.approx(sum(whole[p] for p in patterns)) and cost(parts) == pytest.approx(cost(whole), abs=1e-3)
+        assert all(parts[p] == pytest.approx(whole[p], abs=1e-3) for p in (("c",), ("f",)))
+
+
+def test_mix_of_many_sources(spark):
+    """A source for every document, over 20,000 of them: no flow, no error."""
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.lit("one two three").alias("text"))
+    r = mixing.by_source(docs).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.sum("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).first()
+    assert r.n == 25_000 and r.target == pytest.approx(75_000) and r.most <= 3 and r.taken > 0
+
+
 def test_toxic_loss_against_brute_force():
     """Without a penalty the fit is the plain logistic one; with it, swapped mentions score alike."""
     rng = np.random.default_rng(9)

@@ -37,8 +37,8 @@ def test_stages(spark):
     assert whole.n == whole.all and whole.docs == docs.count()
 
 
-CLASHES = ("label", "tail", "expected_grade", "n_lines", "n_removed", "_nth", "_kept", "_text_hash", "h", "copies", "members", "fp", "component", "size", "bucket")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+CLASHES = ("label", "tail", "expected_grade", "n_lines", "n_removed", "_nth", "_kept", "_text_hash", "h", "copies", "members", "fp", "component", "size", "bucket", "a.b")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def _table(spark, rows):
@@ -88,6 +88,7 @@ def test_line_dedup_stage_on_awkward_rows(spark, sf_dir):
     got = corpus_pipeline.line_dedup_stage(spark, docs, sf_dir)
     assert got.columns == docs.columns and got.count() == docs.count()
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rest = [f"`{c}`" for c in rest]
     assert _key(map(tuple, got.select(*rest).collect())) == _key(map(tuple, docs.select(*rest).collect()))
     assert got.where("n_chars <> coalesce(length(text), 0)").where("text is not null").count() == 0
     assert sum(r.text.count("shared line two") for r in got.collect() if r.text) < 6
