@@ -16,13 +16,21 @@ from loomgraph.llm._util import cut
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of a grade above the lowest is at least one half."""
+    """Documents whose probability of a grade above the lowest is at least one half.
+
+    Null and empty texts are scored like any other; rows that repeat are judged alike; other columns pass through; an empty
+    table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.select(docs, quality.fit(docs, quality.grades(labels)))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the chunks of lines that an earlier document has; all documents stay."""
+    """Texts without the chunks of lines that an earlier document has; all documents stay.
+
+    A null text stays null; a document of copies only keeps its row with an empty text; ``n_chars``, if there is one,
+    follows the text; other columns pass through; an empty table stays empty.
+    """
     short = linededup.dedup(docs, counts=False)
     if "n_chars" not in docs.columns:
         return short
@@ -30,17 +38,29 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
+    """Of each group of near-duplicates the document with the smallest doc_id.
+
+    Texts without a word are one group; of rows that tie one stays; rows without a doc_id come after all others; other
+    columns pass through; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, so that sources come near their targets."""
+    """Documents as often as the mix takes them, so that sources come near their targets.
+
+    Documents without a word aren't taken; a null source is a source of its own; other columns pass through; an empty table
+    stays empty.
+    """
     return mixing.take(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences: the token ids with their place in document and sequence."""
+    """Pieces of sequences: the token ids with their place in document and sequence.
+
+    A null or empty text is one end token; null doc_ids come first; rows that repeat are documents of their own; other columns
+    are dropped; an empty table gives no piece. Reruns over the same rows agree.
+    """
     pieces = packing.pack(docs, packing.public_vocabulary())
     return packing.digest(pieces, "ids")
 
