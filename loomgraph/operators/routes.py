@@ -1,8 +1,9 @@
 """Routes through a story: all ways from the start to endings, and the best way to a target.
 
 Paths are rows with arrays; each level joins the frontier with the edges. Calls push their
-context, returns must match it. Where a cap cuts the search, the rows kept are those of least
-path, level by level, and ``truncated`` says so; without a cap the set of routes is complete.
+context, returns must match it. Routes are listed; where a cap cuts the list or the search, the rows kept are those of
+least path, level by level, and ``truncated`` says so; without a cap the set of routes is complete. The best route to a target needs
+no list: of all ways into a node with the same calls open, the best one alone goes on.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NAME, condition_refs
-from loomgraph.plans.frontier import live, present
+from loomgraph.plans.frontier import Seen, live, present
 from loomgraph.plans.lineage import cut, cut_counted, numbered
 
 ROUTES, DEPTH, STATES = 500, 200, 50_000
+#: Calls that are open at once, at most, on the way to a target.
+MOST_CALLS = 30
 
 
 def _steps(edges: DataFrame, nodes: DataFrame, strict: bool) -> DataFrame:
@@ -27,25 +30,31 @@ def _steps(edges: DataFrame, nodes: DataFrame, strict: bool) -> DataFrame:
         "label", col("expression").alias("expression"), F.coalesce(col("context"), F.when(F.col("kind") == "call", F.col("id")) if strict else F.lit(None).cast("string")).alias("context"),
         F.coalesce(col("return_target"), F.lit("")).alias("back"),
     )
-    n = nodes.select("project_id", F.col("id").alias("to"), F.coalesce("word_count", F.lit(0)).alias("w"), F.coalesce("pause_duration", F.lit(0.0)).alias("p"), F.col("type").alias("t"))
+    chapter = F.col("chapter") if "chapter" in nodes.columns else F.lit(None).cast("string")
+    n = nodes.select("project_id", F.col("id").alias("to"), F.coalesce("word_count", F.lit(0)).alias("w"), F.coalesce("pause_duration", F.lit(0.0)).alias("p"), F.col("type").alias("t"), chapter.alias("to_chapter"))
     return cut(e.join(n, ["project_id", "to"]))
 
 
-def _advance(level: DataFrame, steps: DataFrame, most_visits: int, depth: int, strict: bool) -> DataFrame:
+def _advance(level: DataFrame, steps: DataFrame, most_visits: int | None, depth: int, strict: bool) -> DataFrame:
     top = F.try_element_at("stack", F.size("stack"))
     matched = (F.col("context") == top["context"]) if strict else (F.col("context").isNull() | (F.col("context") == top["context"]) | (F.col("to") == top["back"]))
     ok = F.when(F.col("kind") == "call_return", (F.size("stack") > 0) & F.coalesce(matched, F.lit(False))).otherwise(True)
     visits = F.size(F.filter("path", lambda x: x == F.col("to")))
-    moved = level.join(steps, ["project_id", "at"]).where(ok & (visits < most_visits) & (F.size("path") < depth))
+    moved = level.join(steps, ["project_id", "at"]).where(ok & (F.size("path") < depth))
+    if most_visits is not None:
+        moved = moved.where(visits < most_visits)
     frame = F.struct(F.col("context").alias("context"), F.col("back").alias("back"))
     stack = F.when(F.col("kind") == "call_return", F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0)))).when(F.col("kind") == "call", F.array_append("stack", frame)).otherwise(F.col("stack"))
     choice = F.struct(F.col("at").alias("menu"), F.col("label").alias("text"))
     is_choice = (F.col("at_type") == "MENU") | present(F.col("label"))
+    step = F.when(is_choice, "choice").when(F.col("expression").isNotNull(), "decision_branch").when(F.col("kind").isin("call", "call_return"), F.col("kind")).otherwise("label")
+    taken = F.struct(step.alias("type"), F.col("label").alias("text"), F.when(F.col("at_type") == "MENU", F.col("at")).alias("menu"), F.col("expression").alias("expression"), F.col("to_chapter").alias("chapter"))
+    more = [F.array_append("taken", taken).alias("taken")] if strict else []
     return moved.select(
         "project_id", F.col("to").alias("at"), F.col("t").alias("at_type"), F.array_append("path", F.col("to")).alias("path"),
         F.when(is_choice, F.array_append("choices", choice)).otherwise(F.col("choices")).alias("choices"),
         F.when(F.col("expression").isNotNull(), F.array_append("conditions", F.col("expression"))).otherwise(F.col("conditions")).alias("conditions"),
-        (F.col("words") + F.col("w")).alias("words"), (F.col("pause") + F.col("p")).alias("pause"), stack.alias("stack"), F.array_append("order", F.col("edge_ord")).alias("order"),
+        (F.col("words") + F.col("w")).alias("words"), (F.col("pause") + F.col("p")).alias("pause"), stack.alias("stack"), F.array_append("order", F.col("edge_ord")).alias("order"), *more,
     )
 
 
@@ -58,58 +67,103 @@ def _start(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def _capped(level: DataFrame, most: int | None) -> tuple[DataFrame, int]:
+def _capped(level: DataFrame, most: int | None) -> tuple[DataFrame, int, DataFrame | None]:
+    """The level, its rows (``most`` a project), and the projects of which rows were cut."""
     if most is None:
-        return cut_counted(level)
+        return *cut_counted(level), None
     w = Window.partitionBy("project_id").orderBy("order")
-    return cut_counted(level.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most).drop("__nth"))
+    one_more, n = cut_counted(level.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most + 1))
+    over = one_more.where(F.col("__nth") > most).select("project_id").distinct()
+    return one_more.where(F.col("__nth") <= most).drop("__nth"), n, over
 
 
 def enumerate_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, endings: DataFrame, max_routes: int | None = ROUTES, max_depth: int = DEPTH, max_states: int | None = STATES, max_visits: int = 2) -> DataFrame:
     """All routes from the starts to the endings (project_id, node): route_id, route_ord, ending,
-    path, choices, words, pause, has_cycle, truncated. An ending that leads on is passed, too."""
+    path, choices, words, pause, has_cycle, truncated. An ending that leads on is passed, too.
+
+    ``truncated`` is true for all routes of a project of which routes, states of a level (``max_states``) or longer paths (``max_depth``) were cut.
+    """
     steps = _steps(edges, nodes, False)
     ends = endings.select("project_id", F.col("node").alias("at")).distinct()
-    (level, n), found = _capped(_start(nodes, starts), max_states), []
+    level, n, over = _capped(_start(nodes, starts), max_states)
+    found, cuts = [level.limit(0)], [over]
     while n:
         found.append(level.join(ends, ["project_id", "at"], "left_semi"))
-        level, n = _capped(_advance(level, steps, max_visits, max_depth, False), max_states)
-    if not found:
-        found = [level]
+        if len(found) > max_depth:  # paths of the greatest length that would go on
+            cuts.append(_advance(level, steps, max_visits, max_depth + 1, False).select("project_id").distinct())
+        level, n, over = _capped(_advance(level, steps, max_visits, max_depth, False), max_states)
+        cuts.append(over)
     rows = reduce(DataFrame.unionAll, found)
+    cuts = [c for c in cuts if c is not None]
+    short = cut(reduce(DataFrame.unionAll, cuts).distinct().withColumn("__short", F.lit(True))) if cuts else None
     w = Window.partitionBy("project_id").orderBy(F.size("path"), "order", "path")
     rows = rows.withColumn("route_ord", F.row_number().over(w))
     total = rows.groupBy("project_id").agg(F.count("*").alias("__total"))
     kept = rows if max_routes is None else rows.where(F.col("route_ord") <= max_routes)
-    return kept.join(total, "project_id").select(
+    kept = kept.join(total, "project_id")
+    kept = kept.withColumn("__short", F.lit(False)) if short is None else kept.join(short, "project_id", "left")
+    many = F.lit(False) if max_routes is None else F.col("__total") > max_routes
+    return kept.select(
         "project_id", F.concat(F.lit("route_"), F.col("route_ord").cast("string")).alias("route_id"), "route_ord", F.col("at").alias("ending"), "path", "choices", "words", "pause", "conditions",
-        (F.size(F.array_distinct("path")) < F.size("path")).alias("has_cycle"), (F.lit(False) if max_routes is None else F.col("__total") > max_routes).alias("truncated"),
+        (F.size(F.array_distinct("path")) < F.size("path")).alias("has_cycle"), (many | F.coalesce("__short", F.lit(False))).alias("truncated"),
     )
 
 
-def solve_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets: DataFrame, heuristic: str = "shortest", max_depth: int = 250, max_states: int | None = 40_000) -> DataFrame:
-    """The best route to each target (project_id, node): target, is_reachable, path, n_choices, words,
-    pause, flags (what its conditions need), alternatives.
+def solve_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets: DataFrame, heuristic: str = "shortest", max_depth: int = 250, max_states: int | None = None) -> DataFrame:
+    """The best route to each target (project_id, node): target, is_reachable, path, steps (type, node, chapter, text, menu, expression),
+    chapters, n_choices, words, pause, conditions, alternatives, truncated.
 
     Heuristics: shortest (nodes, then choices), least_choices (choices, then nodes), max_dialogue
-    (most words, then nodes). Returns must match their call. No node is passed twice.
+    (most words, then nodes); then the order of edges. Returns must match their call. A row goes on only if it is the best for its node and open
+    calls: the first that comes (shortest), one with fewer choices than all before (least_choices), or the one of most words among
+    those of its length (max_dialogue). For the first two that is the optimum on any graph; for max_dialogue on graphs without cycles, while
+    on others no node is passed twice and a longer way that the best one bars may be missed.
+
+    ``alternatives`` counts the other rows that came in at the target. ``truncated``: something was left when the search ended, as paths had
+    ``max_depth`` nodes or (if given) a level had more than ``max_states`` rows in the project.
     """
     steps = _steps(edges, nodes, True)
-    goals = targets.select("project_id", F.col("node").alias("at")).distinct()
-    (level, n), found = _capped(_start(nodes, starts), max_states), []
+    goals = cut(targets.select("project_id", F.col("node").alias("at")).distinct())
+    chapter = F.col("chapter") if "chapter" in nodes.columns else F.lit(None).cast("string")
+    first = nodes.select("project_id", F.col("id").alias("at"), F.array(F.struct(F.lit("start").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("menu"), F.lit(None).cast("string").alias("expression"), chapter.alias("chapter"))).alias("taken"))
+    level, n, over = _capped(_start(nodes, starts).join(first, ["project_id", "at"]), max_states)
+    size, choices, state = F.size("path"), F.size("choices"), ["project_id", "at", "stack"]
+    cost = {"shortest": [size, choices], "least_choices": [choices, size], "max_dialogue": [-F.col("words"), size]}[heuristic]
+    met = Seen(level.select(*state, choices.alias("choices")))
+    found, cuts, depth = [level.join(goals, ["project_id", "at"], "left_semi")], [over], 1
+    names = [c for c in level.columns if c not in state]
     while n:
+        going = level.where(F.size("stack") <= MOST_CALLS)
+        ahead = _advance(going, steps, 1 if heuristic == "max_dialogue" else None, max_depth + 1, True)
+        ahead = ahead.groupBy(*state).agg(F.min_by(F.struct(*names), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cost)], "order")).alias("x")).select(*state, "x.*")
+        if heuristic == "shortest":
+            ahead = ahead.join(met.all(), state, "left_anti")
+        elif heuristic == "least_choices":
+            least = met.all().groupBy(*state).agg(F.min("choices").alias("least"))
+            ahead = ahead.join(least, state, "left").where(F.col("least").isNull() | (F.size("choices") < F.col("least"))).drop("least")
+        level, n, over = _capped(ahead.select(*level.columns), max_states)
+        depth += 1
+        if n and depth > max_depth:
+            cuts.append(level.select("project_id").distinct())
+            break
+        cuts.append(over)
+        met.add(level.select(*state, choices.alias("choices")))
         found.append(level.join(goals, ["project_id", "at"], "left_semi"))
-        level, n = _capped(_advance(level, steps, 1, max_depth, True), max_states)
-    rows = reduce(DataFrame.unionAll, found or [level])
-    steps_, c = F.size("path"), F.size("choices")
-    order = {"shortest": [steps_, c], "least_choices": [c, steps_], "max_dialogue": [F.desc("words"), steps_]}[heuristic]
+    rows = reduce(DataFrame.unionAll, found)
     w = Window.partitionBy("project_id", "at")
-    best = rows.withColumn("alternatives", F.count("*").over(w) - 1).withColumn("__nth", F.row_number().over(w.orderBy(*order, "order"))).where("__nth = 1")
-    j = goals.join(best, ["project_id", "at"], "left")
+    best = rows.withColumn("alternatives", F.count("*").over(w) - 1).withColumn("__nth", F.row_number().over(w.orderBy(*cost, "order"))).where("__nth = 1")
+    cuts = [c for c in cuts if c is not None]
+    short = reduce(DataFrame.unionAll, cuts).distinct() if cuts else goals.select("project_id").limit(0)
+    j = goals.join(best, ["project_id", "at"], "left").join(short.withColumn("truncated", F.lit(True)), "project_id", "left")
     none = F.array().cast("array<string>")
+    last = F.size("path") - 1
+    typed = F.zip_with("taken", "path", lambda t, p: F.struct(t["type"].alias("type"), p.alias("node"), t["chapter"].alias("chapter"), t["text"].alias("text"), t["menu"].alias("menu"), t["expression"].alias("expression")))
+    typed = F.transform(typed, lambda t, i: t.withField("type", F.when((i == last) & (t["type"] == "label"), "ending").otherwise(t["type"])))
+    kinds = "array<struct<type:string,node:string,chapter:string,text:string,menu:string,expression:string>>"
     return j.select(
-        "project_id", F.col("at").alias("target"), F.col("path").isNotNull().alias("is_reachable"), F.coalesce("path", none).alias("path"), F.coalesce(F.size("choices"), F.lit(0)).alias("n_choices"),
-        F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.coalesce("pause", F.lit(0.0)).alias("pause"), F.coalesce("conditions", none).alias("conditions"), F.coalesce("alternatives", F.lit(0)).alias("alternatives"),
+        "project_id", F.col("at").alias("target"), F.col("path").isNotNull().alias("is_reachable"), F.coalesce("path", none).alias("path"), F.coalesce(typed.cast(kinds), F.array().cast(kinds)).alias("steps"),
+        F.coalesce(F.array_distinct(F.filter(F.transform("taken", lambda t: t["chapter"]), lambda c: c.isNotNull() & (c != ""))), none).alias("chapters"), F.coalesce(choices, F.lit(0)).alias("n_choices"),
+        F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.coalesce("pause", F.lit(0.0)).alias("pause"), F.coalesce("conditions", none).alias("conditions"), F.coalesce("alternatives", F.lit(0)).alias("alternatives"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )
 
 

@@ -87,10 +87,58 @@ def test_solver(spark):
     b = routes.solve_routes(n, e, node("start"), node("end"), "least_choices").first()
     assert (len(a.path), a.n_choices) == (4, 2) and (len(b.path), b.n_choices) == (6, 0)
     assert {r.flag: r.needed for r in routes.flags_needed(routes.solve_routes(n, e, node("start"), node("end"))).collect()} == {"key": "key and n > 2", "n": "key and n > 2"}
+    assert [(x.type, x.node) for x in a.steps] == [("start", "start"), ("decision_branch", "m1"), ("choice", "m2"), ("choice", "end")] and a.steps[2].menu == "m1" and b.steps[-1].type == "ending" and not a.truncated
     none = routes.solve_routes(n, e.where("target <> 'end'"), node("start"), node("end")).first()
     assert not none.is_reachable and none.path == []
 
 
+def _simple_paths(edges, start, targets):
+    """All ways without a node twice, with a stack of calls: target -> (nodes, choices, words) of each."""
+    found, todo = {t: [] for t in targets}, [((start,), (), 0)]
+    while todo:
+        path, stack, choices = todo.pop()
+        if path[-1] in found:
+            found[path[-1]].append((len(path), choices, len(path) * 10))
+        for _, _, s, t, kind, label, context in edges:
+            if s != path[-1] or t in path or (kind == "call_return" and (not stack or stack[-1] != context)):
+                continue
+            todo.append(((*path, t), (*stack, context) if kind == "call" else stack[:-1] if kind == "call_return" else stack, choices + bool(label)))
+    return found
+
+
+def test_best_routes_against_all_paths(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for trial in range(2):
+        ids = [f"n{i}" for i in range(14)]
+        edges = [(k, f"e{k}", f"n{a}", f"n{b}", "jump", "x" if rng.random() < 0.4 else None, None) for k, (a, b) in enumerate(rng.integers(0, 14, (26, 2))) if a != b]
+        edges += [(100, "c1", "n2", "sub", "call", None, "k1"), (101, "c2", "n5", "sub", "call", None, "k2"), (102, "r1", "sub", "n9", "call_return", None, "k1"), (103, "r2", "sub", "n11", "call_return", "y", "k2")]
+        n = spark.createDataFrame([(i, x, "LABEL", 10) for i, x in enumerate([*ids, "sub"])], "node_ord long, id string, type string, word_count int").withColumn("project_id", F.lit("p")).withColumn("pause_duration", F.lit(0.0))
+        e = spark.createDataFrame(edges, EDGES + ", context string").withColumn("project_id", F.lit("p")).withColumn("condition_is_statically_false", F.lit(False))
+        node = lambda xs: n.where(F.col("id").isin(xs)).select("project_id", F.col("id").alias("node"))
+        all_ = _simple_paths(edges, "n0", [*ids, "sub"])
+        for heuristic, key in (("shortest", lambda x: (x[0], x[1])), ("least_choices", lambda x: (x[1], x[0]))):
+            for r in routes.solve_routes(n, e, node(["n0"]), node([*ids, "sub"]), heuristic).collect():
+                want = min(all_[r.target], key=key, default=None)
+                assert (r.is_reachable, (len(r.path), r.n_choices) if r.is_reachable else None, r.truncated) == (want is not None, want and want[:2], False), (trial, heuristic, r.target)
+    cut = routes.solve_routes(n, e, node(["n0"]), node(ids), max_depth=2).collect()
+    assert all(r.truncated for r in cut) and max(len(r.path) for r in cut) == 2
+
+
+def test_cut_lists_of_routes_say_so(spark):
+    n = spark.createDataFrame([(i, f"n{i}", "LABEL", 1) for i in range(6)], "node_ord long, id string, type string, word_count int").withColumn("project_id", F.lit("p")).withColumn("pause_duration", F.lit(0.0))
+    e = spark.createDataFrame([(2 * i + k, f"e{i}{k}", f"n{i}", f"n{i + 1}", "jump", None) for i in range(5) for k in range(2)], EDGES).withColumn("project_id", F.lit("p")).withColumn("condition_is_statically_false", F.lit(False))
+    node = lambda x: n.where(F.col("id") == x).select("project_id", F.col("id").alias("node"))
+    whole = routes.enumerate_routes(n, e, node("n0"), node("n5")).collect()
+    assert len(whole) == 32 and not any(r.truncated for r in whole)
+    for options in ({"max_states": 8}, {"max_routes": 31}):
+        some = routes.enumerate_routes(n, e, node("n0"), node("n5"), **options).collect()
+        assert 0 < len(some) < 32 and all(r.truncated for r in some)
+    early = routes.enumerate_routes(n, e, node("n0"), node("n2"), max_depth=3).collect()
+    assert len(early) == 4 and all(r.truncated for r in early)
+
+
 def test_integrity_is_stable(story):
     n, e = story
     twice = n.unionByName(n.withColumn("node_ord", F.col("node_ord") + 100).withColumn("label", F.lit("later")))
