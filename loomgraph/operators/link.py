@@ -193,7 +193,7 @@ def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None
         found.append(jumps.join(F.broadcast(rules.select("pattern", "target")), F.expr("expression rlike pattern")).select(*keys, "target", F.lit("rule").alias("how")))
     ids = labels.select("project_id", F.col("id").alias("target")).distinct()
     text = r'"([^"\\]*)"|\x27([^\x27\\]*)\x27'
-    e = F.trim("expression")
+    e = F.trim(F.regexp_replace("expression", r"^\s*\(\s*|\s*\)\s*$", ""))
     outside = F.regexp_replace("expression", text, "")
     is_f = e.rlike(r"^[fF][\"\x27].*\{.*\}.*[\"\x27]$")
     plain = jumps.where(~e.rlike(r"^[fF][\"\x27]") & ~outside.contains("+"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NAME, condition_refs
-from loomgraph.plans.frontier import Seen, live, present
+from loomgraph.plans.frontier import Seen, live, present, reachable
 from loomgraph.plans.lineage import cut, cut_counted, numbered
 
 ROUTES, DEPTH, STATES = 500, 200, 50_000
@@ -109,6 +109,36 @@ def enumerate_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, endi
     )
 
 
+def count_routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """How many ways lead from the starts (project_id, node) to each node they reach: project_id, node, routes (decimal(38,0)), without
+    listing them. Parallel edges are ways of their own. ``routes`` is null for nodes on a cycle, or behind one: a way there has no end.
+
+    Edges are taken as they are: calls and returns aren't matched. Each node is counted once all ways into it are, so that an
+    edge is looked at once; levels are those of the longest way.
+    """
+    p = ["project_id"]
+    begun = starts.select(*p, "node").where("node is not null").distinct()
+    e = live(edges).select(*p, "source", "target").where("source is not null and target is not null")
+    met = cut(reachable(e, begun))
+    sub = cut(e.join(met.withColumnRenamed("node", "source"), [*p, "source"], "left_semi"))
+    into = cut(sub.groupBy(*p, F.col("target").alias("node")).agg(F.count("*").alias("ways_in")))
+    base = begun.withColumn("one", F.lit(1))
+    number = lambda c: c.cast("decimal(38,0)").alias("routes")
+    level, n = cut_counted(met.join(into, [*p, "node"], "left_anti").select(*p, "node", number(F.lit(1))))
+    done, come = Seen(level), None
+    while n:
+        own = cut(level.join(sub.withColumnRenamed("source", "node"), [*p, "node"]).groupBy(*p, F.col("target").alias("node")).agg(number(F.sum("routes")), F.count("*").alias("k")))
+        if come is None:
+            come = Seen(own)
+        else:
+            come.add(own)
+        whole = come.all().join(own.select(*p, "node"), [*p, "node"], "left_semi").groupBy(*p, "node").agg(number(F.sum("routes")), F.sum("k").alias("k"))
+        ready = whole.join(into, [*p, "node"]).where("k = ways_in").join(base, [*p, "node"], "left")
+        level, n = cut_counted(ready.select(*p, "node", number(F.col("routes") + F.coalesce("one", F.lit(0)))))
+        done.add(level)
+    return met.join(done.all(), [*p, "node"], "left").select(*p, "node", "routes")
+
+
 def solve_routes(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets: DataFrame, heuristic: str = "shortest", max_depth: int = 250, max_states: int | None = None) -> DataFrame:
     """The best route to each target (project_id, node): target, is_reachable, path, steps (type, node, chapter, text, menu, expression),
     chapters, n_choices, words, pause, conditions, alternatives, truncated.

@@ -147,6 +147,13 @@ def a7_ending_matrix(spark, d):
     return analytics.ending_matrix(ends, r).select("node_id", "routes", "status")
 
 
+@query(_dag_sql("SELECT p.at AS node_id, CAST(count(*) AS BIGINT) AS routes FROM paths p GROUP BY p.at", PATHS))
+def a7_route_counts(spark, d):
+    """Ways from the entries to every node, counted without a list of them."""
+    n, e = ad.dag(spark, d)
+    return routes.count_routes(e, link.entry_points(n, e)).select(F.col("node").alias("node_id"), F.col("routes").cast("long").alias("routes"))
+
+
 @query(_dag_sql("""SELECT n.id AS target, p.at IS NOT NULL AS is_reachable, coalesce(min(len(p.path)), 0) AS steps FROM dag_nodes n LEFT JOIN paths p ON p.at = n.id WHERE n.node_ord % 3 = 0 GROUP BY n.id, p.at IS NOT NULL""", PATHS))
 def g6_solve_routes(spark, d):
     n, e = ad.dag(spark, d)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import story
+from loomgraph.operators import diagnostics, story
 from loomgraph.sources import assemble, extract, scripts
 
 FILES = "project_id string, path string, file_ord int, content string"
@@ -142,3 +142,25 @@ def test_dead_options_after_assignments(spark):
     dead = {(r.source, r.label) for r in s.edges.where("condition_is_statically_false").collect()}
     # the decision behind the menu is a node of its own, before which nothing is assigned
     assert dead == {("menu_m", "A"), ("menu_m", "D")}
+
+
+def test_diagnostics_in_one_table(spark):
+    one = (
+        'default gold = 1\ndefault never = 2\ndefine e = Character("E")\nlabel start:\n    e "You have [gold] coins"\n    call sub\n    call other\n    jump nowhere\n'
+        "label chapter_1:\n    jump expression (\"chapter_\" + str(n))\nlabel chapter_2:\n    jump expression what\nlabel sub:\n    return\nlabel other:\n    if ghost > 1:\n        jump start\n    menu:\n"
+        '        "A" if gold > 5:\n            jump start\n    call screen s\nscreen s():\n    textbutton "?" action Odd("z")\n'
+    )
+    s = story.linked(_files(spark, one, "label sub:\n    return\n"))
+    edges = {(r.source, r.target) for r in s.edges.where("id like 'djump%'").collect()}
+    assert edges == {("chapter_1", "chapter_1"), ("chapter_1", "chapter_2")}
+    found = diagnostics.collect(s)
+    got = sorted((r.code, r.category, r.severity, r.source_id or r.detail) for r in found.collect())
+    assert [x for x in got if x[1] != "unused_variable"] == sorted([
+        ("dynamic_target", "dynamic_target", "warning", "chapter_2"), ("normalization", "dangling_stack", "warning", "start"), ("normalization", "dead_menu_option", "warning", "menu_f0.rpy_1"),
+        ("normalization", "shadowed_target_resolution", "warning", "start"), ("normalization", "undeclared_variable", "warning", "decision_other_L15"), ("shadowed_label", "shadowed_label", "warning", "sub__shadow_2"),
+        ("unmapped_screen_action", "unmapped_screen_action", "warning", "s"), ("unresolved_target", "unresolved_target", "warning", "start"),
+    ])
+    assert ("normalization", "unused_variable", "warning", "never") in got and ("normalization", "unused_variable", "warning", "gold") not in got
+    assert found.where("category = 'dead_menu_option' and path = 'f0.rpy' and line_no = 18").count() == 1
+    counts = {(r.code, r.category): r.n for r in diagnostics.report(found).collect()}
+    assert counts[None, None] == len(got) and counts["unresolved_target", None] == 1 and counts["normalization", "dangling_stack"] == 1
