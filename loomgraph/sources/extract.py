@@ -128,7 +128,8 @@ def menus(stmts: DataFrame) -> DataFrame:
 
 
 def transfers(stmts: DataFrame) -> DataFrame:
-    """Edges: source (the label), target, kind, label (the choice's text), condition, context, line_no."""
+    """Transfers line by line: source (the label they stand in), target, kind, label (the choice's text), condition, context, line_no.
+    The edges of a graph, which leave menus and decisions, come from ``assemble.build``."""
     t = stmts.where("kind in ('jump', 'call')")
     target = F.when(F.col("a").startswith("."), F.concat(F.substring_index("label_id", ".", 1), "a")).otherwise(F.col("a"))
     in_item = F.col("block_kind") == "item"
@@ -176,7 +177,8 @@ def prune_dead_ends(decisions_: DataFrame, stmts: DataFrame) -> DataFrame:
 
 
 def fallthrough(stmts: DataFrame) -> DataFrame:
-    """``seq_<a>__<b>`` from a label whose last top-level statement is no exit to the file's next label."""
+    """``seq_<a>__<b>`` from a label whose last top-level statement is no exit to the file's next label. A look at lines only: which
+    labels all ways leave, ``assemble.build`` knows."""
     w = Window.partitionBy(*FILE).orderBy("line_no")
     ends = stmts.where("label_id is not null").groupBy(*FILE, "label_id").agg(F.min("line_no").alias("line_no"), F.max_by("kind", F.struct("line_no")).alias("last"), F.max_by("block_kind", "line_no").alias("within"))
     nxt = ends.withColumn("target", F.lead("label_id").over(w))
@@ -185,7 +187,8 @@ def fallthrough(stmts: DataFrame) -> DataFrame:
 
 
 def reliable_returns(stmts: DataFrame) -> DataFrame:
-    """Labels that surely return: a return on their own level, or all branches of an if with else."""
+    """Labels that surely return: a return on their own level, or all branches of an if with else, in any of its blocks
+    (``assemble.build`` looks at the label's own statements only)."""
     top = stmts.where("kind = 'return' and coalesce(block_kind, 'label') = 'label'").select("project_id", F.col("label_id").alias("id"))
     d = decisions(stmts).withColumnRenamed("id", "decision").select(*FILE, "decision", "parent_label_id", "branch_kind", "line_no")
     r = stmts.where("kind = 'return'").select(*FILE, F.col("block_line").alias("line_no")).distinct().withColumn("__r", F.lit(1))

@@ -126,6 +126,18 @@ def test_best_routes_against_all_paths(spark):
     assert all(r.truncated for r in cut) and max(len(r.path) for r in cut) == 2
 
 
+def test_counts_of_routes(spark):
+    """Ways through 70 forks, more than any list could hold; a cycle and what is behind it have no number."""
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(70) for _ in range(2)] + [("n3", "x"), ("x", "n5"), ("n9", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", "behind"), ("lost", "n0")]
+    e = spark.createDataFrame([(k, f"e{k}", s, t, "jump", None) for k, (s, t) in enumerate(rows)], EDGES).withColumn("project_id", F.lit("p")).withColumn("condition_is_statically_false", F.lit(False))
+    got = {r.node: r.routes for r in routes.count_routes(e, spark.createDataFrame([("p", "n0"), ("p", "n2")], "project_id string, node string")).collect()}
+    want = [1]
+    for i in range(1, 71):
+        want.append(2 * want[-1] + (i == 2) + (want[3] if i == 5 else 0))
+    assert {k: int(v) for k, v in got.items() if v is not None} == {f"n{i}": w for i, w in enumerate(want)} | {"x": want[3]}
+    assert {k for k, v in got.items() if v is None} == {"c1", "c2", "behind"}
+
+
 def test_cut_lists_of_routes_say_so(spark):
     n = spark.createDataFrame([(i, f"n{i}", "LABEL", 1) for i in range(6)], "node_ord long, id string, type string, word_count int").withColumn("project_id", F.lit("p")).withColumn("pause_duration", F.lit(0.0))
     e = spark.createDataFrame([(2 * i + k, f"e{i}{k}", f"n{i}", f"n{i + 1}", "jump", None) for i in range(5) for k in range(2)], EDGES).withColumn("project_id", F.lit("p")).withColumn("condition_is_statically_false", F.lit(False))
