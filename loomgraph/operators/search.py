@@ -1,8 +1,8 @@
 """Search over dialogue: documents, an index of terms, prefix and fuzzy matching, ranks.
 
 The score is BM25 with field boosts; which documents match follows from prefixes and edit
-distance alone. Edit distances are taken between query terms and the vocabulary, not between
-terms and documents.
+distance alone. Query words meet the vocabulary by equal beginnings and parts, not word by word, and never
+meet documents.
 """
 
 from __future__ import annotations
@@ -41,18 +41,35 @@ def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
     return rows.groupBy("project_id", "doc_id", "field", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def _segments(length: str, d: str) -> str:
+    """SQL for the ``d`` + 1 even parts of a word of some length: array of (i, from, n), places from 0."""
+    base, long_from = f"({length} div ({d} + 1))", f"({d} + 1 - {length} % ({d} + 1))"
+    return f"transform(sequence(0, {d}), i -> struct(i as i, cast(i * {base} + greatest(0, i - {long_from}) as int) as from, cast({base} + if(i >= {long_from}, 1, 0) as int) as n))"
+
+
 def expand(vocabulary: DataFrame, queries: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
     """Terms that a query word stands for: itself, words it begins, words within its edit distance.
 
-    ``queries``: query_id, query; they are few and broadcast. A weight falls with the distance.
+    ``queries``: query_id, query. A weight falls with the distance. Words meet by equal keys only: beginnings of the lengths that the
+    query's words have; and, of a term within d edits, one of its d + 1 parts, which must be in the query's word unchanged and
+    no more than d places off. Distances are worked out for those that share a part.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("q"))
-    far = F.round(F.length("q") * fuzzy).cast("int")
-    near = F.levenshtein("term", "q")
-    close = (far > 0) & (F.abs(F.length("term") - F.length("q")) <= far) & (near <= far)
-    both = vocabulary.join(F.broadcast(asked), F.col("term").startswith(F.col("q")) | close)
+    words = asked.select("q").distinct().withColumns({"size": F.length("q"), "d": F.round(F.length("q") * fuzzy).cast("int")})
+    lengths = words.select("size").distinct()
+    begun = vocabulary.withColumn("l", F.length("term")).join(lengths, F.col("l") >= F.col("size")).withColumn("key", F.expr("left(term, size)"))
+    begins = begun.join(words.select(F.col("q").alias("key")), "key").select(F.col("key").alias("q"), "term")
+
+    near = words.where("d > 0").withColumn("l", F.explode(F.expr("sequence(greatest(size - d, 1), size + d)")))
+    part = near.withColumn("x", F.explode(F.expr(_segments("l", "d")))).select("q", "d", "l", "x.*")
+    shifted = part.withColumn("at", F.explode(F.expr("sequence(greatest(from - d, 0), greatest(from - d, 0) + 2 * d)"))).where(F.col("at") + F.col("n") <= F.length("q"))
+    probes = shifted.select("q", "d", "l", "i", F.expr("substring(q, at + 1, n)").alias("key")).distinct()
+    kinds = near.select("l", "d").distinct()
+    index = vocabulary.withColumn("l", F.length("term")).join(kinds, "l").withColumn("x", F.explode(F.expr(_segments("l", "d")))).select("term", "l", "d", "x.i", F.expr("substring(term, x.from + 1, x.n)").alias("key"))
+    close = probes.join(index, ["l", "d", "i", "key"]).where(F.levenshtein("term", "q") <= F.col("d")).select("q", "term")
+    both = asked.join(begins.unionByName(close).distinct(), "q")
     length = F.length("term")
-    weight = F.when(F.col("term") == F.col("q"), 1.0).when(F.col("term").startswith(F.col("q")), 0.375 * length / (length + 0.3 * (length - F.length("q")))).otherwise(0.45 * length / (length + near))
+    weight = F.when(F.col("term") == F.col("q"), 1.0).when(F.col("term").startswith(F.col("q")), 0.375 * length / (length + 0.3 * (length - F.length("q")))).otherwise(0.45 * length / (length + F.levenshtein("term", "q")))
     return both.select("query_id", "q", "term", weight.alias("weight"))
 
 
@@ -63,7 +80,7 @@ def search(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None
     one = expand(p.select("term").distinct(), queries)
     sizes = p.select("project_id", "doc_id", "field", "length").distinct().groupBy("project_id", "field").agg(F.avg("length").alias("mean"), F.count("*").alias("n"))
     df = p.groupBy("project_id", "field", "term").agg(F.count("*").alias("df"))
-    m = p.join(one, "term").join(df, ["project_id", "field", "term"]).join(F.broadcast(sizes), ["project_id", "field"])  # fields x projects
+    m = p.join(one, "term").join(df, ["project_id", "field", "term"]).join(sizes, ["project_id", "field"])
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, b in fields.items()])
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

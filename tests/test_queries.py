@@ -54,3 +54,26 @@ def test_search_without_limit(spark):
     asked = spark.createDataFrame([("q", "widget")], "query_id string, query string")
     assert search.search(docs, asked, limit=None).count() == 2100
     assert search.search(docs, asked, limit=7).count() == 7 and search.search(docs, asked).count() == search.DEFAULT
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_terms_of_query_words_against_brute_force(spark):
+    import random
+
+    from loomgraph.operators import search
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 13)))
+    vocabulary = sorted({word() for _ in range(1500)})
+    asked = {f"q{i}": {word() for _ in range(3)} for i in range(12)}
+    got = search.expand(spark.createDataFrame([(t,) for t in vocabulary], "term string"), spark.createDataFrame([(k, " ".join(sorted(v))) for k, v in asked.items()], "query_id string, query string")).collect()
+    want = {(k, q, t) for k, v in asked.items() for q in v for t in vocabulary if t.startswith(q) or _edits(t, q) <= int(len(q) * search.FUZZY + 0.5)}
+    assert len(got) == len(want) and {(r.query_id, r.q, r.term) for r in got} == want
