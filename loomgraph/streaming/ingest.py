@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,3 +44,56 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> Da
 
     relink(unchanged_dropped(file_stream(spark, source)), append, checkpoint).awaitTermination()
     return spark.read.parquet(target)
+
+
+CHANGES = "project_id string, path string, content string, deleted boolean, arrived timestamp"
+
+
+def ingest_graphs(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """Keeps the linked graphs of projects up to date with files that come, change and go.
+
+    ``source``: a folder in which Parquet tables of ``CHANGES`` land; ``deleted`` (null: false) takes a file away. Of several rows of a file in a batch the
+    latest counts. Under ``target``, each batch writes the files that it really changed (by content), the projects these belong to, and the whole
+    graph of these projects, to a folder of its own, so that a batch repeated after a failure replaces itself. Projects without a change aren't touched; ``latest`` gives
+    each project's rows of its last batch. Rows without a project or path are left out.
+    """
+    from loomgraph.operators import story
+    from loomgraph.sources import scripts
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        last = Window.partitionBy("project_id", "path").orderBy(F.desc("arrived"), F.desc("content"))
+        news = df.where("project_id is not null and path is not null").withColumn("nth", F.row_number().over(last)).where("nth = 1")
+        news = news.select("project_id", "path", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.when(~F.coalesce("deleted", F.lit(False)), F.coalesce("content", F.lit(""))).alias("content"))
+        log = _epochs(spark, f"{target}/files", "project_id string, path string, deleted boolean, content string").where(F.col("epoch") < epoch)
+        known = _last_of(log, ["project_id", "path"]).where("not deleted").select("project_id", "path", F.col("content").alias("was"))
+        changed = news.join(known, ["project_id", "path"], "left").where(~F.col("content").eqNullSafe(F.col("was"))).drop("was")
+        changed.write.mode("overwrite").parquet(f"{target}/files/epoch={epoch}")
+        fresh = _epochs(spark, f"{target}/files", "project_id string, path string, deleted boolean, content string").where(F.col("epoch") <= epoch)
+        touched = fresh.where(F.col("epoch") == epoch).select("project_id").distinct()
+        touched.write.mode("overwrite").parquet(f"{target}/projects/epoch={epoch}")
+        files = _last_of(fresh.join(touched, "project_id", "left_semi"), ["project_id", "path"]).where("not deleted").select("project_id", "path", F.col("path").alias("name"), "content")
+        graph = story.linked(scripts.file_order(files).drop("name"))
+        graph.nodes.write.mode("overwrite").parquet(f"{target}/nodes/epoch={epoch}")
+        graph.edges.write.mode("overwrite").parquet(f"{target}/edges/epoch={epoch}")
+
+    stream = spark.readStream.schema(CHANGES).parquet(source)
+    relink(stream, batch, checkpoint).awaitTermination()
+
+
+def _epochs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table of batches; one without a batch is empty."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if schema is not None and not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema + ", epoch int")
+    return (spark.read if schema is None else spark.read.schema(schema + ", epoch int")).parquet(path)
+
+
+def _last_of(log: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc("epoch"))
+    return log.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def latest(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """``nodes`` or ``edges`` as the last batch of each project left them."""
+    last = _epochs(spark, f"{target}/projects").groupBy("project_id").agg(F.max("epoch").alias("epoch"))
+    return _epochs(spark, f"{target}/{table}").join(last, ["project_id", "epoch"], "left_semi").drop("epoch")
