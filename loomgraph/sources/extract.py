@@ -53,6 +53,34 @@ def unquote(text: Column) -> Column:
     return F.regexp_replace(body, r"\\(.)", "$1")
 
 
+def logical_lines(lines: DataFrame) -> DataFrame:
+    """Lines with those that go on over open brackets or triple quotes put together: the text of the first, the others behind it with a
+    space (in triple quotes with ``\\n``, in one pair of plain quotes), under the first one's number and indent.
+
+    Brackets count outside of quotes and comments. What is open runs sum up over the file, anew at every label, so that a bracket that is
+    never closed swallows no more than its label. All columns stay.
+    """
+    triple = r'"""|\x27\x27\x27'
+    d = lines.withColumn("__label", F.sum(F.col("text").rlike(r"^\s*(?:label|screen|init|translate)\b").cast("int")).over(Window.partitionBy(*FILE).orderBy("line_no")))
+    d = d.withColumn("__quotes", F.when(F.trim("text").startswith("#"), 0).otherwise(F.regexp_count("text", F.lit(triple))))
+    w = Window.partitionBy(*FILE, "__label").orderBy("line_no")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__in", F.coalesce(F.sum("__quotes").over(before), F.lit(0)) % 2 == 1)
+    # a line's own code: without quoted parts, comments, and what lies in triple quotes
+    last, first = F.regexp_replace("text", rf"^.*(?:{triple})", ""), F.regexp_replace("text", rf"(?:{triple}).*$", "")
+    code = F.when(F.col("__in"), F.when(F.col("__quotes") % 2 == 1, last).otherwise("")).otherwise(F.when(F.col("__quotes") > 0, first).otherwise(F.col("text")))
+    code = F.regexp_replace(F.regexp_replace(code, STRING, ""), "#.*$", "")
+    d = d.withColumn("__open", F.length(F.regexp_replace(code, r"[^(\[{]", "")) - F.length(F.regexp_replace(code, r"[^)\]}]", "")))
+    d = d.withColumn("__starts", (F.coalesce(F.sum("__open").over(before), F.lit(0)) <= 0) & ~F.col("__in"))
+    d = d.withColumn("__line", F.coalesce(F.last(F.when(F.col("__starts"), F.col("line_no")), True).over(w), F.col("line_no")))
+    piece = F.struct("line_no", F.when(F.col("line_no") == F.col("__line"), F.rtrim(F.when(F.col("text").contains("#") & (F.col("__open") > 0), strip_comment(F.col("text"))).otherwise(F.col("text")))).otherwise(F.trim(F.when(F.col("__in"), F.col("text")).otherwise(strip_comment(F.col("text"))))).alias("text"), (F.col("__in")).alias("quoted"))
+    rest = [c for c in lines.columns if c not in (*FILE, "line_no", "text")]
+    whole = d.groupBy(*FILE, F.col("__line").alias("line_no")).agg(F.sort_array(F.collect_list(piece)).alias("__all"), *[F.min_by(c, "line_no").alias(c) for c in rest])
+    joined = F.aggregate("__all", F.lit(""), lambda acc, x: F.when(acc == "", x["text"]).when(x["quoted"], F.concat(acc, F.lit("\\n"), x["text"])).otherwise(F.concat(acc, F.lit(" "), x["text"])))
+    plain = F.regexp_replace(joined, rf"(?:{triple})", '"')
+    return whole.withColumn("text", F.when(F.size("__all") == 1, F.col("__all")[0]["text"]).otherwise(F.when(F.exists("__all", lambda x: x["quoted"]), plain).otherwise(joined))).select(*lines.columns)
+
+
 def statements(lines: DataFrame) -> DataFrame:
     """Lines with kind, groups a, b, c, label_id, chapter and the enclosing block.
 
@@ -197,10 +225,14 @@ def reliable_returns(stmts: DataFrame) -> DataFrame:
 
 
 def mutations(stmts: DataFrame) -> DataFrame:
-    """Assignments: name, op (``x = not x`` is toggle), value, value_type, is_persistent."""
+    """Assignments: name, op (``x = not x`` is toggle), value, value_type, is_persistent; one row for each of several targets."""
     toggle = F.trim("c") == F.concat(F.lit("not "), "a")
     kind = F.when(F.col("c").rlike(r"^(True|False)$"), "bool").when(F.col("c").rlike(r"^-?\d+(\.\d+)?$"), "num").when(F.col("c").rlike(r'^["\x27]'), "str").when(F.col("c") == "None", "null").otherwise("expression")
-    return stmts.where("kind = 'mutation'").select(*FILE, "label_id", F.col("a").alias("name"), F.when((F.col("b") == "=") & toggle, "toggle").otherwise(F.col("b")).alias("op"), F.when(kind == "str", unquote(F.col("c"))).otherwise(F.col("c")).alias("value"), kind.alias("value_type"), F.col("a").startswith("persistent.").alias("is_persistent"), "line_no")
+    pattern = r"^\$\s*([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)+)\s*=\s*(?!=)([^()\[\]{}\x22\x27]+)$"  # several targets, plain values
+    targets, values = (F.split(F.regexp_extract("t", pattern, i), r"\s*,\s*") for i in (1, 2))
+    several = stmts.where((F.col("kind") == "python_line") & F.col("t").rlike(pattern)).where(F.size(targets) == F.size(values))
+    several = several.select(*stmts.columns, F.explode(F.arrays_zip(targets.alias("x"), values.alias("y"))).alias("z")).select(*[F.col(f"z.{new}").alias(c) if new else F.lit("=").alias(c) if c == "b" else F.col(c) for c in stmts.columns for new in [{"a": "x", "c": "y"}.get(c)]])
+    return stmts.where("kind = 'mutation'").unionByName(several).select(*FILE, "label_id", F.col("a").alias("name"), F.when((F.col("b") == "=") & toggle, "toggle").otherwise(F.col("b")).alias("op"), F.when(kind == "str", unquote(F.col("c"))).otherwise(F.col("c")).alias("value"), kind.alias("value_type"), F.col("a").startswith("persistent.").alias("is_persistent"), "line_no")
 
 
 def init_vars(stmts: DataFrame) -> DataFrame:

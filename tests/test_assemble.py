@@ -164,3 +164,18 @@ def test_diagnostics_in_one_table(spark):
     assert found.where("category = 'dead_menu_option' and path = 'f0.rpy' and line_no = 18").count() == 1
     counts = {(r.code, r.category): r.n for r in diagnostics.report(found).collect()}
     assert counts[None, None] == len(got) and counts["unresolved_target", None] == 1 and counts["normalization", "dangling_stack"] == 1
+
+
+def test_lines_that_go_on(spark):
+    text = (
+        'default a = [1,\n    "x (", # not ( this\n    3]\ndefine t = """one\n  two"""\nlabel l:\n    $ x, y = 1, True\n    $ z = f(1,\n        2)\n    e """Many\n    lines."""\n'
+        '    "It (is" # so\n    $ broken = (1\n    "lost"\nlabel m:\n    "kept"\n    # """ no\n    jump l\n'
+    )
+    lines = extract.logical_lines(scripts.file_lines(_files(spark, text)))
+    got = {r.line_no: r.text for r in lines.collect()}
+    assert got[0] == 'default a = [1, "x (", 3]' and got[3] == 'define t = "one\\ntwo"' and got[7] == "    $ z = f(1, 2)" and got[9] == '    e "Many\\nlines."'
+    assert got[11] == '    "It (is" # so' and got[12].endswith('(1 "lost"') and got[15] == '    "kept"' and got[17] == "    jump l"
+    stmts = extract.statements(lines)
+    assert {(r.name, r.value, r.value_type) for r in extract.mutations(stmts).where("line_no = 6").collect()} == {("x", "1", "num"), ("y", "True", "bool")}
+    assert {r.name: r.value_json for r in story.initial_values(stmts, _files(spark, text).select("project_id", "path", "file_ord")).collect()} == {"a": '[1, "x (", 3]', "t": '"one\\ntwo"'}
+    assert {(r.label_id, r.line_no) for r in extract.say_lines(stmts).collect()} == {("l", 9), ("l", 11), ("m", 15)}
