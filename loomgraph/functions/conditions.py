@@ -137,13 +137,18 @@ def evaluate(expression: str | None, flags: dict[str, str | None]) -> bool | Non
         return None
 
 
-_CALLS: dict[str, Callable] = {"str": str, "int": lambda v: int(float(v)), "bool": bool, "len": len}
+def _text(v) -> str:
+    """A value as text; whole numbers have no fraction, as arithmetic here is in doubles."""
+    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+
+_CALLS: dict[str, Callable] = {"str": _text, "int": lambda v: int(float(v)), "bool": bool, "len": len}
 
 
 def fold(expression: str | None, env: dict[str, object]) -> tuple[bool, object, list[str]]:
     """Constant folding: whether it worked, the value, and the strings it may be.
 
-    Literals, lists, dicts, subscripts, ternaries, ``in``, str/int/bool/len and arithmetic over
+    Literals, f-strings, lists, dicts, subscripts, ternaries, ``in``, str/int/bool/len and arithmetic over
     names of ``env``. A ternary whose test is unknown gives both its strings as candidates.
     """
 
@@ -163,6 +168,10 @@ def fold(expression: str | None, env: dict[str, object]) -> tuple[bool, object,
                 return down(v)[down(s)]
             case ast.IfExp(test=t, body=a, orelse=b):
                 return down(a) if down(t) else down(b)
+            case ast.JoinedStr(values=parts):
+                return "".join(_text(down(p)) for p in parts)
+            case ast.FormattedValue(value=v, conversion=-1, format_spec=None):
+                return down(v)
             case ast.Call(func=ast.Name(id=f), args=[x]) if f in _CALLS:
                 return _CALLS[f](down(x))
             case ast.Compare(left=a, ops=[ast.In() | ast.NotIn() as op], comparators=[b]):

@@ -177,21 +177,27 @@ def node_details(details: DataFrame, chosen: DataFrame) -> DataFrame:
     return details.join(chosen.select("project_id", "id").distinct(), ["project_id", "id"], "left_semi")
 
 
-def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Targets of jumps to expressions: project_id, source, line_no, expression, target, how.
+def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """Targets of jumps to expressions: project_id, source, line_no, expression, target, how (and path, if the jumps have it).
 
-    First custom rules (pattern, target; few), then literals and the strings of a ternary that are
+    First custom rules (pattern, target; few), then, with ``outcomes`` (see ``values.outcomes``), the strings that the expression is worth, whether
+    labels or not, if it is known in every case, and those it may be that are labels; then literals and the strings of a ternary that are
     labels, then labels by their fixed beginning and end: of an f-string, or of strings added to
     something. Beginnings are joined by their text, with the labels' beginnings of the same
     lengths (ends likewise, without a beginning), so that no jump meets every label.
     """
     from loomgraph.functions.text import extract_literal
 
-    keys = ["project_id", "source", "line_no", "expression"]
+    keys = [c for c in ("project_id", "path", "source", "line_no", "expression") if c in jumps.columns]
     found = []
     if rules is not None:
         found.append(jumps.join(F.broadcast(rules.select("pattern", "target")), F.expr("expression rlike pattern")).select(*keys, "target", F.lit("rule").alias("how")))
     ids = labels.select("project_id", F.col("id").alias("target")).distinct()
+    if outcomes is not None:
+        string = F.get_json_object(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "$.v")
+        worth = outcomes.groupBy(*keys).agg(F.min(F.col("ok") & F.col("value_json").startswith('"')).alias("ok"), F.collect_set(string).alias("worth"), F.array_distinct(F.flatten(F.collect_list("candidates"))).alias("maybe"))
+        found.append(worth.where("ok").select(*keys, F.explode("worth").alias("target"), F.lit("value").alias("how")))
+        found.append(worth.where("not ok").select(*keys, F.explode("maybe").alias("target")).join(ids, ["project_id", "target"], "left_semi").select(*keys, "target", F.lit("value").alias("how")))
     text = r'"([^"\\]*)"|\x27([^\x27\\]*)\x27'
     e = F.trim(F.regexp_replace("expression", r"^\s*\(\s*|\s*\)\s*$", ""))
     outside = F.regexp_replace("expression", text, "")
@@ -219,6 +225,6 @@ def resolve_dynamic(jumps: DataFrame, labels: DataFrame, rules: DataFrame | None
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)
-    order = F.when(F.col("how") == "rule", 0).when(F.col("how") == "literal", 1).otherwise(2)
+    order = F.when(F.col("how") == "rule", 0).when(F.col("how") == "value", 1).when(F.col("how") == "literal", 2).otherwise(3)
     best = Window.partitionBy(*keys)
     return out.withColumn("__o", order).withColumn("__b", F.min("__o").over(best)).where("__o = __b").drop("__o", "__b").distinct()

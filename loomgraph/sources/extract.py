@@ -32,7 +32,7 @@ PATTERNS = (
     ("return", r"^return(?:\s+(.+))?$"),
     ("if", r"^if\s+(.+?)\s*:$"), ("elif", r"^elif\s+(.+?)\s*:$"), ("else", r"^else\s*:()$"),
     ("while", r"^while\s+(.+?)\s*:$"), ("for", r"^for\s+(.+?)\s*:$"), ("match", r"^match\s+(.+?)\s*:$"), ("case", r"^case\s+(.+?)\s*:$"),
-    ("init", r"^init(?:\s+(-?\d+))?(?:\s+python)?[^:=]*:$"), ("python", r"^python\b[^:]*:()$"),
+    ("init", r"^init(?:\s+(-?\d+))?(?:\s+python)?[^:=]*:$"), ("python", r"^python\b\s*([^:]*):$"),
     ("define", r"^define\s+(?:-?\d+\s+)?([A-Za-z_][\w.]*)\s*=\s*(.+)$"), ("default", r"^default\s+(?:-?\d+\s+)?([A-Za-z_][\w.]*)\s*=\s*(.+)$"),
     ("screen", r"^screen\s+([A-Za-z_]\w*)\s*(?:\([^)]*\))?\s*:"),
     ("timed", r"^(?:\$\s*)?(?:renpy\.)?timedchoice\b\s*\(?(.*?)\)?$"),
@@ -86,7 +86,7 @@ def statements(lines: DataFrame) -> DataFrame:
 
     ``block_line``, ``block_kind``, ``block_text`` and ``block_condition`` belong to the nearest earlier
     line with a smaller indent that opens a block (ends in a colon); ``block_path`` has the lines of
-    all open blocks, outermost first. Local labels (``.x``) carry the last global label.
+    all open blocks, outermost first; ``top_kind`` and ``top_text`` belong to the outermost. Local labels (``.x``) carry the last global label.
     """
     rows = _once(lines, "t", F.trim(strip_comment(F.col("text")))).where("t <> ''")
     group = lambda p, n: F.regexp_extract("t", p, n) if n <= re.compile(p).groups else F.lit("")
@@ -111,7 +111,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-_BLOCK = {"block_line": T.IntegerType(), "block_kind": T.StringType(), "block_text": T.StringType(), "block_condition": T.StringType(), "block_path": T.ArrayType(T.IntegerType())}
+_BLOCK = {"block_line": T.IntegerType(), "block_kind": T.StringType(), "block_text": T.StringType(), "block_condition": T.StringType(), "block_path": T.ArrayType(T.IntegerType()), "top_kind": T.StringType(), "top_text": T.StringType()}
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +124,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at, stack = (project, path), []
             while stack and stack[-1][0] >= indent:
                 stack.pop()
-            out.append((*(stack[-1][1:] if stack else (None, None, None, None)), [x[1] for x in stack]))
+            out.append((*(stack[-1][1:] if stack else (None, None, None, None)), [x[1] for x in stack], *(stack[0][2:4] if stack else (None, None))))
             if t.endswith(":"):
                 stack.append((indent, line, kind, a, b))
         added = pd.DataFrame(out, columns=list(_BLOCK), index=batch.index).astype({"block_line": "Int32"})
@@ -224,21 +224,50 @@ def reliable_returns(stmts: DataFrame) -> DataFrame:
     return top.unionByName(whole.select("project_id", F.col("parent_label_id").alias("id"))).distinct()
 
 
+#: Blocks whose code runs before the story starts, if no label holds them.
+BEFORE = ("init", "python")
+
+
+def _assigned(stmts: DataFrame) -> DataFrame:
+    """Statements that assign, with name, operator and value as a, b, c: those after ``$``, lines of Python blocks, and one row for each of several targets."""
+    put = lambda rows, values: rows.select(*[values.get(c, F.col(c)).alias(c) for c in stmts.columns])
+    one = r"^([A-Za-z_][\w.]*)\s*(?::\s*\w[^=]*?)?\s*(=|\+=|-=|\*\*=|\*=|//=|/=|%=)\s*(?!=)(.+)$"
+    inside = stmts.where((F.col("kind") == "other") & F.col("block_kind").isin(*BEFORE) & F.col("t").rlike(one))
+    inside = put(inside, {k: F.regexp_extract("t", one, i) for i, k in enumerate("abc", 1)})
+    pattern = r"^(?:\$\s*)?([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)+)\s*=\s*(?!=)([^()\[\]{}\x22\x27]+)$"  # several targets, plain values
+    targets, values = (F.split(F.regexp_extract("t", pattern, i), r"\s*,\s*") for i in (1, 2))
+    several = stmts.where(((F.col("kind") == "python_line") | ((F.col("kind") == "other") & F.col("block_kind").isin(*BEFORE))) & F.col("t").rlike(pattern)).where(F.size(targets) == F.size(values))
+    several = put(several.select(*stmts.columns, F.explode(F.arrays_zip(targets.alias("x"), values.alias("y"))).alias("z")), {"a": F.col("z.x"), "b": F.lit("="), "c": F.col("z.y")})
+    return stmts.where("kind = 'mutation'").unionByName(inside).unionByName(several)
+
+
 def mutations(stmts: DataFrame) -> DataFrame:
-    """Assignments: name, op (``x = not x`` is toggle), value, value_type, is_persistent; one row for each of several targets."""
+    """Assignments of the story, also in Python blocks of labels: name, op (``x = not x`` is toggle), value, value_type, is_persistent; one row for
+    each of several targets. Those of blocks that run before the story are ``init_vars``."""
     toggle = F.trim("c") == F.concat(F.lit("not "), "a")
-    kind = F.when(F.col("c").rlike(r"^(True|False)$"), "bool").when(F.col("c").rlike(r"^-?\d+(\.\d+)?$"), "num").when(F.col("c").rlike(r'^["\x27]'), "str").when(F.col("c") == "None", "null").otherwise("expression")
-    pattern = r"^\$\s*([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)+)\s*=\s*(?!=)([^()\[\]{}\x22\x27]+)$"  # several targets, plain values
-    targets, values = (F.split(F.regexp_extract("t", pattern, i), r"\s*,\s*") for i in (1, 2))
-    several = stmts.where((F.col("kind") == "python_line") & F.col("t").rlike(pattern)).where(F.size(targets) == F.size(values))
-    several = several.select(*stmts.columns, F.explode(F.arrays_zip(targets.alias("x"), values.alias("y"))).alias("z")).select(*[F.col(f"z.{new}").alias(c) if new else F.lit("=").alias(c) if c == "b" else F.col(c) for c in stmts.columns for new in [{"a": "x", "c": "y"}.get(c)]])
-    return stmts.where("kind = 'mutation'").unionByName(several).select(*FILE, "label_id", F.col("a").alias("name"), F.when((F.col("b") == "=") & toggle, "toggle").otherwise(F.col("b")).alias("op"), F.when(kind == "str", unquote(F.col("c"))).otherwise(F.col("c")).alias("value"), kind.alias("value_type"), F.col("a").startswith("persistent.").alias("is_persistent"), "line_no")
+    kind = F.when(F.col("c").rlike(r"^(True|False)$"), "bool").when(F.col("c").rlike(r"^-?\d+(\.\d+)?$"), "num").when(F.col("c").rlike(rf"^(?:{STRING})$"), "str").when(F.col("c") == "None", "null").otherwise("expression")
+    told = _assigned(stmts).where(~F.coalesce("top_kind", F.lit("")).isin(*BEFORE))
+    return told.select(*FILE, "label_id", F.col("a").alias("name"), F.when((F.col("b") == "=") & toggle, "toggle").otherwise(F.col("b")).alias("op"), F.when(kind == "str", unquote(F.col("c"))).otherwise(F.col("c")).alias("value"), kind.alias("value_type"), F.col("a").startswith("persistent.").alias("is_persistent"), "line_no")
+
+
+def literal_json(value: Column, kind: Column) -> Column:
+    """The value of a mutation as JSON; null for an expression."""
+    quoted = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', "")
+    return F.when(kind == "bool", F.lower(value)).when(kind == "num", value).when(kind == "null", "null").when(kind == "str", quoted)
 
 
 def init_vars(stmts: DataFrame) -> DataFrame:
-    """define, default: name, raw_expression, kind, priority, is_persistent."""
-    priority = F.coalesce(F.nullif(F.regexp_extract("t", r"^(?:define|default)\s+(-?\d+)\s", 1), F.lit("")).cast("int"), F.lit(0))
-    return stmts.where("kind in ('define', 'default')").select(*FILE, F.col("a").alias("name"), F.col("b").alias("raw_expression"), F.when(F.col("a").startswith("persistent."), "persistent").otherwise(F.col("kind")).alias("kind"), priority.alias("priority"), F.col("line_no").alias("line_index"), F.col("a").startswith("persistent.").alias("is_persistent"))
+    """define, default, and what ``init`` and top-level Python blocks assign directly: name, raw_expression, kind, priority, is_persistent.
+
+    A block's priority is that of its ``init``, -50000 for ``python early``, else 0. Assignments inside of functions, loops and conditions aren't declarations.
+    """
+    persistent = F.col("a").startswith("persistent.")
+    columns = lambda kind, raw, priority: [*FILE, F.col("a").alias("name"), raw.alias("raw_expression"), F.when(persistent, "persistent").otherwise(kind).alias("kind"), priority.cast("int").alias("priority"), F.col("line_no").alias("line_index"), persistent.alias("is_persistent")]
+    own = F.coalesce(F.nullif(F.regexp_extract("t", r"^(?:define|default)\s+(-?\d+)\s", 1), F.lit("")).cast("int"), F.lit(0))
+    block = F.when(F.col("top_text") == "early", -50000).otherwise(F.coalesce(F.col("top_text").try_cast("int"), F.lit(0)))
+    said = stmts.where("kind in ('define', 'default')").select(*columns(F.col("kind"), F.col("b"), own))
+    first = _assigned(stmts).where(F.col("top_kind").isin(*BEFORE) & F.col("block_kind").isin(*BEFORE) & (F.col("b") == "="))
+    return said.unionByName(first.select(*columns(F.lit("python"), F.col("c"), block)))
 
 
 def cues(stmts: DataFrame) -> DataFrame:
