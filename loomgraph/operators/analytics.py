@@ -64,11 +64,11 @@ def chapter_pacing(nodes: DataFrame, edges: DataFrame, monologues: DataFrame | N
 
 
 def character_distribution(lines: DataFrame) -> DataFrame:
-    """Lines, words and share of all words by speaker, most words first; null: narrator."""
+    """Lines, words and shares of all words and of all lines by speaker, most words first; null: narrator."""
     by = lines.groupBy("project_id", F.coalesce("speaker", F.lit("narrator")).alias("speaker")).agg(F.count("*").alias("line_count"), F.sum(word_count(F.col("text"))).cast("long").alias("word_count"))
-    total = by.groupBy("project_id").agg(F.sum("word_count").alias("total"))
-    share = F.when(F.col("total") > 0, F.round(F.col("word_count") * 100.0 / F.col("total"), 1)).otherwise(0.0)
-    return by.join(total, "project_id").select("project_id", "speaker", "line_count", "word_count", share.alias("percent")).orderBy(F.desc("word_count"), F.desc("line_count"), "speaker")
+    total = by.groupBy("project_id").agg(F.sum("word_count").alias("total"), F.sum("line_count").alias("lines"))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) * 100.0 / F.col(whole), 1)).otherwise(0.0)
+    return by.join(total, "project_id").select("project_id", "speaker", "line_count", "word_count", share("word_count", "total").alias("percent"), share("line_count", "lines").alias("line_percent")).orderBy(F.desc("word_count"), F.desc("line_count"), "speaker")
 
 
 def terminal_endings(nodes: DataFrame, edges: DataFrame, tags: DataFrame | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -116,14 +116,16 @@ def ending_matrix(endings: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def narrative_summary(nodes: DataFrame, edges: DataFrame, endings: DataFrame, routes: DataFrame, no_return: DataFrame, wpm: float = 200.0) -> DataFrame:
-    """One row per project over the nodes that aren't orphans; routes: ending, words, pause."""
+    """One row per project over the nodes that aren't orphans; routes: ending, words, pause, route_ord. ``truncated``: the list of routes was cut."""
     orphan = F.coalesce("is_orphan", F.lit(False)) if "is_orphan" in nodes.columns else F.lit(False)
     per = nodes.groupBy("project_id").agg(
         F.sum(F.when(~orphan, F.col("dialogue_count"))).alias("lines"), F.coalesce(F.sum(F.when(~orphan, F.col("word_count"))), F.lit(0)).cast("long").alias("unique_words"),
         F.coalesce(F.sum(F.when(~orphan, F.col("pause_duration"))), F.lit(0.0)).alias("pause"), F.count_if((F.col("type") == "MENU") & ~orphan).alias("menus"),
     )
     timed = routes.withColumn("seconds", reading_seconds(F.col("words"), F.col("pause"), wpm))
-    r = timed.groupBy("project_id").agg(F.count("*").alias("routes"), F.min_by("ending", F.struct("seconds", "route_ord")).alias("shortest"), F.max_by("ending", F.struct("seconds", -F.col("route_ord"))).alias("longest"), F.avg("seconds").alias("average_seconds"))
+    r = timed.groupBy("project_id").agg(F.count("*").alias("routes"), F.min_by("ending", F.struct("seconds", "route_ord")).alias("shortest"), F.max_by("ending", F.struct("seconds", -F.col("route_ord"))).alias("longest"), F.avg("seconds").alias("average_seconds"),
+        *[f(c, F.struct("seconds", sign * F.col("route_ord"))).alias(f"{which}_{c}") for which, f, sign in (("shortest", F.min_by, 1), ("longest", F.max_by, -1)) for c in ("seconds", "words")],
+        (F.max("truncated") if "truncated" in routes.columns else F.lit(False)).alias("truncated"))
     ends = endings.groupBy("project_id").agg(F.count("*").alias("endings"))
     points = no_return.groupBy("project_id").agg(F.count("*").alias("points_of_no_return"))
     choices = choice_counts(nodes, edges).groupBy("project_id").agg(F.sum("choice_count").alias("choices"))
@@ -136,6 +138,7 @@ def narrative_summary(nodes: DataFrame, edges: DataFrame, endings: DataFrame, ro
         reading_seconds(F.col("unique_words"), F.col("pause"), wpm).alias("unique_seconds"),
         F.when(F.col("menus") > 0, F.round(F.col("lines") / F.col("menus"), 1)).otherwise(F.coalesce("lines", F.lit(0)).cast("double")).alias("lines_per_menu"),
         F.when(F.col("menus") > 0, F.round(F.coalesce("choices", F.lit(0)) / F.col("menus"), 2)).otherwise(F.coalesce("choices", F.lit(0)).cast("double")).alias("choices_per_menu"),
+        "shortest_seconds", "shortest_words", "longest_seconds", "longest_words", F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )
 
 

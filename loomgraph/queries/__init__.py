@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from loomgraph.queries import extra, graph, more, stories, text, whole  # noqa: F401
+    from loomgraph.queries import extra, graph, more, reports, stories, text, whole  # noqa: F401

@@ -82,13 +82,17 @@ def k5_walkthrough(spark, d):
     return exports.walkthrough(o).select("section", "ord", "line")
 
 
-@query(with_("edges", "nodes", body="SELECT '| ' || chapter AS line, count(*) AS n FROM nodes GROUP BY chapter").replace("count(*) AS n", "CAST(1 AS BIGINT) AS n"))
+@query(with_("edges", "nodes", body="SELECT '| **' || chapter || '**' AS line, CAST(1 AS BIGINT) AS n FROM nodes GROUP BY chapter"))
 def k2_markdown(spark, d):
-    n, e = ad.nodes(spark, d), ad.edges(spark, d)
-    none = spark.createDataFrame([], "project_id string, endings long, routes long, unique_words long, unique_seconds double")
-    people = spark.createDataFrame([], "project_id string, speaker string, line_count long, word_count long, percent double")
-    lines = exports.analytics_markdown(none, analytics.chapter_pacing(n, e), people)
-    return lines.select(F.call_function("substring_index", F.col("line"), F.lit(" |"), F.lit(1)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    """Chapters of the report over the whole graph; ``k2_report`` has the whole text."""
+    n, e, said = ad.nodes(spark, d), ad.edges(spark, d), ad.dialogue(spark, d)
+    ends = analytics.terminal_endings(n, e)
+    no_routes = spark.createDataFrame([], "project_id string, ending string, words long, pause double, route_ord long")
+    no_points = spark.createDataFrame([], "project_id string, edge_id string, source string, target string, eliminated array<string>, is_lock_in boolean")
+    summary = analytics.narrative_summary(n, e, ends, no_routes, no_points)
+    lines = exports.analytics_markdown(summary, analytics.ending_matrix(ends, no_routes), no_points, analytics.chapter_pacing(n, e), analytics.character_distribution(said), n, e)
+    chapters = lines.where("section = '4 pacing' and line like '| **%'")
+    return chapters.select(F.call_function("substring_index", F.col("line"), F.lit(" |"), F.lit(1)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, regexp_replace(text, chr(10), ' ', 'g') || ' ' AS code FROM (SELECT doc_id, regexp_replace(text, '[\"''#]', '', 'g') AS text FROM documents)")

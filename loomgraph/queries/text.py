@@ -104,7 +104,7 @@ def a1_node_metrics(spark, d):
     return n.select("node_id", "dialogue_count", "word_count", "pause_duration", F.array_join("dialogue_lines", "|").alias("lines"), F.size("character_dialogue").cast("long").alias("speakers"))
 
 
-@query(with_("dialogue", body=f"""SELECT speaker, line_count, word_count, round(word_count * 100.0 / sum(word_count) OVER (), 1) AS percent FROM (SELECT speaker, count(*) AS line_count, CAST(sum({WORDS}) AS BIGINT) AS word_count FROM dialogue GROUP BY speaker)"""))
+@query(with_("dialogue", body=f"""SELECT speaker, line_count, word_count, round(word_count * 100.0 / sum(word_count) OVER (), 1) AS percent, round(line_count * 100.0 / sum(line_count) OVER (), 1) AS line_percent FROM (SELECT speaker, count(*) AS line_count, CAST(sum({WORDS}) AS BIGINT) AS word_count FROM dialogue GROUP BY speaker)"""))
 def a5_character_distribution(spark, d):
     return analytics.character_distribution(ad.dialogue(spark, d)).drop("project_id")
 
@@ -189,15 +189,16 @@ def k4_storyboard(spark, d):
     return exports.storyboard(ad.dialogue(spark, d)).drop("project_id")
 
 
-@query(with_("dialogue", body=f"""SELECT row_number() OVER (ORDER BY word_count DESC, line_count DESC, speaker) AS ord, speaker || ',' || line_count || ',' || word_count || ',' || CASE WHEN pc = floor(pc) THEN CAST(CAST(pc AS BIGINT) AS VARCHAR) ELSE CAST(pc AS VARCHAR) END || '%' AS line
-FROM (SELECT *, CAST(round(word_count * 100.0 / sum(word_count) OVER (), 1) AS DOUBLE) AS pc FROM (SELECT speaker, count(*) AS line_count, CAST(sum({WORDS}) AS BIGINT) AS word_count FROM dialogue GROUP BY speaker))
-UNION ALL SELECT 0, '{exports.CHARACTERS_HEADER}'"""))
+@query(with_("dialogue", body=f"""SELECT row_number() OVER (ORDER BY word_count DESC, line_count DESC, speaker) AS ord, speaker || ',' || line_count || ',' || word_count || ',' || CASE WHEN lp = floor(lp) THEN CAST(CAST(lp AS BIGINT) AS VARCHAR) ELSE CAST(lp AS VARCHAR) END || ',' || CASE WHEN pc = floor(pc) THEN CAST(CAST(pc AS BIGINT) AS VARCHAR) ELSE CAST(pc AS VARCHAR) END AS line
+FROM (SELECT *, CAST(round(word_count * 100.0 / sum(word_count) OVER (), 1) AS DOUBLE) AS pc, CAST(round(line_count * 100.0 / sum(line_count) OVER (), 1) AS DOUBLE) AS lp FROM (SELECT speaker, count(*) AS line_count, CAST(sum({WORDS}) AS BIGINT) AS word_count FROM dialogue GROUP BY speaker))
+UNION ALL SELECT 0, 'Character / Speaker,Dialogue Line Count,Word Count,Line Share (%),Word Share (%)'"""))
 def k1_characters_csv(spark, d):
     return exports.characters_csv(analytics.character_distribution(ad.dialogue(spark, d))).select("ord", "line")
 
 
-@query(with_("edges", "nodes", body="""SELECT '1 nodes' AS section, row_number() OVER (ORDER BY node_ord) AS ord, '  ' || id || CASE type WHEN 'MENU' THEN '{"' || label || '"}' WHEN 'DECISION' THEN '{{"' || label || '"}}' ELSE '["' || label || '"]' END AS line FROM nodes
-UNION ALL SELECT '2 edges', row_number() OVER (ORDER BY edge_ord), '  ' || source || ' ' || CASE WHEN label <> '' THEN '-->|"' || label || '"|' ELSE '-->' END || ' ' || target FROM edges"""))
+@query(with_("edges", "nodes", body="""SELECT '1 nodes' AS section, row_number() OVER (ORDER BY node_ord) AS ord, '  ' || id || CASE type WHEN 'MENU' THEN '{{"' || label || '"}}' WHEN 'DECISION' THEN '{"' || label || '"}' ELSE '["' || label || '"]' END AS line FROM nodes
+UNION ALL SELECT '1 nodes', 0, 'flowchart TD'
+UNION ALL SELECT '2 edges', row_number() OVER (ORDER BY edge_ord), '  ' || source || ' ' || CASE WHEN label <> '' THEN '-->|' || label || '|' ELSE '-->' END || ' ' || target FROM edges"""))
 def k3_mermaid(spark, d):
     return exports.mermaid(ad.nodes(spark, d), ad.edges(spark, d)).drop("project_id")
 
@@ -213,7 +214,9 @@ def k7_redacted_bundle(spark, d):
     return exports.redacted(ad.nodes(spark, d), ad.edges(spark, d))[1].drop("project_id")
 
 
-@query(with_("nodes", body="SELECT row_number() OVER (ORDER BY node_ord) AS ord, id, word_count FROM nodes"))
+@query(with_("edges", "nodes", body="""SELECT 'nodes' AS section, row_number() OVER (ORDER BY node_ord) AS ord, id, word_count, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, label FROM nodes
+UNION ALL SELECT 'edges', row_number() OVER (ORDER BY edge_ord), id, NULL, source, target, label FROM edges"""))
 def k6_graph_json(spark, d):
-    j = exports.graph_json(ad.nodes(spark, d), ad.edges(spark, d)).where("section = 'nodes'")
-    return j.select("ord", F.get_json_object("line", "$.id").alias("id"), F.get_json_object("line", "$.word_count").cast("int").alias("word_count"))
+    j = exports.graph_json(ad.nodes(spark, d), ad.edges(spark, d))
+    at = lambda c: F.get_json_object("line", f"$.{c}").alias(c)
+    return j.select("section", "ord", at("id"), at("word_count").cast("int").alias("word_count"), at("source"), at("target"), at("label"))
