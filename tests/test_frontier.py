@@ -141,3 +141,44 @@ def test_long_chains_in_searches(spark):
     began = time.time()
     assert {(r.scenario_id, r.node) for r in variables.conditional_reachability(df.drop("context"), flags).collect()} == {("low", "other")}
     assert time.time() - began < 60
+
+
+def _tables(spark):
+    from pathlib import Path
+
+    from loomgraph.plans.lineage import shared_dir
+
+    return set(Path(shared_dir(spark)).glob("loomgraph/*"))
+
+
+def _ladder(n):
+    """Two long sides with steps between them: each node has several ways in, and no node of one side stands for another."""
+    both = lambda a, b: ("p", a, b, "jump", f"{a}_{b}", None)
+    return [both(f"{s}{i}", f"{t}{i + 1}") for i in range(n) for s in "ab" for t in "ab"]
+
+
+EDGES = "project_id string, source string, target string, kind string, id string, context string"
+
+
+def test_long_graphs_with_many_ways_in_take_few_rounds(spark):
+    from loomgraph.plans.frontier import reachable
+
+    df = spark.createDataFrame(_ladder(120), EDGES)
+    before = _tables(spark)
+    got = [r.node for r in reachable(df, spark.createDataFrame([("p", "a40")], "project_id string, node string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {"a40"} | {f"{s}{i}" for i in range(41, 121) for s in "ab"}
+    assert len(_tables(spark) - before) < 140
+
+
+def test_many_endings_of_a_long_graph(spark):
+    from loomgraph.plans.frontier import reach_sets, reaches
+
+    df = spark.createDataFrame(_ladder(130), EDGES)
+    ends = spark.createDataFrame([("p", f"a{i}") for i in range(0, 131, 2)], "project_id string, node string")
+    before = _tables(spark)
+    got = [(r.node, r.ending) for r in reaches(df, ends).collect()]
+    want = {(f"{s}{i}", f"a{k}") for i in range(131) for s in "ab" for k in range(0, 131, 2) if k > i or (s == "a" and k == i)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(_tables(spark) - before) < 170
+    sets = {r.node: r.ends for r in reach_sets(df, ends).collect()}
+    assert sets == {n: sorted(e for m, e in want if m == n) for n in {m for m, _ in want}}
