@@ -336,6 +336,20 @@ def test_shorter_parts_hide_no_passage(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_many_shorter_parts_hide_no_passage(spark):
+    """Of the 50 words that B and C share, twenty texts each hold the first and the last 44, so that what is around a place they have in common is in one of these, too."""
+    rows, want = [], set()
+    for k in range(20):
+        passage = [f"t{k}x{i}" for i in range(50)]
+        held = [passage[:44], passage[6:]] * 20 + [passage, passage]
+        for n, words in enumerate(held):
+            own = [f"o{k}y{n}z{i}" for i in range(140)]
+            rows.append((42 * k + n, " ".join([*own[:70], *words, *own[70:]]), "s"))
+        want.add(frozenset((42 * k + 40, 42 * k + 41)))
+    got = {frozenset((r.doc_id, r.other_id)) for r in substring.near_duplicates(_docs(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want), len(got)
+
+
 def test_substring_recall(spark):
     """Pairs of passages of 50 to 120 words with replaced, dropped or added words, similar by 0.8 or more."""
     rng = np.random.default_rng(21)
