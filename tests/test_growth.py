@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import assets, link
+from loomgraph.operators import assets, link, routes, variables
 from loomgraph.plans import adapters as ad
 from loomgraph.plans import frontier
 from tests.test_frontier import EDGES, _ladder, _tables
@@ -58,3 +58,14 @@ def test_targets_of_a_jump_are_not_put_together(spark):
     found = link.resolve_dynamic(jumps, labels)
     assert "Window" not in _plan(found)
     assert sorted((r.line_no, r.target, r.how) for r in found.collect()) == [(1, "a_1", "pattern"), (1, "a_2", "pattern"), (2, "a_1", "literal")]
+
+
+def test_scenarios_and_all_edges_are_one_search(spark, monkeypatch):
+    edges = [("p", "a", "b", None), ("p", "b", "c", "disc > 0.05"), ("p", "x", "y", None), ("p", "y", "x", None), ("p", "y", "z", "disc > 0.05")]
+    df = spark.createDataFrame(edges, "project_id string, source string, target string, expression string")
+    flags = spark.createDataFrame([("low", "disc", "0.01"), ("high", "disc", "0.09")], "scenario_id string, flag string, value string")
+    searches, search = [], variables.reachable
+    monkeypatch.setattr(variables, "reachable", lambda *a, **b: (searches.append(1), search(*a, **b))[1])
+    hidden = lambda df: {(r.scenario_id, r.node) for r in variables.conditional_reachability(df, flags).collect()}
+    assert hidden(df.where("source in ('a', 'b')")) == {("low", "c")} and len(searches) == 1
+    assert hidden(df) == {("low", "c"), ("low", "z")}
