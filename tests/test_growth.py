@@ -69,3 +69,15 @@ def test_scenarios_and_all_edges_are_one_search(spark, monkeypatch):
     hidden = lambda df: {(r.scenario_id, r.node) for r in variables.conditional_reachability(df, flags).collect()}
     assert hidden(df.where("source in ('a', 'b')")) == {("low", "c")} and len(searches) == 1
     assert hidden(df) == {("low", "c"), ("low", "z")}
+
+
+def test_routes_are_not_numbered_in_one_task(spark):
+    nodes = spark.createDataFrame([("p", x, "LABEL", 1, 0.0) for x in "abcd"], "project_id string, id string, type string, word_count int, pause_duration double")
+    rows = [("p", i, f"e{i}", a, b, "jump", None, False) for i, (a, b) in enumerate(("ab", "ac", "bd", "cd", "ad"))]
+    edges = spark.createDataFrame(rows, "project_id string, edge_ord long, id string, source string, target string, kind string, label string, condition_is_statically_false boolean")
+    at = lambda x: spark.createDataFrame([("p", x)], "project_id string, node string")
+    every = routes.enumerate_routes(nodes, edges, at("a"), at("d"), max_routes=None, max_states=None)
+    assert "__part" in _plan(every)
+    assert sorted((r.route_ord, r.path, r.truncated) for r in every.collect()) == [(1, ["a", "d"], False), (2, ["a", "b", "d"], False), (3, ["a", "c", "d"], False)]
+    two = routes.enumerate_routes(nodes, edges, at("a"), at("d"), max_routes=2)
+    assert sorted((r.route_id, r.path, r.truncated) for r in two.collect()) == [("route_1", ["a", "d"], True), ("route_2", ["a", "b", "d"], True)]
