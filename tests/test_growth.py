@@ -81,3 +81,16 @@ def test_routes_are_not_numbered_in_one_task(spark):
     assert sorted((r.route_ord, r.path, r.truncated) for r in every.collect()) == [(1, ["a", "d"], False), (2, ["a", "b", "d"], False), (3, ["a", "c", "d"], False)]
     two = routes.enumerate_routes(nodes, edges, at("a"), at("d"), max_routes=2)
     assert sorted((r.route_id, r.path, r.truncated) for r in two.collect()) == [("route_1", ["a", "d"], True), ("route_2", ["a", "b", "d"], True)]
+
+
+def test_counted_nodes_and_edges_leave_the_tables(spark, monkeypatch):
+    at = "project_id string, node string"
+    edges = [("p", "a", "b"), ("p", "a", "b"), ("p", "b", "c"), ("p", "a", "c"), ("p", "c", "x"), ("p", "x", "y"), ("p", "y", "x"), ("p", "y", "z"), ("p", "u", "v"), ("p", "v", "u"), ("p", "v", "c2"), ("p", "a", "c2"), ("p", "c2", "d"), ("p", "w", "c2")]
+    df = spark.createDataFrame([(*e, False) for e in edges], "project_id string, source string, target string, condition_is_statically_false boolean")
+    counted, count = [], routes._counted
+    monkeypatch.setattr(routes, "_counted", lambda *a: (counted.append(count(*a)), counted[-1])[1])
+    got = {r.node: r.routes for r in routes.count_routes(df, spark.createDataFrame([("p", "a")], at)).collect()}
+    # u and v are a cycle that no start leads to
+    assert got == {"a": 1, "b": 2, "c": 3, "x": None, "y": None, "z": None, "c2": 1, "d": 1}
+    assert {(r.source, r.target) for r in counted[0][2].collect()} == {("x", "y"), ("y", "x"), ("y", "z"), ("u", "v"), ("v", "u"), ("v", "c2"), ("c2", "d")}
+    assert "Broadcast" not in _plan(counted[0][2])
