@@ -94,3 +94,14 @@ def test_counted_nodes_and_edges_leave_the_tables(spark, monkeypatch):
     assert got == {"a": 1, "b": 2, "c": 3, "x": None, "y": None, "z": None, "c2": 1, "d": 1}
     assert {(r.source, r.target) for r in counted[0][2].collect()} == {("x", "y"), ("y", "x"), ("y", "z"), ("u", "v"), ("v", "u"), ("v", "c2"), ("c2", "d")}
     assert "Broadcast" not in _plan(counted[0][2])
+
+
+def test_best_last_steps_carry_no_paths(spark):
+    nodes = spark.createDataFrame([("p", x, "LABEL", 1, 0.0) for x in "abcd"], "project_id string, id string, type string, word_count int, pause_duration double")
+    rows = [("p", i, f"e{i}", a, b, "jump", label, False) for i, (a, b, label) in enumerate([("a", "d", "x"), ("b", "d", None), ("c", "d", None), ("a", "b", None)])]
+    steps = routes._steps(spark.createDataFrame(rows, "project_id string, edge_ord long, id string, source string, target string, kind string, label string, condition_is_statically_false boolean"), nodes, True)
+    level = routes._start(nodes, spark.createDataFrame([("p", x) for x in "abc"], "project_id string, node string"))
+    met = level.select("project_id", "at", "stack", F.size("choices").alias("choices"))
+    best = routes._best_ahead(level, steps, met, "shortest")
+    assert not {"path", "choices", "conditions", "taken", "order"} & set(best.columns)
+    assert [(r.came["at"], r.to, r.edge_ord) for r in best.collect()] == [("b", "d", 1)]
