@@ -42,3 +42,14 @@ def test_endings_share_rows_of_several_numbers(spark):
     found, places = frontier.reach_bits(e, ends)
     assert found.where("node = 'top'").count() == 2 and places.agg(F.countDistinct("block", "word", "bit")).first()[0] == n
     assert sum(len(r.endings) for r in frontier.reach_parts(e, ends).where("node = 'top'").collect()) == n
+
+
+def test_endings_of_one_block_are_put_in_no_order_and_rows_are_dealt(spark, monkeypatch):
+    e, _ = _fan(spark, 200)
+    parts = []
+    monkeypatch.setattr(frontier, "weak_components", lambda *a: parts.append(a))
+    ends = spark.createDataFrame([("p", f"end{i}") for i in range(200)], "project_id string, node string")
+    pairs = frontier.reaches(e, ends)
+    assert not parts and "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    # top and all have all, left and right a part each (end0 is in left's already), endings have themselves
+    assert pairs.count() == pairs.distinct().count() == 2 * 200 + 200 + 200
